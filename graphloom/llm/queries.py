@@ -32,6 +32,12 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_file(WORD_TOKENIZER))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import scan_secrets
 
@@ -54,6 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
