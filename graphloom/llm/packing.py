@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Distinct chunks, and distinct plain words, that a worker remembers the ids of; it forgets all beyond that.
-MEMO = 400_000
+MEMO = 700_000
 #: Characters of text to tokenise at once.
 BLOCK = 2_000_000
 #: A Latin-1 word, then ASCII punctuation: two pre-tokens for sure, each of which is lower-cased by itself.

@@ -20,12 +20,28 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality
+
+    return classify_quality(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
     return exact_duplicates(_docs(spark, sf_dir))
 
 
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -57,13 +73,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), F.hex("keep_bitmap").alias("keep_bitmap"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_contamination
+
+    return find_contamination(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_quality_kneser_ney": op1_quality_kneser_ney,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
