@@ -60,6 +60,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_docs(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(_docs(spark, sf_dir))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_secret_scan": op6_secret_scan,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,

@@ -8,8 +8,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 # The grammar's terminals in English, German, French and Spanish.
 INSULT = """idiot moron scum trash clown pathetic loser worthless stupid disgusting imbecile dumb vermin filth coward
@@ -225,9 +226,21 @@ def _counted(docs: DataFrame, matcher: Matcher, more: list[str]) -> DataFrame:
                 [*batch.columns[1:], pa.array(counts, pa.list_(pa.int64()))], [*batch.schema.names[1:], "counts"]
             )
 
-    slim = docs.select("text", *more)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "text")
-    return slim.mapInArrow(run, f"{schema}, counts array<bigint>")
+    slim = docs.select(F.col("text").alias("_text"), *more)
+    schema = StructType([*slim.schema.fields[1:], StructField("counts", ArrayType(LongType()))])
+    return slim.mapInArrow(run, schema)
+
+
+def _score(weights: list[float]) -> Column:
+    clipped = F.transform("counts", lambda c: F.least(c, F.lit(3)).cast("double"))
+    parts = F.zip_with(clipped, F.array(*map(F.lit, weights[:-1])), lambda c, x: c * x)
+    return 1 / (1 + F.exp(-F.aggregate(parts, F.lit(weights[-1]), lambda a, b: a + b)))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` (``doc_id``, ``text`` and others, all kept) that score under ``threshold``; a map without shuffle."""
+    stems, weights = fit_toxicity(docs, labels, train_rows=train_rows)
+    return _counted(docs, Matcher(stems), docs.columns).where(_score(weights) < threshold).select(*docs.columns)
 
 
 def score_toxicity(
@@ -246,16 +259,13 @@ def score_toxicity(
     null id is not held out.  Empty table: empty result; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    learned, weights = fit_toxicity(slim, labels, train_rows=train_rows)
-    matcher, w = Matcher(learned), np.array(weights)
-    counted = _counted(slim, matcher, ["doc_id"])
-    z = F.aggregate(
-        F.zip_with(F.transform("counts", lambda c: F.least(c, F.lit(3)).cast("double")), F.array(*[F.lit(float(x)) for x in w[:-1]]), lambda c, x: c * x),
-        F.lit(float(w[-1])),
-        lambda a, b: a + b,
+    stems, weights = fit_toxicity(slim, labels, train_rows=train_rows)
+    return (
+        _counted(slim, Matcher(stems), ["doc_id"])
+        .select(
+            "doc_id",
+            F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+            _score(weights).alias("score"),
+        )
+        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
-    return counted.select(
-        "doc_id",
-        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
-        (1 / (1 + F.exp(-z))).alias("score"),
-    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
