@@ -1,4 +1,382 @@
 """All queries of the graph engine by name, with their SQL equivalents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import names
+from graphloom.operators import extract, metrics, paths, spatial, vector, views
+from graphloom.operators.model import PropertyGraph, dense_index
+from graphloom.sources import star
+from graphloom.sources.star import SQL_HEAVY, SQL_INHERIT, SQL_STAR, SQL_TRADE, table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+_DEGREES = """, o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n FROM edges GROUP BY 1),
+  degrees AS (SELECT nodes.*, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id))"""
+
+
+@query(f"WITH {SQL_STAR} SELECT kind, count(*) AS n FROM edges GROUP BY kind")
+def edge_dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return star.star_graph(spark, sf).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, in_degree, out_degree FROM degrees")
+def degree_in_out(spark, sf):
+    return metrics.degrees(star.star_graph(spark, sf)).select("id", "in_degree", "out_degree")
+
+
+@query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, name, in_degree FROM degrees ORDER BY in_degree DESC, seq LIMIT 5")
+def top_hubs(spark, sf):
+    return metrics.top_by(star.star_graph(spark, sf), "in_degree")
+
+
+@query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, name, out_degree FROM degrees ORDER BY out_degree DESC, seq LIMIT 5")
+def top_god_nodes(spark, sf):
+    return metrics.top_by(star.star_graph(spark, sf), "out_degree")
+
+
+@query(f"WITH {SQL_STAR} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
+def graph_totals(spark, sf):
+    return metrics.totals(star.star_graph(spark, sf))
+
+
+@query(f"WITH {SQL_HEAVY} SELECT id FROM nodes WHERE (id LIKE 'C:%' OR id LIKE 'P:%') AND id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
+def isolated_nodes(spark, sf):
+    return metrics.isolated(star.heavy_graph(spark, sf)).select("id")
+
+
+@query(f"WITH {SQL_INHERIT} SELECT category, count(*) AS n FROM nodes GROUP BY category")
+def counts_by_category(spark, sf):
+    return metrics.counts_by(star.nodes(spark, sf), "category")
+
+
+@query(f"WITH {SQL_STAR} SELECT kind, count(*) AS n FROM edges GROUP BY kind")
+def counts_by_kind(spark, sf):
+    return metrics.counts_by(star.star_graph(spark, sf).edges, "kind")
+
+
+@query(f"WITH {SQL_INHERIT} SELECT " + ", ".join(f"count(*) FILTER (WHERE origin = '{o}') AS {o.lower()}" for o in ("EngineRuntime", "UserProject", "SystemPrimitive", "External")) + " FROM nodes")
+def counts_by_origin(spark, sf):
+    return metrics.origin_counts(PropertyGraph(star.nodes(spark, sf), None))
+
+
+@query(f"WITH {SQL_INHERIT} SELECT id, name, namespace FROM nodes WHERE contains(upper(id), 'RED') OR contains(upper(namespace), 'RED') OR contains(upper(name), 'RED') ORDER BY seq LIMIT 30")
+def search_nodes(spark, sf):
+    return views.search(PropertyGraph(star.nodes(spark, sf), None), "red")
+
+
+def _explain_sql(view):
+    parts = {"out": "SELECT 'out' AS section, dst AS other, kind, details FROM edges WHERE src = 'C:7'", "in": "SELECT 'in' AS section, src AS other, kind, details FROM edges WHERE dst = 'C:7'"}
+    return f"WITH {SQL_STAR} " + " UNION ALL ".join(parts[v] for v in view)
+
+
+@query(_explain_sql(["out"]))
+def explain_out(spark, sf):
+    return views.explain(star.star_graph(spark, sf), "c:7", "out")
+
+
+@query(f"WITH {SQL_STAR} SELECT 'in' AS section, src AS other, kind, details FROM edges WHERE dst = 'N:3'")
+def explain_in(spark, sf):
+    return views.explain(star.star_graph(spark, sf), "n:3", "in")
+
+
+@query(_explain_sql(["out", "in"]))
+def explain_all(spark, sf):
+    return views.explain(star.star_graph(spark, sf), "C:7", "all")
+
+
+@query(f"WITH {SQL_STAR} SELECT DISTINCT id FROM (SELECT dst AS id FROM edges WHERE src = 'P:11' UNION ALL SELECT src FROM edges WHERE dst = 'P:11')")
+def neighbors_1hop(spark, sf):
+    return star.star_graph(spark, sf).neighbours("p:11")
+
+
+_VIEW = "view AS (SELECT * FROM nodes WHERE origin <> 'SystemPrimitive' AND origin = 'UserProject' ORDER BY seq LIMIT 500)"
+
+
+@query(f"WITH {SQL_INHERIT}, {_VIEW} SELECT id, name, category FROM view")
+def view_filter(spark, sf):
+    return views.view_nodes(PropertyGraph(star.nodes(spark, sf), None), user_code_only=True, max_nodes=500).select("id", "name", "category")
+
+
+@query(f"WITH {SQL_STAR} SELECT src, dst, kind, details FROM edges WHERE src IN (SELECT id FROM nodes WHERE origin <> 'SystemPrimitive' ORDER BY seq LIMIT 30000) AND dst IN (SELECT id FROM nodes WHERE origin <> 'SystemPrimitive' ORDER BY seq LIMIT 30000)")
+def induced_edges(spark, sf):
+    graph = star.star_graph(spark, sf)
+    return views.induced_edges(graph, views.view_nodes(graph)).select("src", "dst", "kind", "details")
+
+
+@query(f"WITH {SQL_INHERIT} SELECT src, dst, coalesce(name, dst) AS dst_name FROM inherits LEFT JOIN nodes ON id = dst")
+def node_join_edge_names(spark, sf):
+    graph = PropertyGraph(star.nodes(spark, sf), star.inheritance(spark, sf))
+    return graph.named_edges().select("src", "dst", "dst_name")
+
+
+_CLOSURE = ", closure AS (SELECT src AS id, dst AS ancestor, 1 AS depth FROM inherits UNION ALL SELECT c.id, i.dst, c.depth + 1 FROM closure c JOIN inherits i ON c.ancestor = i.src WHERE c.depth < 25)"
+_RECURSIVE = f"WITH RECURSIVE {SQL_INHERIT} {_CLOSURE}"
+
+
+@query(f"{_RECURSIVE} SELECT id, ancestor, depth FROM closure")
+def closure_ancestors(spark, sf):
+    return paths.ancestors(star.inheritance(spark, sf))
+
+
+@query(f"{_RECURSIVE} SELECT ancestor, count(*) AS descendants FROM closure GROUP BY ancestor")
+def descendant_counts(spark, sf):
+    return paths.descendant_counts(star.inheritance(spark, sf))
+
+
+@query(f"{_RECURSIVE} SELECT ancestor, count(*) AS descendants FROM closure GROUP BY ancestor HAVING count(*) > 10")
+def large_families(spark, sf):
+    return paths.descendant_counts(star.inheritance(spark, sf), 10)
+
+
+@query(f"{_RECURSIVE} SELECT DISTINCT id FROM closure WHERE ancestor = 'R:2'")
+def derivatives_of(spark, sf):
+    return paths.derivatives(star.inheritance(spark, sf), "r:2")
+
+
+@query(f"""WITH RECURSIVE {SQL_TRADE}, walk AS (SELECT 'N:0' AS id, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.distance < 6)
+    SELECT id, min(distance) AS distance FROM walk GROUP BY id""")
+def bfs_distances(spark, sf):
+    return paths.distances(star.trade_graph(spark, sf), "n:0")
+
+
+@query(f"""WITH RECURSIVE {SQL_TRADE}, walk AS (SELECT 'N:0' AS id, [0]::BIGINT[] AS ord, ['N:0'] AS trail UNION ALL
+      SELECT e.dst, list_append(w.ord, e.seq), list_append(w.trail, e.dst) FROM walk w JOIN edges e ON e.src = w.id WHERE len(w.trail) < 7 AND NOT list_contains(w.trail, e.dst)),
+    best AS (SELECT * FROM walk WHERE id = 'N:24' ORDER BY len(trail), ord LIMIT 1)
+    SELECT i AS step, trail[i] AS src, trail[i + 1] AS dst FROM best, range(1, 8) AS r(i) WHERE i < len(trail)""")
+def bfs_path(spark, sf):
+    return paths.shortest_path(star.trade_graph(spark, sf), "N:0", "N:24").select("step", "src", "dst")
+
+
+@query(f"WITH {SQL_TRADE} SELECT a.src || ' -> ' || a.dst || ' -> ' || a.src AS cycle_key FROM edges a JOIN edges b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst")
+def cycles_2(spark, sf):
+    return paths.k_cycles(star.trade_graph(spark, sf), 2)
+
+
+@query(f"""WITH {SQL_TRADE} SELECT concat_ws(' -> ', a.src, b.src, c.src, a.src) AS cycle_key FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src AND c.dst = a.src
+    WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src""")
+def cycles_3(spark, sf):
+    return paths.k_cycles(star.trade_graph(spark, sf), 3)
+
+
+@query()
+def cycles_dfs(spark, sf):
+    return paths.detect_cycles(star.trade_graph(spark, sf)).select("cycle_key")
+
+
+_TAG = "unnest(regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1))"
+
+
+@query(f"SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT {_TAG} AS tag FROM pages) GROUP BY 1")
+def tag_counts(spark, sf):
+    tags = table(spark, sf, "pages").select(F.explode(F.expr("regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1)")).alias("tag"))
+    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT DISTINCT 'page:' || page_id AS src, lower(tag) AS dst FROM (SELECT page_id, {_TAG} AS tag FROM pages)")
+def tag_links(spark, sf):
+    tags = F.expr("array_distinct(transform(regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1), x -> lower(x)))")
+    return table(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.explode(tags).alias("dst"))
+
+
+@query("""WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT href, count(*) AS in_degree FROM h GROUP BY href""")
+def href_graph_degree(spark, sf):
+    links = F.expr("""array_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))""")
+    return table(spark, sf, "pages").select(F.explode(links).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("in_degree"))
+
+
+@query("""SELECT event_type AS src, nxt AS dst, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY 1, 2""")
+def event_transitions(spark, sf):
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = table(spark, sf, "events").select(F.col("event_type").alias("src"), after.alias("dst")).where("dst is not null")
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, replace(translate(replace(url, '+', '.'), '<>,:|*?\"/\\`', '__________'), ' ', '') AS uid FROM pages")
+def unique_id_normalise(spark, sf):
+    return table(spark, sf, "pages").select("page_id", names.unique_id(F.col("url")).alias("uid"))
+
+
+@query("SELECT p_partkey, 'CLASS: ' || p_name || '. Summary: ' || coalesce(nullif(trim(p_type), ''), 'No description.') AS chunk FROM part")
+def doc_chunks(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", names.chunk_text("CLASS", F.col("p_name"), F.col("p_type")).alias("chunk"))
+
+
+@query(r"SELECT conv_id, turn, nullif(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), '. '), '') AS summary FROM conversations")
+def clean_summary(spark, sf):
+    preview = F.concat(F.lit("CLASS x. Summary:"), F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", names.clean_summary(preview).alias("summary"))
+
+
+def _vector_of(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
+    """The query vector: one row, by key."""
+    return list(table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
+
+
+_SCORED = "WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), scored AS (SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q)"
+
+
+def _six(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"{_SCORED} SELECT vec_id, score FROM scored ORDER BY s DESC, vec_id LIMIT 5")
+def vector_topk(spark, sf):
+    return _six(vector.top_k(table(spark, sf, "embeddings"), _vector_of(spark, sf), 5, -1e9, "vec_id"))
+
+
+@query(f"{_SCORED} SELECT vec_id, score FROM (SELECT * FROM scored ORDER BY s DESC, vec_id LIMIT 10) WHERE s >= 0.3")
+def vector_topk_threshold(spark, sf):
+    return _six(vector.top_k(table(spark, sf, "embeddings"), _vector_of(spark, sf), 10, 0.3, "vec_id"))
+
+
+@query(f"{_SCORED} SELECT vec_id, score FROM (SELECT * FROM scored ORDER BY s DESC, vec_id LIMIT 50) WHERE label = 3 ORDER BY s DESC, vec_id LIMIT 5")
+def vector_pool_filter(spark, sf):
+    return _six(vector.pooled(table(spark, sf, "embeddings"), _vector_of(spark, sf), 5, F.col("label") == 3, "vec_id"))
+
+
+def _registry(spark, sf):
+    part = table(spark, sf, "part")
+    types = part.select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("full_name"),
+                        (F.col("p_size") > 40).alias("is_interface"), F.lit(False).alias("is_enum"), F.lit(False).alias("is_value_type"))
+    kind = F.when(F.col("p_size") % 2 == 0, "property").otherwise("method")
+    members = part.select(F.col("p_partkey").alias("type_seq"), F.lit(1).alias("seq"), kind.alias("member_kind"), F.col("p_type").alias("name"), F.concat(F.lit("M:"), "p_type").alias("doc_id"))
+    return types, members
+
+
+_TIERS = """SELECT * FROM (SELECT 0 AS tier, p_partkey AS type_seq, 0 AS member_seq, CASE WHEN p_size > 40 THEN 'INTERFACE' ELSE 'CLASS' END AS badge, p_brand || '.' || p_name AS label
+    FROM part WHERE contains(upper(p_name), '{q}') OR contains(upper(p_brand || '.' || p_name), '{q}')
+    UNION ALL SELECT CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END, p_partkey, 1, CASE WHEN p_size % 2 = 0 THEN 'PROPERTY' ELSE 'METHOD' END, 'M:' || p_type FROM part WHERE contains(upper(p_type), '{q}'))
+    ORDER BY tier, type_seq, member_seq LIMIT 12"""
+
+
+@query(_TIERS.format(q="A"))
+def keyword_tiers(spark, sf):
+    return views.keyword_search(*_registry(spark, sf), "a", 12)
+
+
+@query(f"""WITH k AS (SELECT row_number() OVER (ORDER BY tier, type_seq, member_seq) AS rank, label FROM ({_TIERS.format(q='A')})),
+    q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+    v AS (SELECT row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id::VARCHAR AS label FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 5))
+    SELECT 'keyword' AS section, rank, label FROM k UNION ALL SELECT 'semantic', rank, label FROM v""")
+def hybrid_sections(spark, sf):
+    by = lambda *c: F.row_number().over(Window.orderBy(*c)).cast("bigint").alias("rank")  # noqa: E731  over a top-k
+    keyword = views.keyword_search(*_registry(spark, sf), "a", 12).select(by("tier", "type_seq", "member_seq"), "label")
+    semantic = vector.top_k(table(spark, sf, "embeddings"), _vector_of(spark, sf), 5, -1e9, "vec_id")
+    return vector.hybrid(keyword, semantic.select(by(F.desc("score"), "vec_id"), F.col("vec_id").cast("string").alias("label")))
+
+
+def _view(spark, sf):
+    """Customers as a view's nodes, with places, radii and levels."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_custkey") % 9).alias("degree"))
+    df = dense_index(c)
+    x, y = spatial.spiral(F.col("idx"))
+    df = df.withColumn("x", x).withColumn("y", y)
+    for name, column in views.visual_metrics(F.col("degree")).items():
+        df = df.withColumn(name, column)
+    return df
+
+
+_VIEW_SQL = """v AS (SELECT c_custkey AS seq, 'C:' || c_custkey AS id, c_custkey % 9 AS degree, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer),
+    p AS (SELECT *, 35.0::DOUBLE * sqrt(idx + 1) * cos(idx * radians(137.507764)) AS x, 35.0::DOUBLE * sqrt(idx + 1) * sin(idx * radians(137.507764)) AS y,
+      least(16, floor(log2(degree + 1)))::INT AS z, 6 + sqrt(degree) AS radius, 1 + 0.25::DOUBLE * degree AS mass FROM v)"""
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx, id, round(x, 4) AS x, round(y, 4) AS y FROM p")
+def spiral_layout(spark, sf):
+    return _view(spark, sf).select("idx", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, 650.0::DOUBLE * ((row_number() OVER (ORDER BY p_partkey) - 1) % greatest(2, ceil(sqrt((SELECT count(*) FROM part))))::BIGINT) AS x, 400.0::DOUBLE * floor((row_number() OVER (ORDER BY p_partkey) - 1) / greatest(2, ceil(sqrt((SELECT count(*) FROM part))))) AS y FROM part")
+def grid_layout(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("seq"))
+    return spatial.grid_layout(dense_index(part), part.count()).select("idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+@query(f"WITH {_VIEW_SQL} SELECT id, z, round(radius, 6) AS radius, round(mass, 6) AS mass FROM p")
+def visual_metrics(spark, sf):
+    return _view(spark, sf).select("id", "z", F.round("radius", 6).alias("radius"), F.round("mass", 6).alias("mass"))
+
+
+@query("SELECT min(c_acctbal) AS min_x, max(c_acctbal) AS max_x, min(c_nationkey)::DOUBLE AS min_y, max(c_nationkey)::DOUBLE AS max_y FROM customer")
+def bbox(spark, sf):
+    return spatial.bounding_box(table(spark, sf, "customer").select(F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y")))
+
+
+_CELLS = f"WITH {_VIEW_SQL}, c AS (SELECT idx, least(greatest(floor(x / 120) + 64, 0), 127)::BIGINT AS cx, least(greatest(floor(y / 120) + 64, 0), 127)::BIGINT AS cy FROM p)"
+
+
+@query(f"{_CELLS} SELECT cx, cy, count(*) AS n FROM c GROUP BY 1, 2")
+def grid_cells(spark, sf):
+    at = _view(spark, sf).select(spatial.cell(F.col("x")).alias("cx"), spatial.cell(F.col("y")).alias("cy"))
+    return at.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_CELLS} SELECT a.idx AS i, count(*) AS n FROM c a JOIN c b ON abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1 AND a.idx < b.idx GROUP BY 1")
+def grid_neighbor_pairs(spark, sf):
+    return spatial.neighbour_pairs(_view(spark, sf)).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx FROM p WHERE (x - 35) * (x - 35) + y * y <= radius * radius")
+def hit_test_circle(spark, sf):
+    return _view(spark, sf).where(spatial.in_circle(35.0, 0.0)).select("idx")
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx FROM p WHERE abs(x - 100) <= 90 AND abs(y) <= 90")
+def hit_test_box(spark, sf):
+    return _view(spark, sf).where(spatial.in_box(100.0, 0.0, F.lit(90.0))).select("idx")
+
+
+@query(f"WITH {_VIEW_SQL}, t AS (SELECT idx, x, y, least(greatest((x * 300 + y * 200) / 130000.0, 0), 1) AS t FROM p) SELECT idx FROM t WHERE (x - t * 300) * (x - t * 300) + (y - t * 200) * (y - t * 200) <= 900")
+def hit_test_capsule(spark, sf):
+    return _view(spark, sf).where(spatial.near_segment(0.0, 0.0, 300.0, 200.0, 30.0)).select("idx")
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx, id FROM p WHERE (x - 35) * (x - 35) + y * y <= radius * radius ORDER BY z DESC, (x - 35) * (x - 35) + y * y, idx DESC LIMIT 1")
+def pick_node(spark, sf):
+    return spatial.pick(_view(spark, sf), 35.0, 0.0).select("idx", "id")
+
+
+@query(f"""WITH {_VIEW_SQL}, f AS (SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, a.mass AS am, b.mass AS bm FROM p a JOIN p b ON a.idx <> b.idx)
+    SELECT idx, round(sum(dx * 350 * bm / greatest(d2, 64 + 4 * (am + bm)) / sqrt(greatest(d2, 1e-9))), 3) AS fx FROM f WHERE d2 <= 2500.0 * 2500.0 GROUP BY idx""")
+def repulsion_exact(spark, sf):
+    return spatial.repulsion(_view(spark, sf)).select("idx", F.round("fx", 3).alias("fx"))
+
+
+@query("SELECT p_brand, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand")
+def registry_first_wins(spark, sf):
+    return table(spark, sf, "part").groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("first_name"))
+
+
+@query()
+def typesig_parse(spark, sf):
+    text = F.concat(F.lit("System.Collections.Generic.List`1<"), "p_brand", F.lit(","), F.lit("Foo<"), "p_type", F.lit(">>"))
+    sig = table(spark, sf, "part").select("p_partkey", names.type_signature(text).alias("s"))
+    return sig.select("p_partkey", F.array_join(F.transform("s", lambda x: x["clean_name"]), "|").alias("names"))
+
+
+@query()
+def csharp_edges(spark, sf):
+    code = F.concat(F.lit("public class Doc"), F.col("doc_id").cast("string"), F.lit(" : Base {\n void F() { var x = new Item"), (F.col("doc_id") % 7).cast("string"), F.lit("(); Bus.Instance.Send(x); x.Done += G; } }"))
+    return extract.csharp_edges(table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), code.alias("text")))
+
+
+@query()
+def physics_steps(spark, sf):
+    view = _view(spark, sf).where("idx < 200").withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
+    edges = view.select(F.col("idx").alias("i"), F.floor(F.col("idx") / 2).alias("j")).where("i <> j")
+    return spatial.physics(view, edges, steps=2).select("idx", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
