@@ -137,6 +137,67 @@ def parse_type(text: str | None) -> list[tuple[int, str, str, bool, bool]]:
     return out
 
 
+def preview_namespace(preview: Column) -> Column:
+    """What follows ``Namespace:``, up to the first dot."""
+    return F.trim(F.regexp_extract(preview, r"Namespace:([^.]*)", 1))
+
+
+def preview_file(preview: Column) -> Column:
+    """What follows ``Source file:``, without the closing dot."""
+    return F.regexp_replace(F.trim(F.regexp_extract(preview, r"(?s)Source file:(.*)$", 1)), r"\.$", "")
+
+
+def score_text(score: Column) -> Column:
+    return F.format_string("%.1f%%", score * 100)
+
+
+def score_colour(score: Column) -> Column:
+    return F.when(score > 0.85, "green").otherwise("yellow")
+
+
+# Names that stand for system types.
+ALIASES = {
+    "System.Void": "void", "System.Int32": "int", "System.Int64": "long", "System.Single": "float", "System.Double": "double",
+    "System.Boolean": "bool", "System.String": "string", "System.Char": "char", "System.Object": "object",
+}
+
+
+def _rendered(text: str | None, name_of) -> str:
+    """A type string with ``name_of`` each name in it; spans are arrays."""
+    rows = parse_type(text)
+
+    def at(i: int) -> tuple[str, int]:
+        depth, full = rows[i][:2]
+        args, i = [], i + 1
+        while i < len(rows) and rows[i][0] > depth:
+            arg, i = at(i)
+            args.append(arg)
+        if full.rsplit(".", 1)[-1] in ("Span", "ReadOnlySpan"):
+            return f"{args[0] if args else 'byte'}[]", i
+        return name_of(full) + (f"<{', '.join(args)}>" if args else ""), i
+
+    return at(0)[0] + ("[]" if (text or "").rstrip().endswith("[]") else "")
+
+
+def _by_name(name_of):
+    def rendered(types: pd.Series) -> pd.Series:
+        return types.map(lambda t: _rendered(t, name_of))
+
+    return F.pandas_udf(rendered, "string")
+
+
+def display_type(column: Column | str) -> Column:
+    """A type string with short names, as it is written in code; the recursion has no expression."""
+    short = lambda full: ALIASES.get(full, full.rsplit(".", 1)[-1])
+    return _by_name(short)(column)
+
+
+def type_link(column: Column | str) -> Column:
+    """A type string with a wiki link for each name that isn't a system type."""
+    link = lambda full: ALIASES.get(full) or (full if full.startswith("System.") else f"[[{full}]]")
+    return _by_name(link)(column)
+
+
 SIGNATURE = "array<struct<depth:int,full_name:string,clean_name:string,is_byref:boolean,is_pointer:boolean>>"
 
 

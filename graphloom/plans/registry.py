@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions import names
-from graphloom.operators import extract, metrics, paths, spatial, vector, views
+from graphloom.functions import names, style
+from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index
 from graphloom.sources import star
 from graphloom.sources.star import SQL_HEAVY, SQL_INHERIT, SQL_STAR, SQL_TRADE, table
@@ -380,3 +380,66 @@ def physics_steps(spark, sf):
     view = _view(spark, sf).where("idx < 200").withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
     edges = view.select(F.col("idx").alias("i"), F.floor(F.col("idx") / 2).alias("j")).where("i <> j")
     return spatial.physics(view, edges, steps=2).select("idx", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def _chain(column: str, table: dict, i: int, other) -> str:
+    text = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {text(v[i])}" for k, v in table.items()) + f" ELSE {text(other[i])} END"
+
+
+@query(f"WITH {SQL_INHERIT} SELECT {_chain('category', style.CATEGORY, 0, style.CATEGORY_OTHER)} AS icon, {_chain('category', style.CATEGORY, 4, style.CATEGORY_OTHER)} AS shape, count(*) AS n FROM nodes GROUP BY 1, 2")
+def category_styles(spark, sf):
+    look = style.category_style(F.col("category"))
+    return star.nodes(spark, sf).groupBy(look["icon"].alias("icon"), look["shape"].alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_STAR} SELECT {_chain('kind', style.RELATION, 5, style.RELATION_OTHER)} AS line, count(*) AS n FROM edges GROUP BY 1")
+def relation_styles(spark, sf):
+    line = style.relation_style(F.col("kind"))["line"]
+    return star.star_graph(spark, sf).edges.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SQL_INHERIT} SELECT id, name FROM (SELECT *, CASE WHEN upper(name) = 'RING' THEN 0 WHEN suffix(upper(name), '.RING') THEN 1 WHEN contains(upper(name), 'RING') THEN 2 END AS tier FROM nodes)
+    WHERE tier IS NOT NULL ORDER BY tier, seq LIMIT 1""")
+def first_match(spark, sf):
+    return lookup.first_match(star.nodes(spark, sf), "name", "ring").select("id", "name")
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), h AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 5)
+    SELECT p_partkey AS numeric_id, p_name AS fqn, p_type AS type, round(s, 6) AS score FROM h JOIN part ON p_partkey = vec_id""")
+def vector_metadata(spark, sf):
+    hits = vector.top_k(table(spark, sf, "embeddings"), _vector_of(spark, sf), 5, -1e9, "vec_id").select(F.col("vec_id").alias("numeric_id"), "score")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("numeric_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("fqn"), F.col("p_type").alias("type"), F.lit("").alias("text"))
+    return lookup.with_metadata(hits, part).select("numeric_id", "fqn", "type", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SQL_INHERIT} SELECT 'C:' || id AS id, lower(coalesce(category, 'class')) AS type, upper(coalesce(category, 'class')) || ': ' || id || '. Namespace: '
+    || CASE WHEN coalesce(namespace, '') IN ('', '<global namespace>') THEN 'global' ELSE translate(namespace, '<>', '') END || '. Source file: .' AS text FROM nodes""")
+def user_chunks(spark, sf):
+    return lookup.user_chunks(star.nodes(spark, sf).withColumn("file_path", F.lit(None).cast("string"))).select("id", "type", "text")
+
+
+@query(f"""WITH RECURSIVE {SQL_INHERIT}, up AS (SELECT n.id, n.id AS flat_name, i.dst AS parent FROM nodes n LEFT JOIN inherits i ON i.src = n.id
+    UNION ALL SELECT u.id, u.parent || '_' || u.flat_name, i.dst FROM up u LEFT JOIN inherits i ON i.src = u.parent WHERE u.parent IS NOT NULL)
+    SELECT id, flat_name FROM up WHERE parent IS NULL""")
+def flattened_names(spark, sf):
+    up = star.inheritance(spark, sf).select(F.col("src").alias("_s"), F.col("dst").alias("parent"))
+    rows = star.nodes(spark, sf).join(up, F.col("id") == F.col("_s"), "left")
+    return generics.flattened_names(rows.select("id", F.col("id").alias("name"), "parent"))
+
+
+@query("SELECT event_type AS message, count(*) AS n, min(event_id) AS first_seq FROM events GROUP BY 1 ORDER BY first_seq LIMIT 100")
+def message_counts(spark, sf):
+    return generics.message_counts(table(spark, sf, "events").select(F.col("event_type").alias("message"), F.col("event_id").alias("seq")))
+
+
+@query("""SELECT p_brand AS namespace, p_type AS name, p_size % 3 AS arity, arg_min(p_name, p_partkey) AS full_name, min(p_partkey) AS seq FROM part GROUP BY 1, 2, 3""")
+def namespace_types(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("namespace"), F.col("p_type").alias("name"), (F.col("p_size") % 3).alias("arity"), F.col("p_name").alias("full_name"), F.col("p_partkey").alias("seq"))
+    return generics.by_namespace(part)
+
+
+@query("SELECT p_brand AS type_key, p_type AS name, min(p_partkey) AS seq FROM part GROUP BY p_brand, p_type")
+def overload_dedup(spark, sf):
+    members = table(spark, sf, "part").select(F.col("p_brand").alias("type_key"), F.lit("method").alias("member_kind"), F.col("p_type").alias("name"), F.array().cast("array<string>").alias("params"), F.lit(0).alias("type_seq"), F.col("p_partkey").alias("seq"))
+    return generics.first_overloads(members).select("type_key", "name", "seq")

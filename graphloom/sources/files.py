@@ -54,3 +54,35 @@ def graph_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def api_document(spark: SparkSession, path: str | None) -> DataFrame:
     """The API document; without a path an empty one of the same columns."""
     return spark.createDataFrame([], API_JSON) if path is None else spark.read.schema(API_JSON).json(path, multiLine=True)
+
+
+# Where an index may be under a folder, in the order to look, and the files that tell.
+INDEX_DIRS = ("engine_api/vec", "engine_api", "user_code/vec", "user_code", "vec", "")
+INDEX_FILES = ("semantic_index.tvim", "graph.json")
+
+
+def index_dir(spark: SparkSession, base: str) -> str:
+    """The first candidate folder under ``base`` that holds an index, in any store Spark reads; else ``base``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for sub in INDEX_DIRS:
+        folder = f"{base.rstrip('/')}/{sub}".rstrip("/")
+        for name in INDEX_FILES:
+            path = hadoop(f"{folder}/{name}")
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                return folder
+    return base
+
+
+def source_of(sources: DataFrame, class_name: str) -> DataFrame:
+    """The first source file, by path, whose name without its ending is ``class_name``."""
+    stem = F.regexp_extract("path", r"([^/\\]+?)\.[^/\\]*$", 1)
+    return sources.where(F.upper(stem) == class_name.upper()).orderBy("path").limit(1)
+
+
+def file_listing(spark: SparkSession, root: str, rules: list[str] = ()) -> DataFrame:
+    """``path, bytes, lines, is_binary`` of all files under ``root`` that no rule leaves out; binaries have no lines."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    binary = F.contains(F.col("content"), F.lit(b"\x00"))
+    lines = F.when(~binary, F.size(F.split(F.decode("content", "ISO-8859-1"), "\n", -1)))
+    listed = files.select("path", F.col("length").alias("bytes"), lines.cast("bigint").alias("lines"), binary.alias("is_binary"))
+    return listed.where(~ignored(F.col("path"), rules))

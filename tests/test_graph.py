@@ -6,9 +6,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import extract, metrics, paths, spatial, vector
+from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, vector
 from graphloom.operators.model import PropertyGraph, first_edges, strict_edges, upsert_nodes
 from graphloom.operators.paths import _back_edge_cycles
+from graphloom.sources import files
 from graphloom.sources.files import ignored
 
 NODES = "seq bigint, id string, name string, namespace string, origin string, category string"
@@ -117,3 +118,66 @@ def test_razor_and_csharp(spark):
 def test_ignore_rules(spark):
     df = spark.createDataFrame([(x,) for x in ("a/Tests/x.cs", "b/ui.designer.cs", "c/tmp.cs", "a/Test.cs", "bin/a.cs")], "path string")
     assert [r.path for r in df.where(~ignored(F.col("path"), ["Tests/", "*.designer.cs", "tmp.cs"])).collect()] == ["a/Test.cs"]
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"v {kind}").select(column(F.col("v"))).first()[0]
+
+
+def test_names_of_types_and_previews(spark):
+    assert one(spark, names.display_type, "System.Collections.Generic.List`1<System.Int32>") == "List<int>"
+    assert one(spark, names.display_type, "System.Span<System.Byte>") == "Byte[]" and one(spark, names.display_type, "A.B[]") == "B[]"
+    assert one(spark, names.type_link, "A.Map<System.String,A.B>") == "[[A.Map]]<string, [[A.B]]>"
+    preview = "CLASS: X. Namespace: My.Code. Source file: X.cs."
+    assert one(spark, names.preview_namespace, preview) == "My" and one(spark, names.preview_file, preview) == "X.cs"
+    assert one(spark, names.score_text, 0.8766, "double") == "87.7%" and one(spark, names.score_colour, 0.9, "double") == "green"
+
+
+MEMBERS = "type_key string, type_name string, type_seq int, seq int, member_kind string, name string, doc_id string, member_type string, params array<string>, is_public boolean, summary string"
+
+
+def test_generic_parameters(spark):
+    rows = [
+        ("A.BOX", "A.Box", 0, 0, "property", "Item", "P:A.Box.Item", "T", None, True, None),
+        ("A.BOX", "A.Box", 0, 1, "method", "Map", "M:A.Box.Map", "List<TOut>", ["T", "A.Tree"], True, "Maps."),
+        ("A.BOX", "A.Box", 0, 2, "method", "Map", "M:A.Box.Map2", "void", ["T", "A.Tree"], False, None),
+    ]
+    members = spark.createDataFrame(rows, MEMBERS)
+    types = spark.createDataFrame([(0, "A.Box", "Box", "A", False, None), (1, "A.Tree", "Tree", "", False, "A tree.")], "seq int, full_name string, name string, namespace string, is_enum boolean, summary string")
+    of_class = generics.class_parameters(members, types)
+    assert [tuple(r) for r in of_class.collect()] == [("A.BOX", ["T", "TOut"])]
+    assert generics.method_parameters(members, types, of_class.select("type_key", F.array(F.lit("T")).alias("generics"))).where("size(generics) > 0").first().generics == ["TOut"]
+    arity = generics.arities(types, of_class)
+    assert {r.full_name: r.arity for r in arity.collect()} == {"A.Box": 2, "A.Tree": 0}
+    assert {r.namespace for r in generics.by_namespace(types.join(arity, "full_name")).collect()} == {"A", "Sandbox"}
+    assert sorted(r.seq for r in generics.first_overloads(members).collect()) == [0, 1]
+    texts = {r.id: r.text for r in lookup.api_chunks(types, members).collect()}
+    assert texts["P:A.Box.Item"] == "PROPERTY in A.Box: Item (T). Summary: No description." and texts["C:A.Tree"] == "CLASS: A.Tree. Summary: A tree."
+    assert "M:A.Box.Map2" not in texts
+    hits = spark.createDataFrame([("M:A.Box.Map2", "A.Box.Map"), ("?", "A.Box.Item"), ("?", "A.None")], "id string, fqn string")
+    assert {(r.fqn, r.doc_id) for r in lookup.with_members(hits, members).collect()} == {("A.Box.Map", "M:A.Box.Map2"), ("A.Box.Item", "P:A.Box.Item"), ("A.None", None)}
+    nodes = spark.createDataFrame([("a.tree",), ("x",)], "id string")
+    assert {(r.id, r.full_name) for r in lookup.with_types(nodes, types).collect()} == {("a.tree", "A.Tree"), ("x", None)}
+    assert lookup.global_aliases(members.withColumn("type_name", F.lit("GlobalState"))).first() == ("Item", "T")
+
+
+def test_lookup_tiers_nesting_and_messages(spark):
+    df = spark.createDataFrame([(0, "Vertex.Colors"), (1, "A.Color"), (2, "B.Color")], "seq int, name string")
+    assert lookup.first_match(df, "name", " color ").first().seq == 1 and lookup.first_match(df, "name", "none").count() == 0
+    shown, more = lookup.limited(df, 2)
+    assert shown.count() == 2 and more == 1
+    nested = spark.createDataFrame([("a", "A", None), ("b", "B", "A"), ("c", "C", "b")], "id string, name string, parent string")
+    assert {r.id: r.flat_name for r in generics.flattened_names(nested).collect()} == {"a": "A", "b": "A_B", "c": "A_B_C"}
+    assert generics.message_counts(df.select("seq", F.lit("m").alias("message"))).first() == ("m", 3, 0)
+
+
+def test_file_listing_and_index_dir(spark, tmp_path):
+    (tmp_path / "vec").mkdir()
+    (tmp_path / "vec" / "graph.json").write_text("{}")
+    (tmp_path / "a.cs").write_bytes(b"x\n\xff")
+    (tmp_path / "b.dat").write_bytes(b"\x00\n")
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.lines, r.is_binary) for r in files.file_listing(spark, str(tmp_path), ["vec/"]).collect()}
+    assert got == {"a.cs": (3, 2, False), "b.dat": (2, None, True)}
+    assert files.index_dir(spark, str(tmp_path)) == f"{tmp_path}/vec" and files.index_dir(spark, str(tmp_path / "none")) == f"{tmp_path}/none"
+    src = spark.createDataFrame([("b/Foo.cs",), ("a/foo.razor",), ("a/Food.cs",)], "path string")
+    assert files.source_of(src, "Foo").first().path == "a/foo.razor"
