@@ -20,17 +20,24 @@ POSTING = 32
 BLOCK = 100_000
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64-bit majority of the XXH64 (seed 42) hashes of a text's word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) hashes of a text's word shingles, repeats included; none of a blank text."""
     import xxhash
 
     words = text.encode().lower().split()  # of bytes: A-Z, and blanks 09-0D and 20, only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, n)
+    return np.fromiter((digest(g, 42) for g in grams), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """64-bit majority of the hashes of a text's word shingles."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, BLOCK):
         rows = hashes[lo : lo + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
