@@ -114,8 +114,11 @@ class Index:
             at = at + (inside & (((self.sym[s] * self.steps[r, j]) >> np.uint64(63)) == 1))
         return start, (key if prune is not None else keys)
 
-    def search(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``(item number, start, end, edits)`` of copies in ``words``, where 0 is any word no item has."""
+    def search(self, words: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """``(item number, document, start, end, edits)`` of copies in ``words``, where 0 is any word no item has.
+
+        Documents begin at ``begins`` and have ``lengths`` words; places count from the document's first word.
+        """
         known = np.concatenate([[0], np.cumsum(words > 0)])
         done: set[tuple[int, int]] = set()
         for size, members, tables in self.classes:
@@ -133,17 +136,24 @@ class Index:
                     continue
                 order = np.argsort(keys, kind="stable")
                 lo, hi = np.searchsorted(keys[order], key, "left"), np.searchsorted(keys[order], key, "right")
-                for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                # A window begins with a word of its document, so its place tells the document; a copy's start doesn't.
+                doc = np.searchsorted(begins, at, "right") - 1
+                head, tail = begins[doc], begins[doc] + lengths[doc]
+                hits = zip(at.tolist(), lo.tolist(), hi.tolist(), doc.tolist(), head.tolist(), tail.tolist(), strict=True)
+                for p, a, b, d, head_, tail_ in hits:
                     for k in members[order[a:b]].tolist():
                         n = len(self.items[k])
-                        if (k, p // max(1, n // 4)) in done:
+                        near = (k, d, (p - head_) // max(1, n // 4))
+                        if near in done:
                             continue
-                        done.add((k, p // max(1, n // 4)))
+                        done.add(near)
                         spare = int(self.edits * n)
-                        lo_, hi_ = max(0, p - n // 4 - spare), min(len(words), p + n + n // 4 + spare)
+                        lo_, hi_ = max(head_, p - n // 4 - spare), min(tail_, p + n + n // 4 + spare)
                         edits, end = edit_distance(self.items[k], words[lo_:hi_])
                         if edits <= spare:
-                            yield k, max(lo_, lo_ + end - n), lo_ + end, edits
+                            # Backwards from the end, the best match of the turned item ends where the copy starts.
+                            size = edit_distance(self.items[k][::-1], words[lo_ : lo_ + end][::-1][: n + spare])[1]
+                            yield k, d, lo_ + end - size - head_, lo_ + end - head_, edits
 
 
 def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
@@ -156,7 +166,7 @@ def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
             found: list[tuple] = []
             k = 0
             while k < batch.num_rows:
-                parts, begins, size = [], [], 0
+                parts, begins, lengths, size = [], [], [], 0
                 first = k
                 while k < batch.num_rows and (not parts or size < BLOCK):
                     words = words_of(batch.column(1)[k].as_py() or "")
@@ -164,12 +174,12 @@ def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
                     ids[: len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
                     parts.append(ids)
                     begins.append(size)
+                    lengths.append(len(words))
                     size += len(ids)
                     k += 1
                 best: dict[tuple[int, int], tuple] = {}
-                for item, start, end, edits in index.search(np.concatenate(parts)):
-                    d = int(np.searchsorted(begins, start, "right")) - 1
-                    row = (edits, start - begins[d], end - start)
+                for item, d, start, end, edits in index.search(np.concatenate(parts), np.array(begins), np.array(lengths)):
+                    row = (edits, start, end - start)
                     best[d, item] = min(best.get((d, item), row), row)
                 found += [(first + d, index.ids[item], *row) for (d, item), row in best.items()]
             rows = list(zip(*found, strict=True)) if found else [[]] * 5
