@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,7 +24,9 @@ _SEPARATE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    """Runs of letters and digits, A-Z lower-cased."""
+    """Runs of letters and digits, without regard to case and normal form in all of Unicode."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
     return text.encode().lower().translate(_SEPARATE).split()
 
 

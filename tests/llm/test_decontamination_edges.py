@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from graphloom.llm import decontamination
 
@@ -22,3 +23,14 @@ def test_edited_copies_at_the_ends_of_documents(spark):
     for r in got:
         _, start, size = want[r.doc_id]
         assert abs(r.start_word - start) <= 2 and abs(r.n_words - size) <= 2 and r.start_word >= 0
+
+
+def test_copies_in_capitals_and_other_normal_forms(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdeéñóíßüœçж", k=7)) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=25))) for i in range(10)]
+    forms = [str.upper, str.title, lambda t: unicodedata.normalize("NFD", t), lambda t: unicodedata.normalize("NFD", t.upper())]
+    rows = [(10 * i + k, "Intro text " + form(t) + " outro.") for i, t in items for k, form in enumerate(forms)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.find_contamination(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(10 * i + k, i, 0) for i, _ in items for k in range(len(forms))}
