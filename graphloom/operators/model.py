@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import settled
+
 
 def first_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, kind, details), ends and details without regard to case; the first stays.
@@ -39,6 +41,7 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Numbers from 0 in ``seq`` order, made part by part rather than in one task."""
     spark = df.sparkSession
     ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq").withColumn("_part", F.spark_partition_id())
+    ranged = settled(ranged)  # ranges are sampled: a second evaluation may deal the rows otherwise
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each partition

@@ -377,7 +377,7 @@ def csharp_edges(spark, sf):
 
 @query()
 def physics_steps(spark, sf):
-    view = _view(spark, sf).where("idx < 200").withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
+    view = _view(spark, sf).withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0))
     edges = view.select(F.col("idx").alias("i"), F.floor(F.col("idx") / 2).alias("j")).where("i <> j")
     return spatial.physics(view, edges, steps=2).select("idx", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
