@@ -24,10 +24,39 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(_OTHER_CASED), F.translate(text, UPPER_AZ, LOWER_AZ)).otherwise(F.lower(text))
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that none can clash with an operator's own names."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+
+
+def identity(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's id, null ids last, and 128 hash bits of its text: rows that share or lack an id are told apart by it."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(
+        F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")
+    )
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, how: str, *, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose :func:`identity` is (``left_semi``) or isn't (``left_anti``) in column ``key`` of ``keys``.
+
+    With ``once``, of rows with the same identity one stays.
+    """
+    parts = ["n", "i", "h1", "h2"]
+    keys = keys.select("key.*").distinct().select(*[F.col(c).alias(f"k_{c}") for c in parts])
+    rows = docs.select(packed(docs).alias("row"), identity().alias("key")).select("row", "key.*")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) if c == "i" else F.col(c) == F.col(f"k_{c}") for c in parts]
+    rows = rows.join(keys, same, how)
+    return (rows.dropDuplicates(parts) if once else rows).select("row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one where none is configured, in local mode only."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -61,3 +90,23 @@ def parts_for(df: DataFrame, per_part: int = 8 << 20, least: int = 16) -> int:
     if size > 1 << 55:  # unknown to the optimizer
         return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, -(-size // per_part))
+
+
+def join_by_heat(rows: DataFrame, table: DataFrame, on: list[str], weight: str, most: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and how often ``rows`` may hold it as ``weight``.
+
+    The heaviest keys, at most ``most`` of them and all over some power of two, are
+    broadcast, so a key of any number of rows stays where its rows are; the others,
+    each lighter than that power, are merged by shuffles.
+    """
+    level = F.floor(F.log2(weight)).cast("int")
+    least, taken, left = 64, 0, 0
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
+        if left or taken + r.n > most:
+            left += r.n
+        else:
+            least, taken = r.level, taken + r.n
+    if not left:
+        return rows.join(F.broadcast(table), on)
+    rows = cut(rows)
+    return rows.join(F.broadcast(table.where(level >= least)), on).unionByName(rows.join(table.where(level < least).hint("merge"), on))

@@ -76,7 +76,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import apply_line_dedup
 
     kept = apply_line_dedup(_docs(spark, sf_dir).select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), F.hex("keep_bitmap").alias("keep_bitmap"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"), "keep_runs")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,13 +113,12 @@ ORACLE_SQL = {
                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
         f AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
         m AS (SELECT k.*, f.last IS NOT NULL AND k.doc_id <> f.last AS goes FROM k LEFT JOIN f USING (key)),
-        b AS (SELECT doc_id, p // 8 AS byte, sum(CASE WHEN goes THEN (1 << (p % 8)::INT) ELSE 0 END)::INT AS bits,
-                     max(p // 8) FILTER (WHERE goes) AS own FROM m GROUP BY ALL),
-        h AS (SELECT doc_id, max(own) AS last_byte FROM b GROUP BY doc_id),
-        x AS (SELECT b.doc_id, string_agg(printf('%02X', 255 - bits), '' ORDER BY byte) AS keep_bitmap
-              FROM b JOIN h USING (doc_id) WHERE byte <= last_byte GROUP BY b.doc_id)
+        g AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM m WHERE goes),
+        r AS (SELECT doc_id, min(p) AS s, max(p) AS e FROM g GROUP BY doc_id, island),
+        q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), -1) AS before FROM r),
+        x AS (SELECT doc_id, string_agg((s - before - 1) || ',' || (e - s + 1), ',' ORDER BY s) AS keep_runs FROM q GROUP BY doc_id)
         SELECT m.doc_id, any_value(n)::BIGINT AS n_lines, count(*) FILTER (WHERE goes)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT goes), '')) AS kept_sha256,
-               coalesce(any_value(keep_bitmap), '') AS keep_bitmap
+               coalesce(any_value(keep_runs), '') AS keep_runs
         FROM m LEFT JOIN x USING (doc_id) GROUP BY m.doc_id""",
 }

@@ -49,7 +49,7 @@ def test_exact(docs, none):
 def test_lines(docs, none):
     got = {r.doc_id: r for r in line_dedup.apply_line_dedup(docs).collect()}
     assert got[11].text == f"q\n{LONG}" and got[7].text == "x\n\ny" and got[7].n_dropped == 2 and got[8].text == "" and got[8].n_lines == 1
-    assert got[9].text == "" and got[10].text == "z" and got[3].n_lines == 1 and got[7].keep_bitmap == bytes([0b11110101])
+    assert got[9].text == "" and got[10].text == "z" and got[3].n_lines == 1 and got[7].keep_runs == "1,1,1,1"
     assert line_dedup.apply_line_dedup(none).count() == 0
 
 
@@ -200,9 +200,9 @@ def test_edit_distance_against_table():
 
 def test_toxicity(spark, docs, none):
     m = toxicity.Matcher()
-    count = lambda t: dict(zip(toxicity.FEATURES, m.counts(t), strict=True))
-    assert count("a clown car.")["I"] == 1 and count("you idiot!")["J"] >= 1 and count("this is not stupid.")["i"] == 1
-    assert count("she said it was trash.")["r"] + count("she said it was trash.")["J"] >= 1 and count("I will kill you")["K"] == 1
+    count = lambda t: dict(zip(toxicity.CLASSES, m.counts(t), strict=True))
+    assert count("a clown car.")["I"] == 1 and count("you idiot! you moron.")["J"] == 2 and count("this is not stupid.")["i"] == 1 and count("this is stupid")["P"] == 1
+    assert count("she said it was trash.")["r"] == 1 and count("I will kill you")["K"] == 1 and count("I will never kill you")["i"] == 1
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, None)], LABELS)
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == len(ROWS) + 1 and all(0 <= r.score <= 1 and not r.predicted for r in got)
@@ -210,11 +210,13 @@ def test_toxicity(spark, docs, none):
 
 
 def test_held_out_toxicity(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id")
     rows = got.select("predicted", "toxic").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.9 * len(rows)
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
 def test_quality(spark, docs, none):
