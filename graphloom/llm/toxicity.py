@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from .common import packed
+
 # The grammar's terminals in English, German, French and Spanish.
 INSULT = """idiot moron scum trash clown pathetic loser worthless stupid disgusting imbecile dumb vermin filth coward
     dummkopf abschaum trottel versager erbärmlich wertlos ekelhaft crétin ordure minable débile abruti lâche
@@ -19,6 +21,7 @@ INSULT = """idiot moron scum trash clown pathetic loser worthless stupid disgust
 THREAT = "kill hurt destroy beat burn töten umbringen verprügeln tuer frapper détruire matar golpear destruir".split()
 TARGET = "you your yours u he she they them him her du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes vosotros".split()
 NEGATION = "not no never isn't aren't wasn't nicht kein keine nie pas jamais nunca jamás tampoco".split()
+COPULA = "is are was were am be you're he's she's they're it's ist sind war bist seid est sont es suis êtes es son eres eras".split()
 REPORT = "said says wrote claims quoted reported sagte schrieb behauptet a-dit écrit déclare dijo escribió afirma".split()
 
 #: Labelled training rows that a fit reads at most, taken in order of a hash of the id.
@@ -29,8 +32,10 @@ STEM, LEARN_LEAST, LEARN_CLEAN = range(3, 9), 6, 0.25
 #: Stems compared in the greedy choice, and chosen.
 CANDIDATES, LEARN_MOST = 2_000, 64
 
-# Prior weights of a clause's matches, and of the bias; the fit starts from them and is drawn to them.
-FEATURES = {"I": 7.0, "J": 8.0, "L": 2.5, "i": 3.0, "r": 3.0, "H": 0.3, "K": 7.0}
+# Classes of a clause, the heaviest first, with their prior weights: a threat to someone, an insult at someone, an insult said of
+# something, a learned word at someone, several learned words, an insult or a learned word that no one is the target of, a negated or reported match,
+# and a threat to no one.  The fit starts from these and is drawn to them: without labels an insult alone condemns no text.
+CLASSES = {"K": 7.0, "J": 7.0, "P": 5.0, "M": 4.5, "W": 3.0, "I": 1.5, "L": 1.0, "i": 0.3, "r": 0.3, "H": 0.3}
 BIAS = -3.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
@@ -61,42 +66,65 @@ class Transducer:
         return out
 
 
+def _threat(state: int, x: str):
+    """A threat within three words before its target makes the target ``K``."""
+    if x == "H":
+        return 3, x
+    return (0, "K") if x == "T" and state else (max(0, state - 1), x)
+
+
 def _negation(state: int, x: str):
-    """An insult within three words after a negation is a negated one, ``i``."""
+    """What matches within three words after a negation is a negated match, ``i``."""
     if x == "N":
         return 3, x
-    return max(0, state - 1), "i" if x in "IL" and state else x
+    return max(0, state - 1), "i" if x in "KIL" and state else x
 
 
 def _reported(state: int, x: str):
-    """An insult after a verb of saying is a reported one, ``r``."""
-    return (1, x) if x == "R" else (state, "r" if state and x in "ILi" else x)
+    """What matches after a verb of saying is a reported match, ``r``."""
+    return (1, x) if x == "R" else (state, "r" if state and x in "KILi" else x)
 
 
 def _target(state: int, x: str):
-    """An insult within four words of whom it addresses is a targeted one, ``J``."""
+    """An insult within four words of whom it addresses makes ``J``, a learned word ``M``, at the later of the two.
+
+    The state counts words since a target (above 0), an insult (below 0) or a learned word (below -10).
+    """
     if x == "T":
-        return (0, "J") if state < 0 else (4, x)
-    if x == "I":
-        return (0, "J") if state > 0 else (-4, x)
-    return (state - 1 if state > 0 else state + 1 if state < 0 else 0), x
+        return (0, "J") if -10 < state < 0 else (0, "M") if state < 0 else (4, x)
+    if x in "IL":
+        return (0, "J" if x == "I" else "M") if state > 0 else (-4 if x == "I" else -14, x)
+    return (state - 1 if state > 0 else state + 1 if state not in (0, -11) else 0), x
 
 
-def _threat(state: int, x: str):
-    """A threat within three words before its target is ``K``."""
-    if x == "H":
+def _predicate(state: int, x: str):
+    """An insult within three words after a copula is said of something, ``P``."""
+    if x == "B":
         return 3, x
-    return (0, "K") if x == "T" and state else (max(0, state - 1), x)
+    return max(0, state - 1), "P" if x == "I" and state else x
+
+
+def _repeated(state: int, x: str):
+    """A learned word after another one in the clause is ``W``."""
+    return (1, "W" if state else x) if x == "L" else (state, x)
+
 
+GRAMMAR = Transducer(_threat)
+for _next in (_negation, _reported, _target, _predicate, _repeated):
+    GRAMMAR = GRAMMAR.compose(Transducer(_next))
 
-GRAMMAR = Transducer(_threat).compose(Transducer(_negation)).compose(Transducer(_reported)).compose(Transducer(_target))
+
+def clause_class(symbols: list[str]) -> str | None:
+    """The heaviest class among what the composed transducers put out for a clause."""
+    out = set(GRAMMAR.run(symbols))
+    return next((c for c in CLASSES if c in out), None)
 
 
 class Matcher:
-    """Counts the grammar's matches in texts; ``stems`` are learned insults, ``L``, by how words begin."""
+    """Counts the clauses of each class in texts; ``stems`` are learned insults, ``L``, by how words begin."""
 
     def __init__(self, stems: Iterable[str] = ()):
-        groups = (("T", TARGET), ("R", REPORT), ("N", NEGATION), ("H", THREAT), ("I", INSULT))
+        groups = (("T", TARGET), ("R", REPORT), ("N", NEGATION), ("H", THREAT), ("I", INSULT), ("B", COPULA))
         self.kind = {w: k for k, words in groups for w in words}
         heads = [re.escape(w) for w in sorted({*INSULT, *THREAT})]
         begins = "|".join(map(re.escape, sorted(stems)))
@@ -107,8 +135,8 @@ class Matcher:
         return self.kind.get(word) or ("L" if self.stem and self.stem.match(word) else "o")
 
     def counts(self, text: str) -> list[int]:
-        """Of each feature; clauses without an insult or threat can't match and are skipped."""
-        found = dict.fromkeys(FEATURES, 0)
+        """Clauses of each class; those without an insult or threat can't match and are skipped."""
+        found = dict.fromkeys(CLASSES, 0)
         low, done = text.lower(), 0
         for m in self.head.finditer(low):
             if m.start() < done:
@@ -119,9 +147,8 @@ class Matcher:
             done = end.start() if end else len(low)
             symbols = [self.symbol(w) for w in _WORD.findall(low, begin, done)]
             if not {"I", "H", "L"}.isdisjoint(symbols):
-                for y in GRAMMAR.run(symbols):
-                    if y in found:
-                        found[y] += 1
+                if kind := clause_class(symbols):
+                    found[kind] += 1
         return list(found.values())
 
 
@@ -133,15 +160,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_weights(counts: np.ndarray, labels: np.ndarray, rounds: int = 300, pull: float = 0.05) -> np.ndarray:
-    """Logistic weights, the bias last, drawn to the priors; without both labels, the priors."""
-    prior = np.array([*FEATURES.values(), BIAS])
+def fit_weights(counts: np.ndarray, labels: np.ndarray, rounds: int = 50, pull: float = 0.05) -> np.ndarray:
+    """Logistic weights, the bias last, drawn to the priors, by Newton's steps; without both labels, the priors."""
+    prior = np.array([*CLASSES.values(), BIAS])
     if len(labels) == 0 or labels.min() == labels.max():
         return prior
     x = np.hstack([_squash(counts), np.ones((len(labels), 1))])
-    w = prior.copy()
+    w, n = prior.copy(), len(labels)
     for _ in range(rounds):
-        w -= 0.5 * (x.T @ (_sigmoid(x @ w) - labels) / len(labels) + pull / np.sqrt(len(labels)) * (w - prior))
+        p = _sigmoid(x @ w)
+        slope = x.T @ (p - labels) / n + pull / n * (w - prior)
+        bend = (x * (p * (1 - p))[:, None]).T @ x / n + (pull / n + 1e-9) * np.eye(len(w))
+        step = np.linalg.solve(bend, slope)
+        w -= step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-7:
+            break
     return w
 
 
@@ -209,26 +242,25 @@ def _learned_stems(sample: DataFrame) -> list[str]:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> tuple[list[str], list[float]]:
     """Learned terminals and weights, from at most ``train_rows`` labelled rows that aren't held out."""
-    train = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
+    train = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     train = train.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(train), "doc_id")
     learned = _learned_stems(sample)
-    rows = _counted(sample, Matcher(learned), ["toxic"]).collect()
-    counts = np.array([r.counts for r in rows]).reshape(-1, len(FEATURES))
-    return learned, fit_weights(counts, np.array([r.toxic for r in rows], float)).tolist()
+    rows = _counted(sample, Matcher(learned), F.col("toxic")).collect()
+    counts = np.array([r.counts for r in rows]).reshape(-1, len(CLASSES))
+    return learned, fit_weights(counts, np.array([r.row for r in rows], float)).tolist()
+
 
+def _counted(docs: DataFrame, matcher: Matcher, more: Column) -> DataFrame:
+    """``row, counts``: column ``more`` and the numbers of clauses of each class of every text."""
 
-def _counted(docs: DataFrame, matcher: Matcher, more: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [matcher.counts(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(counts, pa.list_(pa.int64()))], [*batch.schema.names[1:], "counts"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts, pa.list_(pa.int64()))], ["row", "counts"])
 
-    slim = docs.select(F.col("text").alias("_text"), *more)
-    schema = StructType([*slim.schema.fields[1:], StructField("counts", ArrayType(LongType()))])
-    return slim.mapInArrow(run, schema)
+    slim = docs.select("text", more.alias("row"))
+    return slim.mapInArrow(run, StructType([slim.schema["row"], StructField("counts", ArrayType(LongType()))]))
 
 
 def _score(weights: list[float]) -> Column:
@@ -238,9 +270,13 @@ def _score(weights: list[float]) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` (``doc_id``, ``text`` and others, all kept) that score under ``threshold``; a map without shuffle."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns; a map without shuffle.
+
+    Null and empty texts stay, as they match nothing; repeated rows stay or go
+    together; ids may be null or equal; an empty table gives an empty result.
+    """
     stems, weights = fit_toxicity(docs, labels, train_rows=train_rows)
-    return _counted(docs, Matcher(stems), docs.columns).where(_score(weights) < threshold).select(*docs.columns)
+    return _counted(docs, Matcher(stems), packed(docs)).where(_score(weights) < threshold).select("row.*")
 
 
 def score_toxicity(
@@ -249,8 +285,8 @@ def score_toxicity(
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Each clause with an insult or a threat runs through the composed threat,
-    negation, reported-speech and target transducers; what they put out is
-    weighted.  Weights, and terminals for toxic texts without a known word, come
+    negation, reported-speech, target, predicate and repetition transducers; the heaviest class
+    they put out is the clause's, and a text's numbers of clauses are weighted.  Weights, and terminals for toxic texts without a known word, come
     from at most ``train_rows`` labelled rows whose id's checksum isn't held out.
     Labels, languages, sources and ids are no input of a score.  A map without shuffle.
 
@@ -261,7 +297,8 @@ def score_toxicity(
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     stems, weights = fit_toxicity(slim, labels, train_rows=train_rows)
     return (
-        _counted(slim, Matcher(stems), ["doc_id"])
+        _counted(slim, Matcher(stems), F.col("doc_id"))
+        .withColumnRenamed("row", "doc_id")
         .select(
             "doc_id",
             F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
