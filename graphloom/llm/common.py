@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,3 +114,30 @@ def join_by_heat(rows: DataFrame, table: DataFrame, on: list[str], weight: str,
         return rows.join(F.broadcast(table), on)
     rows = cut(rows)
     return rows.join(F.broadcast(table.where(level >= least)), on).unionByName(rows.join(table.where(level < least).hint("merge"), on))
+
+
+def packed_by(key: Column, docs: DataFrame, level: int = 6) -> DataFrame:
+    """``key, blob``: the rows of each batch by key, compressed, so that a shuffle of texts moves about half their bytes."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            order = np.argsort(key, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]])) if len(order) else [0]
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], names)
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=options) as writer:
+                    writer.write_batch(rest.take(pa.array(order[lo:hi])))
+                blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([key[order[lo]]]), blob], ["key", "blob"])
+
+    return docs.select(key.cast("long").alias("key"), "*").mapInArrow(run, "key long, blob binary")
+
+
+def unpacked(blobs: Iterable[bytes]) -> Iterator[pa.Table]:
+    """The rows that :func:`packed_by` has compressed."""
+    for blob in blobs:
+        yield pa.ipc.open_stream(blob).read_all()

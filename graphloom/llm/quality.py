@@ -2,148 +2,177 @@
 
 from __future__ import annotations
 
-import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import cut
+from .common import cut, packed_by, parts_for, unpacked
 
-#: Symbols are 6 bits, n-grams have four: a model has at most 64**4 n-grams, whatever the corpus.
-BITS, ORDER = 6, 4
-SYMBOLS = 1 << BITS
-NEWLINE = 30
+#: Code points of an n-gram.  No alphabet is folded, so the model grows with the corpus.
+ORDER = 5
 #: Quantiles of trusted documents' perplexity, by language, outside which a document goes.
-LOW, HIGH = 0.001, 0.998
+LOW, HIGH = 0.002, 0.995
+#: Bytes of input file that make a block of documents.
+BLOCK = 8 << 20
+#: Code points whose n-grams are made at once.
 SLICE = 1 << 20
+#: How hard documents are compressed before they are dealt to blocks.
+LEVEL = 9
 #: Parts that the documents of one language are dealt into for the join with its thresholds.
 SALTS = 32
 
+_NEWLINE = 10
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def _symbol_table() -> np.ndarray:
-    """Code point -> symbol: a-z, any capital, any digit, space, newline, each ASCII mark, other letters, others."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x80, 0x3000):
-        ch = chr(cp)
-        table[cp] = 27 if ch.isupper() else 63 if ch.isalpha() else 29 if ch.isspace() else 0
-    table[0x3000:] = 0
-    table[0x3040:0xD800] = 63
-    for i, ch in enumerate(string.ascii_lowercase):
-        table[ord(ch)] = 1 + i
-        table[ord(ch.upper())] = 27
-    for ch in string.digits:
-        table[ord(ch)] = 28
-    for ch in " \t\r\x0b\x0c":
-        table[ord(ch)] = 29
-    table[ord("\n")] = NEWLINE
-    for i, ch in enumerate(string.punctuation):
-        table[ord(ch)] = 31 + i
-    return table
-
-
-_table = None
-
-
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Codes of all 4-grams that end in a symbol of ``text``, a slice at a time; newlines precede it."""
-    global _table
-    if _table is None:
-        _table = _symbol_table()
-    before = np.full(ORDER - 1, NEWLINE, np.uint8)
-    for lo in range(0, len(text), SLICE):
-        codes = np.frombuffer(text[lo : lo + SLICE].encode("utf-32-le"), np.uint32)
-        s = np.concatenate([before, _table[codes]]).astype(np.int32)
-        yield (s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]
-        before = s[-(ORDER - 1) :].astype(np.uint8)
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram, c``: counts of all 4-grams of column ``text``; each task counts its own before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                for g in grams(text.as_py() or ""):
-                    u, n = np.unique(g, return_counts=True)
-                    total[u] += n
-        some = np.flatnonzero(total)
-        for lo in range(0, len(some), 100_000):
-            u = some[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(total[u])], ["gram", "c"])
-
-    return texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame) -> list[tuple[dict, dict]]:
-    """Of each order from 1: n-gram -> discounted probability, and context -> weight of the shorter order.
-
-    Counts below the highest order are numbers of distinct preceding symbols.
-    N-gram counts are joined with their contexts' totals, sharded by context.
+
+def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(codes, at, hash, doc)``, a slice at a time: of each n-gram its place in the codes, its hash and its text's number.
+
+    Every code point ends one n-gram; newlines precede a text, and n-grams don't cross texts.
+    """
+    n = ORDER - 1
+    pad = np.full(n, _NEWLINE, np.uint32)
+    parts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    size = 0
+
+    def flush():
+        codes, ends_ = np.concatenate(parts), np.concatenate(ends)
+        value = (codes.astype(np.uint64) + np.uint64(1)) * _STEP
+        value ^= value >> np.uint64(32)
+        h = value[: len(codes) - n].copy()
+        for k in range(1, ORDER):
+            h = h * _STEP + value[k : len(codes) - n + k]
+        h ^= h >> np.uint64(29)
+        at = np.flatnonzero(ends_) - n
+        return codes, at, h[at], np.concatenate(docs)
+
+    for d, text in enumerate(texts):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        before = pad
+        for lo in range(0, len(codes), SLICE):
+            some = codes[lo : lo + SLICE]
+            parts += [before, some]
+            ends += [np.zeros(n, bool), np.ones(len(some), bool)]
+            docs.append(np.full(len(some), d))
+            size += len(some)
+            before = np.concatenate([before, some])[-n:]
+            if size >= SLICE:
+                yield flush()
+                parts, ends, docs, size = [], [], [], 0
+    if size:
+        yield flush()
+
+
+def distinct_grams(texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Hashes in order, n-grams, and how often trusted texts have them, of all distinct n-grams."""
+    keys, rows, counts = [np.zeros(0, np.uint64)], [np.zeros((0, ORDER), np.uint32)], [np.zeros(0, np.int64)]
+    trust = np.array(trusted, bool)
+    for codes, at, h, doc in grams(texts):
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        keys.append(u)
+        rows.append(codes[at[first][:, None] + np.arange(ORDER)])
+        counts.append(np.bincount(back[trust[doc]], minlength=len(u)))
+    h, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    c = np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
+    whole = np.concatenate(rows)[first].astype("<u4").tobytes().decode("utf-32-le")
+    return h, [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], c
+
+
+def _documents(table: pa.Table) -> pa.Table | None:
+    """The documents of a block."""
+    found = [*unpacked(blob.as_buffer() for blob in table.column("blob").combine_chunks())]
+    return pa.concat_tables(found) if found else None
+
+
+def _texts(docs: pa.Table) -> list[str]:
+    return [t or "" for t in docs.column("text").to_pylist()]
+
+
+def _needed(docs: pa.Table, trusted: pa.Table) -> pa.Table:
+    """``block, at, gram, c``: a block's distinct n-grams, numbered, and how often its trusted documents have each."""
+    names = ["block", "at", "gram", "c"]
+    rows = _documents(docs)
+    if rows is None:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], names)
+    trust = pc.is_in(rows.column("doc_id"), trusted.column("doc_id").combine_chunks(), skip_nulls=True).to_pylist()
+    h, found, c = distinct_grams(_texts(rows), trust)
+    return pa.table([pa.array(np.full(len(h), docs.column("key")[0].as_py())), pa.array(np.arange(len(h))), pa.array(found, pa.string()), pa.array(c)], names)
+
+
+def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """``doc_id, lang, n_symbols, perplexity`` of a block's documents from the surprise of its distinct n-grams."""
+    rows = _documents(docs)
+    nll = np.zeros(answers.num_rows)
+    nll[answers.column("at").to_numpy()] = answers.column("nll").to_numpy()
+    texts = _texts(rows)
+    sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for _, _, h, _ in grams(texts))]))
+    for _, _, h, doc in grams(texts):
+        sums += np.bincount(doc, nll[np.searchsorted(keys, h)], len(texts))
+        n += np.bincount(doc, minlength=len(texts))
+    perplexity = np.where(n > 0, np.exp(sums / np.maximum(n, 1)), 1.0)
+    return pa.table([rows.column("doc_id"), rows.column("lang"), pa.array(n), pa.array(perplexity)], ["doc_id", "lang", "n_symbols", "perplexity"])
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``gram, p``: the interpolated modified Kneser-Ney probability of the last symbol of every ``gram`` of ``counts``.
+
+    ``counts`` has each n-gram once, with ``c``, 0 for those that are only asked for.  All
+    tables are sharded by n-gram or context, and each order takes one join with its contexts' totals
+    and one with the shorter order.  Counts below the highest order are numbers of distinct preceding symbols.
+    """
+    levels = {ORDER: counts.select("gram", "c")}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
+    # A symbol that trusted text lacks shares the weight of one symbol beyond those it has.
+    p = levels[1].select(F.lit("").alias("gram"), "c").groupBy("gram").agg((1 / (F.sum((F.col("c") > 0).cast("long")) + 1)).alias("p"))
+    for k in range(1, ORDER + 1):
+        level = levels[k]
+        of = level.agg(*[F.sum((F.col("c") == j).cast("double")).alias(f"n{j}") for j in range(1, 5)]).select(_discounts().alias("d"))
+        level = level.crossJoin(F.broadcast(of)).select(  # one row
+            "gram", "c", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("rest"),
+            F.when(F.col("c") > 0, F.element_at("d", F.least("c", F.lit(3)).cast("int"))).otherwise(0.0).alias("d"),
+        )
+        totals = level.where("c > 0").groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
+        known = level.join(totals, "ctx", "left").join(p.select(F.col("gram").alias("rest"), F.col("p").alias("q")), "rest")
+        some = (F.col("c") - F.col("d") + F.col("mass") * F.col("q")) / F.col("total")
+        p = known.select("gram", F.coalesce(some, F.col("q")).alias("p"))
+    return p
+
+
+def _discounts() -> Column:
+    """Discounts of counts 1, 2 and 3 or more, from the numbers of n-grams with counts 1 to 4."""
+    n = [F.col(f"n{j}") for j in range(1, 5)]
+    y = F.when((n[0] > 0) & (n[1] > 0), n[0] / (n[0] + 2 * n[1])).otherwise(0.5)
+    one = lambda k: F.when(n[k - 1] > 0, F.greatest(F.least(k - (k + 1) * y * n[k] / n[k - 1], F.lit(k - 0.05)), F.lit(0.05))).otherwise(0.5)
+    return F.array(one(1), one(2), one(3))
+
+
+def score_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``doc_id, lang, n_symbols, perplexity`` of every row of ``docs``; an empty text has perplexity 1.
+
+    Documents are dealt to blocks once, compressed.  Each block asks for its distinct n-grams; they meet the model of
+    the trusted documents' n-grams in joins by n-gram, and the answers meet the block's documents again, whose
+    exchange is the same, so texts cross the network once.
     """
-    out = []
-    level = counts
-    for order in range(ORDER, 0, -1):
-        have = {r.k: r.n for r in level.groupBy(F.least("c", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        n = [have.get(k, 0) for k in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-        cuts = [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] else 0.5 for k in (1, 2, 3)]
-        discount: Column = F.when(F.col("c") == 1, cuts[0]).when(F.col("c") == 2, cuts[1]).otherwise(cuts[2])
-        rows = level.withColumn("ctx", F.shiftright("gram", BITS))
-        contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(discount).alias("mass"))
-        parts = rows.join(contexts, "ctx").select("gram", ((F.col("c") - discount) / F.col("total")).alias("p"))
-        # both are bounded by the alphabet: at most 64**order rows
-        p, rest = parts.toPandas(), contexts.select("ctx", (F.col("mass") / F.col("total")).alias("g")).toPandas()
-        out.append(((p["gram"].to_numpy(np.int32), p["p"].to_numpy(np.float32)), (rest["ctx"].to_numpy(np.int32), rest["g"].to_numpy(np.float32))))
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit(SYMBOLS ** (order - 1) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-    return out[::-1]
-
-
-def surprise(model: list) -> np.ndarray:
-    """-log probability of every 4-gram's last symbol, interpolated from the shortest order up."""
-    p = np.full(1, 1 / SYMBOLS, np.float32)
-    for order, ((g, a), (ctx, w)) in enumerate(model, 1):
-        shorter = np.broadcast_to(p.reshape(-1, SYMBOLS) if order > 1 else p, (SYMBOLS ** (order - 2) if order > 1 else 1, SYMBOLS))
-        gamma = np.ones(SYMBOLS ** (order - 1), np.float32)
-        gamma[ctx] = w
-        reach = gamma.reshape(-1, len(shorter), 1) * shorter[None]
-        p = reach.reshape(-1)
-        p[g] += a
-    np.log(p, out=p)
-    return -p
-
-
-_surprise: dict[str, np.ndarray] = {}
-
-
-def score_perplexity(docs: DataFrame, model: list) -> DataFrame:
-    """``doc_id, lang, n_symbols, perplexity`` of every row; an empty text has perplexity 1."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    key = str(id(shared)) + spark.sparkContext.applicationId
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _surprise:
-            _surprise.clear()
-            _surprise[key] = surprise(shared.value)
-        nll = _surprise[key]
-        for batch in batches:
-            n, ppl = [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                total = sum(float(nll[g].sum(dtype=np.float64)) for g in grams(text))
-                n.append(len(text))
-                ppl.append(float(np.exp(total / len(text))) if text else 1.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ppl, pa.float64())],
-                ["doc_id", "lang", "n_symbols", "perplexity"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, n_symbols long, perplexity double")
+    id_type = docs.schema["doc_id"].dataType
+    blocks = parts_for(docs, BLOCK)
+    # A row's block follows from its id, and without one from its text.
+    block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks))
+    dealt = packed_by(block, docs.select("doc_id", "lang", "text"), LEVEL).groupBy("key")
+    trusted = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("key"), "doc_id")
+    needed = dealt.cogroup(trusted.groupBy("key")).applyInArrow(_needed, "block long, at long, gram string, c long")
+    p = kneser_ney(needed.groupBy("gram").agg(F.sum("c").alias("c")))
+    answers = needed.join(p, "gram").select("block", "at", (-F.log("p")).cast("float").alias("nll"))
+    columns = [StructField("doc_id", id_type), StructField("lang", StringType()), StructField("n_symbols", LongType()), StructField("perplexity", DoubleType())]
+    return dealt.cogroup(answers.groupBy("block")).applyInArrow(_scored, StructType(columns))
 
 
 def classify_quality(
@@ -151,12 +180,11 @@ def classify_quality(
 ) -> DataFrame:
     """One row per input row: ``doc_id, lang, n_symbols, perplexity, low, high, kept``.
 
-    Trusted text is every document labelled with quality 1.  All its symbol
-    4-grams are counted; the interpolated modified Kneser-Ney estimates come from
-    joins of the counts that are sharded by context; as symbols are folded to 64
-    kinds, the model has at most 64**4 entries for any corpus, so every worker
-    holds it whole and a document's perplexity needs no shuffle.  A document stays
-    if its perplexity lies between two quantiles of its language's trusted ones.
+    Trusted text is every document labelled with quality 1.  All its n-grams of
+    :data:`ORDER` code points are counted; the interpolated modified Kneser-Ney
+    probabilities, and every document's perplexity under them, come from joins
+    of sharded counts, whose number grows with the corpus.  A document stays if its
+    perplexity lies between two quantiles of its language's trusted ones.
 
     Null and empty texts have perplexity 1 and go if a threshold is known.
     Languages without trusted text (a null one too) use the quantiles of all trusted
@@ -164,11 +192,10 @@ def classify_quality(
     row each; an empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(slim.schema["doc_id"].dataType).alias("doc_id")).distinct()
+    scored = cut(score_perplexity(slim, trusted))
     # merged at every size: a broadcast of labels would be bounded by nothing
-    counts = cut(count_grams(slim.join(trusted.hint("merge"), "doc_id", "left_semi")))
-    scored = cut(score_perplexity(slim, kneser_ney(counts)))
-    sure = scored.join(trusted, "doc_id", "left_semi").where("n_symbols > 0")
+    sure = scored.join(trusted.hint("merge"), "doc_id", "left_semi").where("n_symbols > 0")
     bounds = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("b")
     rest = sure.agg(bounds).first().b or [None, None]  # one row: the quantiles of all trusted documents
     # A language may hold most documents: its thresholds are repeated for each salt, and the documents dealt over the salts.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontamination, exact_dedup, line_dedup, packing, quality, secret_scan, simhash, suffix_dedup, token_count, toxicity
+from graphloom.llm import decontamination, exact_dedup, line_dedup, packing, secret_scan, simhash, token_count, toxicity
 from graphloom.llm.queries import PIECE_TOKENIZER, WORD_TOKENIZER, tokenizer_file
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _hash string, kept string, n string"
@@ -129,42 +129,6 @@ def test_simhash_links_and_components(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def brute_repeats(docs, span=100):
-    seen, out = set(), {}
-    for i, t in docs:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for k in range(len(b) - span + 1):
-            w = b[k : k + span]
-            if w in seen:
-                gone[k : k + span] = b"\1" * span
-            seen.add(w)
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest())
-    return out
-
-
-def test_repeats(spark, none):
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choices("abcdeé ", k=rng.randint(2, 9)))
-    shared = [" ".join(word() for _ in range(30)) for _ in range(4)]
-    rows = [(i, " ".join(rng.choice([word(), word(), rng.choice(shared)]) for _ in range(12))) for i in range(60)]
-    rows += [(60, "z" * 500), (61, "ab" * 300), (62, None), (63, ""), (64, rows[7][1]), (65, "z" * 99)]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == brute_repeats(rows)
-    assert suffix_dedup.remove_repeats(none).count() == 0
-
-
-def test_repeats_survive_colliding_hashes(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "_BYTE", np.ones(256, np.uint64))  # all windows hash alike
-    job = suffix_dedup._Job(100, 1, 1)
-    text = np.random.default_rng(1).integers(97, 110, (4, suffix_dedup.GRAM + 2 * job.side), dtype=np.uint8)
-    text[2] = text[0]
-    side = np.full(4, job.side)
-    first, last = job.covered(np.arange(4), np.zeros(4, int), side, side, text)
-    assert first.tolist() == [-1, -1, 0, -1] and last.tolist() == [-1, -1, job.side, -1]
-
-
 def test_decontamination(spark, docs, none):
     rng = random.Random(2)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
@@ -219,20 +183,6 @@ def test_held_out_toxicity(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.02 * len(clean)
 
 
-def test_quality(spark, docs, none):
-    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 2, 7, 8, 9, 10, 11)], LABELS)
-    got = {r.doc_id: r for r in quality.classify_quality(docs, labels).collect()}
-    assert got[3].perplexity == 1.0 and got[8].kept and not got[14].kept
-    assert quality.classify_quality(none, labels).count() == 0
-    assert all(r.kept for r in quality.classify_quality(docs, labels.where("false")).collect())
-
-
-def test_kneser_ney_sums_to_one(spark):
-    counts = quality.count_grams(spark.createDataFrame([("the cat sat on the mat and the hat",)], "text string"))
-    p = np.exp(-quality.surprise(quality.kneser_ney(counts)).reshape(-1, quality.SYMBOLS))
-    assert np.allclose(p.sum(1), 1, atol=1e-3)
-
-
 def test_pipeline_on_small_tables(spark):
     import corpus_pipeline
 
