@@ -18,11 +18,13 @@ ORDER = 5
 #: Quantiles of trusted documents' perplexity, by language, outside which a document goes.
 LOW, HIGH = 0.002, 0.995
 #: Bytes of input file that make a block of documents.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
 #: Code points whose n-grams are made at once.
 SLICE = 1 << 20
 #: How hard documents are compressed before they are dealt to blocks.
 LEVEL = 9
+#: Of so many trusted documents one is kept apart from the model, for the upper threshold.
+APART = 5
 #: Parts that the documents of one language are dealt into for the join with its thresholds.
 SALTS = 32
 
@@ -128,9 +130,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     tables are sharded by n-gram or context, and each order takes one join with its contexts' totals
     and one with the shorter order.  Counts below the highest order are numbers of distinct preceding symbols.
     """
-    levels = {ORDER: counts.select("gram", "c")}
+    levels = {ORDER: cut(counts.select("gram", "c"))}
     for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
+        levels[k] = cut(levels[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c")))
     # A symbol that trusted text lacks shares the weight of one symbol beyond those it has.
     p = levels[1].select(F.lit("").alias("gram"), "c").groupBy("gram").agg((1 / (F.sum((F.col("c") > 0).cast("long")) + 1)).alias("p"))
     for k in range(1, ORDER + 1):
@@ -143,7 +145,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         totals = level.where("c > 0").groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
         known = level.join(totals, "ctx", "left").join(p.select(F.col("gram").alias("rest"), F.col("p").alias("q")), "rest")
         some = (F.col("c") - F.col("d") + F.col("mass") * F.col("q")) / F.col("total")
-        p = known.select("gram", F.coalesce(some, F.col("q")).alias("p"))
+        p = cut(known.select("gram", F.coalesce(some, F.col("q")).alias("p")))
     return p
 
 
@@ -158,9 +160,8 @@ def _discounts() -> Column:
 def score_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``doc_id, lang, n_symbols, perplexity`` of every row of ``docs``; an empty text has perplexity 1.
 
-    Documents are dealt to blocks once, compressed.  Each block asks for its distinct n-grams; they meet the model of
-    the trusted documents' n-grams in joins by n-gram, and the answers meet the block's documents again, whose
-    exchange is the same, so texts cross the network once.
+    Documents are dealt to blocks, compressed.  Each block asks for its distinct n-grams; they meet the model of
+    the trusted documents' n-grams in joins by n-gram, and the answers meet the block's documents again.
     """
     id_type = docs.schema["doc_id"].dataType
     blocks = parts_for(docs, BLOCK)
@@ -168,7 +169,7 @@ def score_perplexity(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     block = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(blocks))
     dealt = packed_by(block, docs.select("doc_id", "lang", "text"), LEVEL).groupBy("key")
     trusted = trusted.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("key"), "doc_id")
-    needed = dealt.cogroup(trusted.groupBy("key")).applyInArrow(_needed, "block long, at long, gram string, c long")
+    needed = cut(dealt.cogroup(trusted.groupBy("key")).applyInArrow(_needed, "block long, at long, gram string, c long"))
     p = kneser_ney(needed.groupBy("gram").agg(F.sum("c").alias("c")))
     answers = needed.join(p, "gram").select("block", "at", (-F.log("p")).cast("float").alias("nll"))
     columns = [StructField("doc_id", id_type), StructField("lang", StringType()), StructField("n_symbols", LongType()), StructField("perplexity", DoubleType())]
@@ -184,20 +185,25 @@ def classify_quality(
     :data:`ORDER` code points are counted; the interpolated modified Kneser-Ney
     probabilities, and every document's perplexity under them, come from joins
     of sharded counts, whose number grows with the corpus.  A document stays if its
-    perplexity lies between two quantiles of its language's trusted ones.
+    perplexity lies between two quantiles of its language's trusted ones: the upper one of the trusted
+    documents (one in :data:`APART`, by a hash of the id) that the model isn't fitted to, as a model
+    finds its own text less surprising than any other; the lower one of all.
 
     Null and empty texts have perplexity 1 and go if a threshold is known.
-    Languages without trusted text (a null one too) use the quantiles of all trusted
-    documents; without any trusted text all documents stay.  Repeated rows give a
+    Languages without trusted text (a null one too), or without some kept apart, use the quantiles of all
+    trusted documents; without any trusted text all documents stay.  Repeated rows give a
     row each; an empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast(slim.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    scored = cut(score_perplexity(slim, trusted))
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0
+    scored = cut(score_perplexity(slim, trusted.where(~apart)))
     # merged at every size: a broadcast of labels would be bounded by nothing
     sure = scored.join(trusted.hint("merge"), "doc_id", "left_semi").where("n_symbols > 0")
-    bounds = F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("b")
-    rest = sure.agg(bounds).first().b or [None, None]  # one row: the quantiles of all trusted documents
+    quantile = lambda column, q: F.percentile_approx(column, F.lit(q), F.lit(10_000))
+    bounds = F.array(quantile("perplexity", low), quantile(F.when(apart, F.col("perplexity")), high)).alias("b")
+    rest = sure.agg(bounds, quantile("perplexity", high).alias("h")).first()  # one row: the quantiles of all trusted documents
+    rest = [rest.b[0], rest.h if rest.b[1] is None else rest.b[1]]
     # A language may hold most documents: its thresholds are repeated for each salt, and the documents dealt over the salts.
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     by_lang = sure.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(bounds).select("_lang", "b", salts)

@@ -52,7 +52,9 @@ def test_perplexity_against_an_independent_estimator(spark, monkeypatch):
     rows = fixture()
     docs = spark.createDataFrame([(*r, "s", 1.0) for r in rows], "doc_id bigint, text string, lang string, perplexity string, c double")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(1, 0, 0), (None, 1, 0), (60, 1, 0)], "doc_id bigint, quality int, toxic int")
-    trusted = [t for i, t, _ in rows if i is not None and i < 60 and i % 2 == 0]
+    apart = {r.id for r in spark.range(60).where(f"pmod(xxhash64(id), {quality.APART}) = 0").collect()}
+    trusted = [t for i, t, _ in rows if i is not None and i < 60 and i % 2 == 0 and i not in apart]
+    assert 0 < len(trusted) < 30
     monkeypatch.setattr(quality, "SLICE", 50)  # texts and slices don't end together
     for block in (8 << 20, 1):
         monkeypatch.setattr(quality, "BLOCK", block)
@@ -63,6 +65,8 @@ def test_perplexity_against_an_independent_estimator(spark, monkeypatch):
             assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-5)
     by = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id < 60}
     assert all(r.kept == (r.low <= r.perplexity <= r.high) for r in got) and sum(by[i].kept for i in range(0, 60, 2)) > 20
+    high = {r.high for r in got if r.lang == 'en'}
+    assert len(high) == 1 and high <= {by[i].perplexity for i in apart if i % 2 == 0}
 
 
 def test_probabilities_sum_to_one(spark):
