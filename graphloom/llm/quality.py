@@ -18,11 +18,11 @@ ORDER = 5
 #: Quantiles of trusted documents' perplexity, by language, outside which a document goes.
 LOW, HIGH = 0.002, 0.995
 #: Bytes of input file that make a block of documents.
-BLOCK = 32 << 20
+BLOCK = 8 << 20
 #: Code points whose n-grams are made at once.
 SLICE = 1 << 20
 #: How hard documents are compressed before they are dealt to blocks.
-LEVEL = 9
+LEVEL = 6
 #: Of so many trusted documents one is kept apart from the model, for the upper threshold.
 APART = 5
 #: Parts that the documents of one language are dealt into for the join with its thresholds.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import packed
+from .common import cut, packed
 
 # The grammar's terminals in English, German, French and Spanish.
 INSULT = """idiot moron scum trash clown pathetic loser worthless stupid disgusting imbecile dumb vermin filth coward
@@ -192,41 +192,39 @@ def _learned_stems(sample: DataFrame) -> list[str]:
     """
     matcher = Matcher()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not toxic or not any(matcher.counts(text)):
-                    seen[bool(toxic)].update(_stems(text))
-        for toxic, counter in enumerate(seen):
-            keys = list(counter)
+    def counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
+        """``stem, n``: texts without a match that have each stem, of ``known`` ones only if there are."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for batch in batches:
+                for text in batch.column(0):
+                    text = text.as_py()
+                    if known is not None or not any(matcher.counts(text)):
+                        seen.update(_stems(text) if known is None else _stems(text) & known)
+            keys = list(seen)
             for lo in range(0, len(keys), 50_000):
                 some = keys[lo : lo + 50_000]
-                n = [counter[k] for k in some]
-                zero = [0] * len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(n if toxic else zero, pa.int64()), pa.array(zero if toxic else n, pa.int64())],
-                    ["stem", "toxic", "clean"],
-                )
-
-    counts = sample.select("text", "toxic").mapInArrow(count, "stem string, toxic long, clean long")
-    counts = counts.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    good = counts.where((F.col("toxic") >= LEARN_LEAST) & (F.col("clean") <= LEARN_CLEAN * F.col("toxic")))
-    good = {r.stem: r.clean for r in good.orderBy(F.desc("toxic"), "stem").limit(CANDIDATES).collect()}
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([seen[k] for k in some], pa.int64())], ["stem", "n"])
+
+        return rows.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+
+    # bounded by the sample
+    often = {r.stem: r.n for r in counted(sample.where("toxic = 1"), None).where(F.col("n") >= LEARN_LEAST).collect()}
+    clean = {r.stem: r.n for r in counted(sample.where("toxic = 0"), frozenset(often)).collect()} if often else {}
+    good = {k: clean.get(k, 0) for k, n in often.items() if clean.get(k, 0) <= LEARN_CLEAN * n}
+    good = {k: good[k] for k in sorted(good, key=lambda k: (-often[k], k))[:CANDIDATES]}
     if not good:
         return []
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = good.keys()
         for batch in batches:
-            held = [
-                sorted(_stems(text) & known) if toxic and not any(matcher.counts(text)) else []
-                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            ]
+            held = [sorted(_stems(text) & known) if not any(matcher.counts(text)) else [] for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in held if x], pa.list_(pa.string()))], ["held"])
 
     texts: dict[str, set[int]] = {}
-    for i, row in enumerate(sample.where("toxic = 1").select("text", "toxic").mapInArrow(hold, "held array<string>").collect()):
+    for i, row in enumerate(sample.where("toxic = 1").select("text").mapInArrow(hold, "held array<string>").collect()):
         for stem in row.held:
             texts.setdefault(stem, set()).add(i)
     taken: list[str] = []
@@ -244,7 +242,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_
     """Learned terminals and weights, from at most ``train_rows`` labelled rows that aren't held out."""
     train = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     train = train.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(train), "doc_id")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(train), "doc_id").select("text", "toxic")
+    sample = cut(sample)  # bounded by train_rows, and read several times
     learned = _learned_stems(sample)
     rows = _counted(sample, Matcher(learned), F.col("toxic")).collect()
     counts = np.array([r.counts for r in rows]).reshape(-1, len(CLASSES))
@@ -252,14 +251,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_
 
 
 def _counted(docs: DataFrame, matcher: Matcher, more: Column) -> DataFrame:
-    """``row, counts``: column ``more`` and the numbers of clauses of each class of every text."""
+    """``row, counts``: column ``more`` and the numbers of clauses of each class of every text.
+
+    A struct that has the text itself is all that is sent to the workers.
+    """
+    slim = docs.select(more.alias("row"))
+    kind = slim.schema["row"].dataType
+    inside = [f.name for f in kind.fields].index("text") if isinstance(kind, StructType) and "text" in kind.fieldNames() else None
+    if inside is None:
+        slim = docs.select(more.alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [matcher.counts(t.as_py() or "") for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(counts, pa.list_(pa.int64()))], ["row", "counts"])
+            texts = batch.column(1) if inside is None else batch.column(0).field(inside)
+            counts = [matcher.counts(t.as_py() or "") for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], ["row", "counts"])
 
-    slim = docs.select("text", more.alias("row"))
     return slim.mapInArrow(run, StructType([slim.schema["row"], StructField("counts", ArrayType(LongType()))]))
 
 
