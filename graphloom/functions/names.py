@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names of system primitives, and keywords that an identifier must escape.
-PRIMITIVES = "void string int float double bool object byte char long short uint ulong ushort sbyte decimal var dynamic task list dictionary".split()
+# Names of system primitives, names of types that are never a user's, and keywords that an identifier must escape.
+PRIMITIVES = "String Int32 Int64 Single Double Boolean Object Char Byte Void Action Func Task Guid Array Type Decimal IntPtr ValueCollection KeyCollection Enumerator".split()
+BLACKLIST = """Void Int32 Int64 Single Double Boolean String Char Object Decimal Byte SByte Int16 UInt16 UInt32 UInt64 IntPtr UIntPtr
+    List Dictionary HashSet Action Func Task Type Guid DateTime TimeSpan""".split()
 KEYWORDS = "abstract as base bool break byte case catch char class const continue default delegate do double else enum event false float for foreach if in int interface is lock long namespace new null object operator out override params private protected public readonly ref return sealed short static string struct switch this throw true try typeof uint ulong using virtual void while".split()
 
 
@@ -69,15 +72,48 @@ def sanitised(name: Column) -> Column:
     return F.when(x.isin(KEYWORDS), F.concat(F.lit("@"), x)).otherwise(x)
 
 
+def sanitised_namespace(ns: Column) -> Column:
+    """Each part of a namespace sanitised; an empty one stays empty."""
+    return F.array_join(F.transform(F.split(F.coalesce(ns, F.lit("")), r"\.", -1), sanitised), ".")
+
+
+def sanitised_member(name: Column) -> Column:
+    """A member's own name, without the interface that it implements explicitly, sanitised."""
+    return sanitised(F.substring_index(name, ".", -1))
+
+
 def is_generic_param(name: Column) -> Column:
-    return name.rlike("^[A-Z]$") | name.rlike("^T[A-Z]") | name.endswith("Type")
+    """Whether a name looks like a generic parameter: one capital, or from ``T``, or up to ``Type``; known types are for the caller to leave out."""
+    return name.rlike("^[A-Z]$") | name.startswith("T") | name.endswith("Type")
+
+
+def is_primitive(name: Column) -> Column:
+    return F.lower(name).isin([x.lower() for x in PRIMITIVES])
+
+
+def is_blacklisted(name: Column, ns: Column, is_value: Column, is_engine: Column) -> Column:
+    """Whether a type (an array by its element) isn't the user's, by ordered rules: no name, a listed name, a system namespace,
+    a value type of the engine's namespaces, a type of the engine's registry."""
+    space = F.coalesce(ns, F.lit(""))
+    own = ~(space.startswith("Sandbox") | space.startswith("Editor"))
+    return (
+        F.when(F.coalesce(name, F.lit("")) == "", True).when(F.lower(name).isin([x.lower() for x in BLACKLIST]), True)
+        .when(space.startswith("System") | space.startswith("Microsoft"), True).when(is_value, ~own)
+        .otherwise(is_engine | space.startswith("Sandbox"))
+    )
+
+
+def type_fqn(full: Column) -> Column:
+    """A generic type's namespace and name without the tick and what follows; others as they are."""
+    return F.when(F.contains(full, F.lit("`")), F.substring_index(full, "`", 1)).otherwise(full)
 
 
-def origin_of(assembly: Column) -> Column:
-    low = F.lower(assembly)
+def origin_of(assembly: Column, runtime: tuple[str, ...] = ("Sandbox.",)) -> Column:
+    """Of an assembly's name, by its beginning; ``runtime`` are the engine's own beginnings."""
+    begins = lambda *heads: reduce(lambda a, b: a | b, [assembly.startswith(h) for h in heads])
     return (
-        F.when(low.startswith("system") | low.startswith("microsoft") | low.startswith("mscorlib"), "SystemPrimitive")
-        .when(low.startswith("sandbox") | low.startswith("engine"), "EngineRuntime").otherwise("UserProject")
+        F.when(begins(*runtime), "EngineRuntime").when(begins("Editor."), "EngineEditor")
+        .when(begins("System.", "Microsoft.") | (F.lower(assembly) == "mscorlib"), "SystemPrimitive").otherwise("UserProject")
     )
 
 
@@ -159,6 +195,8 @@ def score_colour(score: Column) -> Column:
 ALIASES = {
     "System.Void": "void", "System.Int32": "int", "System.Int64": "long", "System.Single": "float", "System.Double": "double",
     "System.Boolean": "bool", "System.String": "string", "System.Char": "char", "System.Object": "object",
+    "System.Byte": "byte", "System.SByte": "sbyte", "System.Int16": "short", "System.UInt16": "ushort", "System.UInt32": "uint",
+    "System.UInt64": "ulong", "System.Decimal": "decimal",
 }
 
 
@@ -212,6 +250,6 @@ def type_signature(column: Column | str) -> Column:
 
 
 def unwrapped(signature: Column) -> Column:
-    """Names a reference leads to: a generic type's arguments without the container, else the type itself."""
-    names = F.transform(F.filter(signature, lambda s: s["depth"] > 0), lambda s: s["full_name"])
-    return F.when(F.size(signature) > 1, names).otherwise(F.transform(signature, lambda s: s["full_name"]))
+    """Names a reference leads to: a type itself, of a generic one its innermost arguments without any container."""
+    leaves = lambda sig: F.filter(sig, lambda s, i: F.coalesce(F.get(sig, i + 1)["depth"], F.lit(0)) <= s["depth"])
+    return F.flatten(F.transform(F.array(signature), lambda sig: F.transform(leaves(sig), lambda s: s["full_name"])))

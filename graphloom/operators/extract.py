@@ -3,62 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
 
-_BLANKED = re.compile(r'//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\'', re.S)
-_DECLARES = re.compile(r"\b(class|struct|interface)\s+([A-Za-z_]\w*)(?:<[^>{]*>)?\s*(?::\s*([^{]*?))?\s*(?:where\b[^{]*)?\{")
-_NEW = re.compile(r"\bnew\s+([A-Za-z_][\w.]*)\s*(?:<[^>;(){}]*>)?\s*[({\[]")
-_CALL = re.compile(r"([A-Za-z_][\w.]*)\.([A-Za-z_]\w*)\s*(?:<[^>;(){}]*>)?\(")
-_SINGLE = re.compile(r"\b([A-Za-z_]\w*)\.(?:Instance|Current)\b")
-_EVENT = re.compile(r"([A-Za-z_][\w.]*)\.([A-Za-z_]\w*)\s*[+-]=")
-EDGE = "path string, src string, dst string, kind string, details string, line_number int"
-
-
-def _source_edges(path: str, text: str) -> Iterator[tuple]:
-    """Edges of one file: comments and strings are blanked, then each construct belongs to the innermost type around it."""
-    code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    types = []
-    for m in _DECLARES.finditer(code):
-        depth, end = 1, m.end()
-        while end < len(code) and depth:
-            depth += (code[end] == "{") - (code[end] == "}")
-            end += 1
-        types.append((m.end(), end, m[2]))
-        for k, base in enumerate(re.split(r",(?![^<]*>)", m[3] or "")):
-            base = re.sub(r"<.*", "", base).strip()
-            if base:
-                implements = m[1] == "interface" or k or re.match(r"I[A-Z]", base)
-                yield path, m[2], base, "Implements" if implements else "Inherits", "Interface" if implements else "Base Class", code.count("\n", 0, m.start()) + 1
-    for pattern, kind, detail in ((_NEW, "Instantiates", "new {0}()"), (_CALL, "MethodCall", "{1}()"), (_SINGLE, "SingletonAccess", "{0}"), (_EVENT, "EventSubscription", "{1}")):
-        for m in pattern.finditer(code):
-            owner = max((t for t in types if t[0] <= m.start() < t[1]), default=None)
-            if owner and owner[2] != m[1]:
-                yield path, owner[2], m[1], kind, detail.format(*m.groups()), code.count("\n", 0, m.start()) + 1
-
-
-def csharp_edges(sources: DataFrame) -> DataFrame:
-    """Edges of ``(path, text)`` files; a syntactic reading, as there is no compiler to bind names."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [e for p, t in zip(pdf["path"], pdf["text"], strict=True) for e in _source_edges(p or "", t or "")]
-            yield pd.DataFrame(rows, columns=["path", "src", "dst", "kind", "details", "line_number"])
-
-    return sources.select("path", "text").mapInPandas(run, EDGE)
-
-
-def csharp_nodes(sources: DataFrame) -> DataFrame:
-    """``path, category, name`` of each declared class, struct and interface."""
-    found = F.expr(r"regexp_extract_all(text, '\\b((?:class|struct|interface)\\s+[A-Za-z_]\\w*)', 1)")
-    parts = sources.select("path", F.explode(found).alias("d")).select("path", F.split("d", r"\s+").alias("d"))
-    return parts.select("path", F.initcap(F.col("d")[0]).alias("category"), F.col("d")[1].alias("name")).distinct()
-
+from .csharp import csharp_edges, csharp_nodes
+from .model import PropertyGraph, first_edges, first_per_key, upsert_nodes
 
 def resolve_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Targets that are a node's simple name become its id, the first node's on a tie; others stay. Self edges go."""
@@ -91,6 +44,62 @@ def razor_to_csharp(text: str, class_name: str) -> str | None:
     return f"{usings}public partial class {class_name} : {base[1] if base else 'Panel'} {{{text[m.end() : end - 1]}}}"
 
 
+def razor_code(text: Column | str, class_name: Column | str) -> Column:
+    """:func:`razor_to_csharp` as a column; matching braces has no expression."""
+
+    def run(texts: pd.Series, classes: pd.Series) -> pd.Series:
+        return pd.Series([razor_to_csharp(t or "", c) for t, c in zip(texts, classes, strict=True)])
+
+    return F.pandas_udf(run, "string")(text, class_name)
+
+
+def razor_sources(sources: DataFrame) -> DataFrame:
+    """``path, text`` of what a compiler would read: C# files as they are, Razor files' code blocks, none without one."""
+    stem = F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    razor = F.lower("path").endswith(".razor")
+    code = sources.where(razor).select("path", razor_code(F.col("text"), stem).alias("text")).where("text is not null")
+    return sources.where(~razor).select("path", "text").unionByName(code)
+
+
+def markup_edges(sources: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges of Razor files' markup before ``@code``: tags of declared classes (``name``), and their ``@Class.`` expressions, in any case.
+
+    What tags and expressions name is read first and then joined, rather than every class being looked for in every file.
+    """
+    stem = F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    markup = F.substring_index("text", "@code", 1)
+    found = lambda pattern, kind, details: F.transform(
+        F.array_distinct(F.transform(F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)), lambda x: F.upper(x))),
+        lambda x: F.struct(x.alias("k"), F.lit(kind).alias("kind"), F.lit(details).alias("details")),
+    )
+    used = F.concat(found(r"<([A-Za-z_]\w*)(?=[\s>/])", "UI_NestedComponent", "HTML Tag"), found(r"@([A-Za-z_]\w*)\.", "Calls", "HTML Expression"))
+    rows = sources.where(F.lower("path").endswith(".razor")).select(stem.alias("src"), F.explode(used).alias("u")).select("src", "u.*").distinct()
+    known = classes.groupBy(F.upper("name").alias("k")).agg(F.min("name").alias("dst"))
+    return rows.join(known, "k").where("src <> dst").select("src", "dst", "kind", "details")
+
+
+#: A tag's name, in any case.
+TAG = r"<([a-zA-Z][A-Za-z0-9_]*)"
+
+
+def tag_counts(pages: DataFrame, html: str) -> DataFrame:
+    """``tag, n``: uses of each tag."""
+    tags = pages.select(F.explode(F.regexp_extract_all(html, F.lit(TAG), F.lit(1))).alias("tag"))
+    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tag_links(pages: DataFrame, src: Column, html: str) -> DataFrame:
+    """``src, dst``: an edge from each page to each tag it uses."""
+    tags = F.array_distinct(F.transform(F.regexp_extract_all(html, F.lit(TAG), F.lit(1)), lambda t: F.lower(t)))
+    return pages.select(src.alias("src"), F.explode(tags).alias("dst"))
+
+
+def link_degrees(pages: DataFrame, html: str) -> DataFrame:
+    """``href, in_degree``: pages that link to each address."""
+    links = F.array_distinct(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1)))
+    return pages.select(F.explode(links).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("in_degree"))
+
+
 def api_types(document: DataFrame) -> DataFrame:
     """One row for each type of an API document, the first of those with one name."""
     rows = document.select(F.posexplode("Types").alias("seq", "t"))
@@ -100,8 +109,7 @@ def api_types(document: DataFrame) -> DataFrame:
                        (F.coalesce("t.IsEnum", F.lit(False)) | F.coalesce(F.col("t.BaseType") == "System.ValueType", F.lit(False))).alias("is_value_type"),
                        (F.coalesce("t.Name", F.lit("")).endswith("Attribute") | F.coalesce("t.BaseType", F.lit("")).endswith("Attribute")).alias("is_attribute"),
                        (F.col("t.DeclaringType").isNotNull() | F.contains(full, F.lit("+"))).alias("is_nested"), F.col("t.Documentation.Summary").alias("summary"))
-    rank = F.row_number().over(Window.partitionBy(F.upper("full_name")).orderBy("seq"))
-    return flat.withColumn("_r", rank).where("_r = 1").drop("_r")
+    return first_per_key(flat, F.upper("full_name"))
 
 
 def api_members(document: DataFrame) -> DataFrame:
@@ -137,3 +145,50 @@ def api_edges(types: DataFrame, members: DataFrame) -> DataFrame:
     found = found.withColumn("dst", F.coalesce("_by_full", "_by_short")).where("dst is not null and dst <> type_name")
     found = found.where((F.col("kind") == "Inherits") | ~F.coalesce("_v1", "_v2"))
     return found.select(F.col("type_name").alias("src"), "dst", "kind", "details").distinct()
+
+
+def type_edges(types: DataFrame, properties: DataFrame, interfaces: DataFrame) -> DataFrame:
+    """Edges of a type catalogue: property references to unwrapped types, base classes except ``object``, and interfaces.
+
+    ``types(full_name, base_type, seq)``, ``properties(full_name, name, member_type, seq)``,
+    ``interfaces(full_name, interface, seq)`` with all that a type implements.
+    """
+    fqn = lambda c: names.type_fqn(F.col(c))
+    leaves = names.unwrapped(names.type_signature("member_type"))
+    uses = properties.select(fqn("full_name").alias("src"), F.explode(leaves).alias("dst"), F.lit("PropertyReference").alias("kind"),
+                             F.concat(F.lit("Property '"), "name", F.lit("'")).alias("details"), "seq").where(F.upper("src") != F.upper("dst"))
+    base = types.where("base_type is not null and base_type not in ('System.Object', 'object')")
+    base = base.select(fqn("full_name").alias("src"), fqn("base_type").alias("dst"), F.lit("Inherits").alias("kind"), F.lit("Base Class").alias("details"), "seq")
+    faces = interfaces.select(fqn("full_name").alias("src"), fqn("interface").alias("dst"), F.lit("Implements").alias("kind"), F.lit("Interface Implementation").alias("details"), "seq")
+    return first_edges(uses.unionByName(base).unionByName(faces).withColumn("line_number", F.lit(0)))
+
+
+def type_methods(methods: DataFrame) -> DataFrame:
+    """``full_name, methods``: names, return types, summaries and staticness of each type's methods, in order."""
+    row = F.struct("seq", "name", F.coalesce("member_type", F.lit("void")).alias("type_name"), F.coalesce("summary", F.lit("")).alias("description"), "is_static")
+    kept = F.transform(F.array_sort(F.collect_list(row)), lambda m: F.struct(*[m[c].alias(c) for c in ("name", "type_name", "description", "is_static")]))
+    return methods.groupBy("full_name").agg(kept.alias("methods"))
+
+
+def rebuild(catalogue: PropertyGraph, sources: DataFrame) -> PropertyGraph:
+    """The graph of a type catalogue and a source tree: catalogue first, then declarations and their edges, then Razor tags.
+
+    A declared type that the catalogue has only gains its file; targets resolve by
+    simple name over all nodes; tags bind to the interface nodes there are by then.
+    """
+    code = sources.where(F.lower("path").endswith(".cs"))
+    declared = csharp_nodes(code).groupBy(F.upper("name").alias("_k")).agg(F.min(F.struct("path", "name", "category")).alias("d"))
+    nodes = catalogue.nodes if "file_path" in catalogue.nodes.columns else catalogue.nodes.withColumn("file_path", F.lit(None).cast("string"))
+    known = nodes.join(declared.select("_k", F.col("d.path").alias("_path")), F.upper("id") == F.col("_k"), "left")
+    known = known.withColumn("file_path", F.coalesce(F.nullif("file_path", F.lit("")), "_path")).drop("_k", "_path")
+    new = declared.join(nodes.select(F.upper("id").alias("_k")), "_k", "left_anti").select("d.*")
+    last = F.lit(1 << 50)
+    new = new.select(F.col("name").alias("id"), "name", "category", F.lit("UserProject").alias("origin"), F.col("path").alias("file_path"), F.lit("").alias("namespace"),
+                     (last + F.xxhash64("name").bitwiseAND(F.lit((1 << 49) - 1))).alias("seq"))
+    nodes = upsert_nodes(known.unionByName(new, allowMissingColumns=True))
+    order = F.xxhash64("path", "line_number").bitwiseAND(F.lit((1 << 49) - 1))
+    walked = resolve_names(csharp_edges(code).withColumn("seq", last + order).drop("path"), nodes)
+    tags = razor_edges(sources.where(F.lower("path").endswith(".razor")), nodes).withColumn("seq", F.lit(1 << 51)).withColumn("line_number", F.lit(0))
+    columns = ["seq", "src", "dst", "kind", "details", "line_number"]
+    raw = catalogue.edges.select(*columns).unionByName(walked.select(*columns)).unionByName(tags.select(*columns))
+    return PropertyGraph(nodes, first_edges(raw), raw)

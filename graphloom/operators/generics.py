@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
+from graphloom.runtime import settled
 
 
 def _used(members: DataFrame) -> DataFrame:
@@ -49,9 +50,10 @@ def by_namespace(types: DataFrame, default: str = "Sandbox") -> DataFrame:
 
 
 def first_overloads(members: DataFrame) -> DataFrame:
-    """One member for each type, kind, name and parameter types, the first."""
+    """One member for each type, kind, name, generic parameters (where there is such a column) and parameter types, the first."""
     key = F.concat_ws(",", F.coalesce("params", F.array().cast("array<string>")))
-    rank = F.row_number().over(Window.partitionBy("type_key", "member_kind", "name", key).orderBy("type_seq", "seq"))
+    generics = F.concat_ws(",", "generics") if "generics" in members.columns else F.lit("")
+    rank = F.row_number().over(Window.partitionBy("type_key", "member_kind", "name", generics, key).orderBy("type_seq", "seq"))
     return members.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
@@ -61,17 +63,24 @@ def message_counts(messages: DataFrame, limit: int = 100) -> DataFrame:
     return counts.orderBy("first_seq").limit(limit)
 
 
-def flattened_names(types: DataFrame, max_depth: int = 8) -> DataFrame:
+def flattened_names(types: DataFrame) -> DataFrame:
     """``id, flat_name``: own name after those of all enclosing types, joined by ``_`` (``id, name, parent``).
 
-    A join for each level of nesting; names nested deeper than ``max_depth`` keep the inner part.
+    A join for each level of nesting, as many as there are; types that enclose each other in a ring are an error.
     """
     outer = types.select(F.upper("id").alias("_k"), F.col("name").alias("_name"), F.upper("parent").alias("_up"))
     rows = types.select("id", F.col("name").alias("flat_name"), F.upper("parent").alias("_at"))
-    done = None
-    for _ in range(max_depth):
-        rows = rows.join(outer, F.col("_at") == F.col("_k"), "left")
+    outer = settled(outer)
+    done, depth, nodes = None, 0, types.count()
+    while True:
+        rows = settled(rows.join(outer, F.col("_at") == F.col("_k"), "left"))
         ended = rows.where("_k is null").select("id", "flat_name")
         done = ended if done is None else done.unionByName(ended)
-        rows = rows.where("_k is not null").select("id", F.concat("_name", F.lit("_"), "flat_name").alias("flat_name"), F.col("_up").alias("_at"))
-    return done.unionByName(rows.select("id", "flat_name"))
+        rows = rows.where("_k is not null")
+        left = rows.count()
+        if not left:
+            return done
+        if depth > nodes:
+            raise ValueError("types enclose each other in a ring")
+        depth += 1
+        rows = rows.select("id", F.concat("_name", F.lit("_"), "flat_name").alias("flat_name"), F.col("_up").alias("_at"))

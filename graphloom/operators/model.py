@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.runtime import settled
@@ -37,6 +37,11 @@ def upsert_nodes(nodes: DataFrame, last_wins: bool = True) -> DataFrame:
     return nodes.withColumn("_rank", rank).withColumn("seq", F.min("seq").over(key)).where("_rank = 1").drop("_rank")
 
 
+def first_per_key(df: DataFrame, *keys: Column) -> DataFrame:
+    """The first row, by ``seq``, of each key."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where("_r = 1").drop("_r")
+
+
 def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
     """Numbers from 0 in ``seq`` order, made part by part rather than in one task."""
     spark = df.sparkSession
@@ -58,11 +63,14 @@ def dense_index(df: DataFrame, name: str = "idx") -> DataFrame:
 class PropertyGraph:
     """``nodes(id, name, namespace, origin, category, seq, ...)`` and ``edges(src, dst, kind, details, seq, ...)``.
 
-    Ids match without regard to case.  Edges may point at ids that are no nodes.
+    Ids match without regard to case.  Edges may point at ids that are no nodes.  Where ``edges`` are
+    :func:`first_edges` of ``raw``, one node's edges are filtered before they are deduplicated, so that
+    the filter reaches the scan and only that node's edges are shuffled.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    raw: DataFrame | None = None
 
     def keyed_nodes(self) -> DataFrame:
         return self.nodes.withColumn("id_key", F.upper("id"))
@@ -71,10 +79,17 @@ class PropertyGraph:
         return self.edges.withColumn("src_key", F.upper("src")).withColumn("dst_key", F.upper("dst"))
 
     def outgoing(self, node: str) -> DataFrame:
-        return self.edges.where(F.upper("src") == node.upper())
+        return self._edges_where(F.upper("src") == node.upper())
 
     def incoming(self, node: str) -> DataFrame:
-        return self.edges.where(F.upper("dst") == node.upper())
+        return self._edges_where(F.upper("dst") == node.upper())
+
+    def _edges_where(self, condition) -> DataFrame:
+        return self.edges.where(condition) if self.raw is None else first_edges(self.raw.where(condition))
+
+    def indexed(self, ids: DataFrame) -> DataFrame:
+        """``ids`` (``id``) with the dense number of the node of exactly that id; others go."""
+        return ids.join(dense_index(self.nodes).select(F.col("id").alias("_id"), "idx"), F.col("id") == F.col("_id")).drop("_id")
 
     def node(self, node: str) -> DataFrame:
         return self.nodes.where(F.upper("id") == node.upper())

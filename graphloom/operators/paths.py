@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.runtime import settled
 
-from .model import PropertyGraph
+from .model import PropertyGraph, dense_index
 
 
 def _steps(graph: PropertyGraph, undirected: bool, known_only: bool) -> DataFrame:
@@ -25,7 +27,7 @@ def _steps(graph: PropertyGraph, undirected: bool, known_only: bool) -> DataFram
 
 
 def shortest_path(
-    graph: PropertyGraph, start: str, target: str, undirected: bool = False, known_only: bool = False, max_levels: int = 64
+    graph: PropertyGraph, start: str, target: str, undirected: bool = False, known_only: bool = False
 ) -> DataFrame:
     """``step, src, dst, kind, details`` of the path that breadth-first search finds first.
 
@@ -42,19 +44,17 @@ def shortest_path(
     steps = settled(_steps(graph, undirected, known_only))
     seen = settled(spark.createDataFrame([(a, 0, 0)], "key string, rank bigint, level int").withColumn("via", F.lit(None).cast(
         "struct<at:string,src:string,dst:string,kind:string,details:string>")))
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         frontier = seen.where(F.col("level") == level - 1).select(F.col("key").alias("at"), F.col("rank").alias("from_rank"))
         found = steps.join(frontier, "at").join(seen.select(F.col("key").alias("to")), "to", "left_anti")
         best = found.groupBy("to").agg(F.min(F.struct("from_rank", "ord", F.struct("at", "src", "dst", "kind", "details").alias("via"))).alias("b"))
-        rank = F.row_number().over(Window.orderBy("b.from_rank", "b.ord"))  # a level of the search; ranks order the next
-        new = settled(best.select(F.col("to").alias("key"), (rank - 1).cast("bigint").alias("rank"), F.lit(level).alias("level"), F.col("b.via").alias("via")))
+        ranked = best.select(F.col("to").alias("key"), F.lit(level).alias("level"), F.col("b.via").alias("via"), F.struct("b.from_rank", "b.ord").alias("seq"))
+        new = settled(dense_index(ranked, "rank").select("key", "rank", "level", "via"))  # ranks order the next level
         if new.isEmpty():
             return spark.createDataFrame([], schema)
         seen = settled(seen.unionByName(new))
         if not new.where(F.col("key") == b).isEmpty():
             break
-    else:
-        return spark.createDataFrame([], schema)
     rows, key = [], b
     while key != a:  # as many look-ups as the path has steps
         via = seen.where(F.col("key") == key).select("via.*").first()
@@ -63,12 +63,12 @@ def shortest_path(
     return spark.createDataFrame([(i, *r) for i, r in enumerate(reversed(rows), 1)], schema)
 
 
-def distances(graph: PropertyGraph, start: str, max_levels: int = 6) -> DataFrame:
-    """``id, distance`` of every node that directed edges reach from ``start`` in ``max_levels`` steps."""
+def distances(graph: PropertyGraph, start: str) -> DataFrame:
+    """``id, distance`` of every node that directed edges reach from ``start``."""
     spark = graph.nodes.sparkSession
     steps = settled(graph.keyed_edges().select(F.col("src_key").alias("at"), F.col("dst_key").alias("to")).distinct())
     seen = spark.createDataFrame([(start.upper(), 0)], "key string, distance int")
-    for level in range(1, max_levels + 1):
+    for level in count(1):
         frontier = seen.where(F.col("distance") == level - 1).select(F.col("key").alias("at"))
         new = steps.join(frontier, "at", "left_semi").select(F.col("to").alias("key")).distinct().join(seen, "key", "left_anti")
         new = settled(new.withColumn("distance", F.lit(level)))
@@ -79,6 +79,13 @@ def distances(graph: PropertyGraph, start: str, max_levels: int = 6) -> DataFram
     return seen.join(names, "key").select("id", "distance")
 
 
+def transitions(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """``src, dst, n``: how often a value comes right after another in the order of a key's rows."""
+    after = F.lead(value).over(Window.partitionBy(key).orderBy(*order))
+    pairs = rows.select(F.col(value).alias("src"), after.alias("dst")).where("dst is not null")
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
 def k_cycles(graph: PropertyGraph, k: int) -> DataFrame:
     """Every elementary cycle of ``k`` (2 to 4) nodes once, from its smallest node: ``cycle_key``."""
     known = graph.nodes.select(F.upper("id").alias("_n"))
@@ -174,5 +181,33 @@ def descendant_counts(edges: DataFrame, more_than: int = 0) -> DataFrame:
     return ancestors(edges).groupBy("ancestor").agg(F.count(F.lit(1)).alias("descendants")).where(F.col("descendants") > more_than)
 
 
-def derivatives(edges: DataFrame, target: str) -> DataFrame:
-    return ancestors(edges).where(F.col("ancestor") == target.upper()).select("id").distinct()
+def base_edges(types: DataFrame) -> DataFrame:
+    """``Inherits`` edges of types (``full_name, name, base_type, seq``): a base by full name, else the first of that short name."""
+    base = types.where("base_type is not null").select(F.col("full_name").alias("src"), F.col("base_type").alias("_b"), "seq")
+    full = types.groupBy(F.upper("full_name").alias("_f")).agg(F.min_by("full_name", "seq").alias("_by_full"))
+    short = types.groupBy(F.upper("name").alias("_s")).agg(F.min_by("full_name", "seq").alias("_by_short"))
+    found = base.join(full, F.upper("_b") == F.col("_f"), "left").join(short, F.upper("_b") == F.col("_s"), "left")
+    return found.select("seq", "src", F.coalesce("_by_full", "_by_short", "_b").alias("dst"), F.lit("Inherits").alias("kind"), F.lit("Base Class").alias("details"))
+
+
+def derivatives(edges: DataFrame, target: str, max_depth: int = 25) -> DataFrame:
+    """``id`` of everything below ``target``, up to ``max_depth`` hops: a walk down from the target alone."""
+    base = settled(edges.where("kind = 'Inherits'").select(F.upper("src").alias("s"), F.upper("dst").alias("d")))
+    level = base.where(F.col("d") == target.upper()).select(F.col("s").alias("id")).distinct()
+    out = level = settled(level)
+    for _ in range(max_depth - 1):
+        level = base.join(level, F.col("d") == F.col("id"), "left_semi").select(F.col("s").alias("id")).distinct()
+        level = settled(level.join(out, "id", "left_anti"))
+        if level.isEmpty():
+            break
+        out = settled(out.unionByName(level))
+    return out
+
+
+def cycle_hops(cycles: DataFrame, graph: PropertyGraph) -> DataFrame:
+    """``cycle_key, hop, src, dst, label``: each step of a cycle with its first edge's ``kind: details``, cycles in order."""
+    steps = cycles.select("cycle_key", F.posexplode(F.split("cycle_key", " -> ", -1)).alias("hop", "src"), F.split("cycle_key", " -> ", -1).alias("ns"))
+    steps = steps.select("cycle_key", "hop", "src", F.get("ns", F.col("hop") + 1).alias("dst")).where("dst is not null")
+    first = graph.edges.groupBy(F.upper("src").alias("_s"), F.upper("dst").alias("_d")).agg(F.min_by(F.concat("kind", F.lit(": "), "details"), "seq").alias("label"))
+    joined = steps.join(first, (F.upper("src") == F.col("_s")) & (F.upper("dst") == F.col("_d")), "left")
+    return joined.select("cycle_key", "hop", "src", "dst", F.coalesce("label", F.lit("unknown connection")).alias("label")).orderBy("cycle_key", "hop")

@@ -86,69 +86,186 @@ def pick_ray(df: DataFrame, origin: tuple, direction: tuple) -> DataFrame:
     return df.where((off <= radius * radius) & (t > 0)).withColumn("t", t).orderBy("t", "idx").limit(1)
 
 
+def _flag(df: DataFrame, name: str) -> Column:
+    """A boolean column, false where the view has none of that name."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
+def _seen(df: DataFrame) -> DataFrame:
+    return df.where(~_flag(df, "hidden"))
+
+
+def softened(d2, mass, other):
+    """Squared distance, not under what keeps two masses from overlapping; columns or arrays."""
+    return (F.greatest if isinstance(d2, Column) else np.maximum)(d2, 64 + 4 * (mass + other))
+
+
 def repulsion(df: DataFrame, k: float = 1.0, cutoff: float = 2500.0) -> DataFrame:
-    """``idx, fx, fy``: exact pairwise repulsion inside the cutoff, which the tree only approximates.
+    """``idx, fx, fy``: exact pairwise repulsion of visible nodes inside the cutoff, which the tree only approximates.
 
     Places are dealt to cells of the cutoff's size and meet those of the nine cells around.
     """
-    at = df.select("idx", "x", "y", "mass", F.floor(F.col("x") / cutoff).alias("cx"), F.floor(F.col("y") / cutoff).alias("cy"))
+    at = _seen(df).select("idx", "x", "y", "mass", F.floor(F.col("x") / cutoff).alias("cx"), F.floor(F.col("y") / cutoff).alias("cy"))
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
     other = at.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), F.col("idx").alias("oi"), "cx", "cy", around.alias("o"))
     other = other.select("oi", "ox", "oy", "om", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
     pairs = at.join(other, ["cx", "cy"]).where("idx <> oi")
     dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
     d2 = dx * dx + dy * dy
-    soft = F.greatest(d2, 64 + 4 * (F.col("mass") + F.col("om")))
-    force = F.when(d2 <= cutoff * cutoff, k * 350.0 * F.col("om") / soft / F.sqrt(F.greatest(d2, F.lit(1e-9)))).otherwise(0.0)
+    soft = softened(d2, F.col("mass"), F.col("om"))
+    force = F.when(d2 <= cutoff * cutoff, k * 350.0 * F.col("om") / soft / F.sqrt(soft)).otherwise(0.0)
     return pairs.groupBy("idx").agg(F.sum(dx * force).alias("fx"), F.sum(dy * force).alias("fy"))
 
 
-def springs(df: DataFrame, edges: DataFrame, strength: float = 0.24) -> DataFrame:
-    """``idx, fx, fy`` of edges ``i, j``; all from the same places, unlike a sequential update."""
-    a = df.select(F.col("idx").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("radius").alias("ri"), F.col("degree").alias("di"))
-    b = df.select(F.col("idx").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("radius").alias("rj"), F.col("degree").alias("dj"))
-    e = edges.join(a, "i").join(b, "j")
+def pyramid(df: DataFrame, levels: int, x0: float, y0: float, size: float) -> DataFrame:
+    """``level, gx, gy, w, px, py, n``: mass, its centre and number of visible nodes of every filled square of every level.
+
+    Every level is an aggregate of the one below, so nodes are shuffled once.
+    """
+    n = 1 << levels
+    at = lambda c, o: F.least(F.floor((F.col(c) - o) / size * n), F.lit(n - 1)).cast("long")
+    level = _seen(df).groupBy(at("x", x0).alias("gx"), at("y", y0).alias("gy"))
+    level = level.agg(F.sum("mass").alias("w"), F.sum(F.col("x") * F.col("mass")).alias("sx"), F.sum(F.col("y") * F.col("mass")).alias("sy"), F.count(F.lit(1)).alias("n"))
+    out = None
+    for k in range(levels, -1, -1):
+        level = settled(level.select(F.lit(k).alias("level"), "gx", "gy", "w", "sx", "sy", "n"))
+        out = level if out is None else out.unionByName(level)
+        level = level.groupBy(F.shiftright("gx", 1).alias("gx"), F.shiftright("gy", 1).alias("gy")).agg(*[F.sum(c).alias(c) for c in ("w", "sx", "sy", "n")])
+    return out.select("level", "gx", "gy", "w", (F.col("sx") / F.col("w")).alias("px"), (F.col("sy") / F.col("w")).alias("py"), "n")
+
+
+def tree_repulsion(df: DataFrame, k: float = 1.0, theta: float = 0.85, cutoff: float = 2500.0, levels: int | None = None) -> DataFrame:
+    """``idx, fx, fy``: Barnes-Hut repulsion of a view of any size, as one join of nodes with squares for each level.
+
+    A square that is small against its distance acts as its centre of mass; the
+    others are opened.  On the lowest level nodes meet the nodes of their squares exactly.
+    """
+    bounds = _seen(df).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    if not bounds[4]:
+        return df.select("idx", F.lit(0.0).alias("fx"), F.lit(0.0).alias("fy")).limit(0)
+    size = max(bounds[1] - bounds[0], bounds[3] - bounds[2]) + 80
+    x0, y0 = (bounds[0] + bounds[1] - size) / 2, (bounds[2] + bounds[3] - size) / 2
+    levels = levels or max(1, math.ceil(math.log(bounds[4] + 1, 4)))
+    squares = settled(pyramid(df, levels, x0, y0, size))
+    nodes = _seen(df).select("idx", "x", "y", "mass")
+    todo = nodes.select("idx", "x", "y", "mass", F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy"))
+    forces = []
+    for level in range(1, levels + 1):
+        step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("o")
+        todo = todo.select("idx", "x", "y", "mass", "gx", "gy", step)
+        todo = todo.select("idx", "x", "y", "mass", (F.col("gx") * 2 + F.col("o.a")).alias("gx"), (F.col("gy") * 2 + F.col("o.b")).alias("gy"))
+        met = todo.join(squares.where(F.col("level") == level).drop("level"), ["gx", "gy"])
+        dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+        d2 = dx * dx + dy * dy
+        soft = softened(d2, F.col("mass"), F.col("w"))
+        width = size / (1 << level)
+        own = (F.floor((F.col("x") - x0) / width) == F.col("gx")) & (F.floor((F.col("y") - y0) / width) == F.col("gy"))
+        far = ~own & (width * width / soft < theta * theta)
+        force = k * 350.0 * F.col("w") / soft / F.sqrt(soft)
+        near = (d2 <= cutoff * cutoff)
+        met = settled(met.withColumn("_far", far).withColumn("_fx", F.when(near, dx * force).otherwise(0.0)).withColumn("_fy", F.when(near, dy * force).otherwise(0.0)))
+        forces.append(met.where("_far").select("idx", F.col("_fx").alias("fx"), F.col("_fy").alias("fy")))
+        todo = met.where("not _far").select("idx", "x", "y", "mass", "gx", "gy")
+    n = 1 << levels
+    at = lambda c, o: F.least(F.floor((F.col(c) - o) / size * n), F.lit(n - 1)).cast("long")
+    other = nodes.select(F.col("idx").alias("oi"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), at("x", x0).alias("gx"), at("y", y0).alias("gy"))
+    pairs = todo.join(other, ["gx", "gy"]).where("idx <> oi")
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    d2 = dx * dx + dy * dy
+    soft = softened(d2, F.col("mass"), F.col("om"))
+    force = F.when(d2 <= cutoff * cutoff, k * 350.0 * F.col("om") / soft / F.sqrt(soft)).otherwise(0.0)
+    forces.append(pairs.select("idx", (dx * force).alias("fx"), (dy * force).alias("fy")))
+    out = forces[0]
+    for f in forces[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+
+
+def springs(df: DataFrame, edges: DataFrame, strength: float = 0.24, scale: float = 1.0, dragged: float = 0.65) -> DataFrame:
+    """``idx, fx, fy`` of edges ``i, j``; all from the same places, unlike a sequential update.
+
+    Half the pull goes to each end.  A pinned end stays, and the other gets one and a half
+    times a stronger pull; edges with a hidden end, and of no length, pull nothing.
+    """
+    end = lambda i: df.select(
+        F.col("idx").alias(i), *[F.col(c).alias(c + i) for c in ("x", "y", "radius", "degree")], _flag(df, "pinned").alias("p" + i), _flag(df, "hidden").alias("h" + i)
+    )
+    e = edges.join(end("i"), "i").join(end("j"), "j").where("not hi and not hj")
     dx, dy = F.col("xj") - F.col("xi"), F.col("yj") - F.col("yi")
-    d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-6))
-    target = 160 + 0.85 * (F.col("ri") + F.col("rj"))
-    pull = strength / F.sqrt(F.greatest(F.lit(1.0), 0.15 * F.greatest("di", "dj"))) * (d - target) / d
-    e = e.select("i", "j", (dx * pull * 0.5).alias("px"), (dy * pull * 0.5).alias("py"))
-    both = e.select(F.col("i").alias("idx"), "px", "py").unionByName(e.select(F.col("j").alias("idx"), (-F.col("px")).alias("px"), (-F.col("py")).alias("py")))
+    d = F.sqrt(dx * dx + dy * dy)
+    target = 160 + 0.85 * scale * (F.col("radiusi") + F.col("radiusj"))
+    damped = strength / F.sqrt(F.greatest(F.lit(1.0), 0.15 * F.greatest("degreei", "degreej")))
+    pull = F.when(F.col("pi") | F.col("pj"), dragged).otherwise(damped) * (d - target) / d
+    e = e.where(d >= 0.001).select("i", "j", "pi", "pj", (dx * pull).alias("px"), (dy * pull).alias("py"))
+    share = lambda own, other: F.when(F.col(own), 0.0).when(F.col(other), 1.5).otherwise(0.5)
+    both = e.select(F.col("i").alias("idx"), (F.col("px") * share("pi", "pj")).alias("px"), (F.col("py") * share("pi", "pj")).alias("py"))
+    both = both.unionByName(e.select(F.col("j").alias("idx"), (-F.col("px") * share("pj", "pi")).alias("px"), (-F.col("py") * share("pj", "pi")).alias("py")))
     return both.groupBy("idx").agg(F.sum("px").alias("fx"), F.sum("py").alias("fy"))
 
 
-def collisions(df: DataFrame, push: float = 0.6, margin: float = 6.0) -> DataFrame:
-    """``idx, fx, fy``: overlapping pairs of adjoining cells push each other apart."""
-    r = df.select("idx", "radius")
-    pairs = neighbour_pairs(df).join(r.select(F.col("idx").alias("i"), F.col("radius").alias("ri")), "i").join(r.select(F.col("idx").alias("j"), F.col("radius").alias("rj")), "j")
+def collisions(df: DataFrame, scale: float = 1.0, hard: float = 0.60, soft: float = 0.35) -> DataFrame:
+    """``idx, fx, fy``: overlapping pairs of adjoining cells push each other apart, harder where the overlap is large."""
+    df = _seen(df)
+    r = df.select("idx", (F.col("radius") * scale).alias("r"), _flag(df, "pinned").alias("p"))
+    end = lambda i: r.select(F.col("idx").alias(i), F.col("r").alias("r" + i), F.col("p").alias("p" + i))
+    pairs = neighbour_pairs(df, scale).join(end("i"), "i").join(end("j"), "j")
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-    d = F.greatest(F.sqrt(dx * dx + dy * dy), F.lit(1e-3))
-    over = F.col("ri") + F.col("rj") + margin - d
-    p = pairs.where(over > 0).select("i", "j", (dx / d * over * push / 2).alias("px"), (dy / d * over * push / 2).alias("py"))
-    both = p.select(F.col("i").alias("idx"), "px", "py").unionByName(p.select(F.col("j").alias("idx"), (-F.col("px")).alias("px"), (-F.col("py")).alias("py")))
+    d = F.sqrt(dx * dx + dy * dy)
+    over = F.col("ri") + F.col("rj") + 6.0 * scale - d
+    push = F.when(over > F.col("ri") * 0.5, hard).otherwise(soft) * over / d / 2
+    p = pairs.where((over > 0) & (d * d > 0.0001)).select("i", "j", "pi", "pj", (dx * push).alias("px"), (dy * push).alias("py"))
+    free = lambda own, c: F.when(F.col(own), 0.0).otherwise(F.col(c))
+    both = p.select(F.col("i").alias("idx"), free("pi", "px").alias("px"), free("pi", "py").alias("py"))
+    both = both.unionByName(p.select(F.col("j").alias("idx"), (-free("pj", "px")).alias("px"), (-free("pj", "py")).alias("py")))
     return both.groupBy("idx").agg(F.sum("px").alias("fx"), F.sum("py").alias("fy"))
 
 
-def physics(df: DataFrame, edges: DataFrame, steps: int = 1, alpha: float = 1.0, centre: float = 0.02) -> DataFrame:
-    """``df`` after ``steps`` of repulsion, springs, collisions and centre pull; speed at most 15."""
+# Fixed values of the force steps.
+REPULSION, REPULSION_POWER, STEP, CENTRE, CENTRE_STEP = 10.0, 12.0, 0.016, 0.35, 0.002
+DAMPING, TOP_SPEED, COOLING, ASLEEP = 0.68, 15.0, 0.016, 0.001
+
+
+def cooled(alpha: float) -> float:
+    """The next step's energy."""
+    return alpha - alpha * COOLING
+
+
+def reheated(alpha: float, energy: float = 1.0) -> float:
+    return max(alpha, energy)
+
+
+def physics(df: DataFrame, edges: DataFrame, steps: int = 1, alpha: float = 1.0, scale: float = 1.0, exact: bool = True) -> DataFrame:
+    """``df`` after ``steps`` of repulsion (exact, or by the tree), springs, collisions and centre pull.
+
+    A node is hidden or pinned where columns of those names say so: hidden ones do
+    nothing, and neither moves.  Below the least energy all stand still.
+    """
     state = df
     for _ in range(steps):
-        if alpha < 0.001:
-            break
-        forces = repulsion(state).unionByName(springs(state, edges)).unionByName(collisions(state))
+        alpha = cooled(alpha)
+        if alpha < ASLEEP:
+            return state.withColumn("vx", F.lit(0.0)).withColumn("vy", F.lit(0.0)).select(*df.columns)
+        far = (repulsion if exact else tree_repulsion)(state, REPULSION * REPULSION_POWER, cutoff=2500.0 * max(1.0, 0.75 * scale))
+        scaled = lambda forces, by: forces.select("idx", (F.col("fx") * by).alias("fx"), (F.col("fy") * by).alias("fy"))
+        forces = scaled(far, alpha * STEP).unionByName(scaled(springs(state, edges, scale=scale), alpha)).unionByName(scaled(collisions(state, scale), alpha))
         total = forces.groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
         zero = F.lit(0.0)
         moved = state.join(total, "idx", "left")
-        vx = (F.col("vx") + alpha * (F.coalesce("fx", zero) - centre * F.col("x"))) * 0.68
-        vy = (F.col("vy") + alpha * (F.coalesce("fy", zero) - centre * F.col("y"))) * 0.68
-        moved = moved.withColumn("nvx", vx).withColumn("nvy", vy)
-        slow = F.least(F.lit(1.0), 15.0 / F.greatest(F.sqrt(F.col("nvx") ** 2 + F.col("nvy") ** 2), F.lit(1e-9)))
+        pull = lambda v, f, x: (F.col(v) + F.coalesce(f, zero) - F.col(x) * (CENTRE * CENTRE_STEP * alpha)) * DAMPING
+        moved = moved.withColumn("nvx", pull("vx", "fx", "x")).withColumn("nvy", pull("vy", "fy", "y"))
+        speed = F.sqrt(F.col("nvx") ** 2 + F.col("nvy") ** 2)
+        still = _flag(df, "pinned") | _flag(df, "hidden")
+        slow = F.when(still, 0.0).when(speed > TOP_SPEED, TOP_SPEED / speed).otherwise(1.0)
         moved = moved.withColumn("vx", F.col("nvx") * slow).withColumn("vy", F.col("nvy") * slow)
         state = settled(moved.withColumn("x", F.col("x") + F.col("vx")).withColumn("y", F.col("y") + F.col("vy")).select(*df.columns))
-        alpha -= alpha * 0.016
     return state
 
 
+def elevated(df: DataFrame, three_d: bool = True) -> DataFrame:
+    """``elevation``: 45 for each level in three dimensions, else 0."""
+    return df.withColumn("elevation", F.col("z") * 45.0 if three_d else F.lit(0.0))
+
+
 def barnes_hut(points: pd.DataFrame, theta: float = 0.85, k: float = 1.0, cutoff: float = 2500.0) -> np.ndarray:
     """Approximate repulsion of one view's nodes (``x, y, mass``) over a pyramid of square cells."""
     x, y, m = (points[c].to_numpy(float) for c in ("x", "y", "mass"))
@@ -177,11 +294,12 @@ def barnes_hut(points: pd.DataFrame, theta: float = 0.85, k: float = 1.0, cutoff
         px, py = mx[gx, gy] / w, my[gx, gy] / w
         dx, dy = x[todo] - px, y[todo] - py
         d2 = dx * dx + dy * dy
-        far = ~own & ((size / n) ** 2 < theta * theta * d2)
+        far = ~own & ((size / n) ** 2 < theta * theta * softened(d2, m[todo], w))
         last = level == top
         w = np.where(own, w - m[todo], w) if last else w
         use = (far | last) & (d2 <= cutoff * cutoff) & (w > 0)
-        f = k * 350.0 * w / np.maximum(d2, 64 + 4 * (m[todo] + w)) / np.sqrt(np.maximum(d2, 1e-9))
+        soft = softened(d2, m[todo], w)
+        f = k * 350.0 * w / soft / np.sqrt(soft)
         np.add.at(force, todo[use], np.column_stack([dx * f, dy * f])[use])
         if not last:
             todo, gx, gy = todo[~far], gx[~far], gy[~far]

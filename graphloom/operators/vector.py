@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import names
+from graphloom.sources.files import INDEX_HOMES, path_exists
+
+from .lookup import with_members
+from .model import dense_index
+from .views import keyword_search
+
 
 def inner_product(column: str, query: list[float]) -> Column:
     """In doubles; expressions only, so the scan stays in the JVM."""
@@ -45,9 +55,88 @@ def quantise(vector: str, bits: int = 4) -> Column:
     return F.transform(vector, lambda x: F.round(x / F.greatest(scale, F.lit(1e-12)) * top).cast("tinyint"))
 
 
-def build_index(documents: DataFrame, encode: Column | None = None) -> DataFrame:
-    """Chunks with numeric ids from 10000 in ``seq`` order; ``encode`` gives the vector of ``passage: text``."""
-    from .model import dense_index
+def encoded(texts: DataFrame, encode, column: str = "text", prefix: str = "passage: ", name: str = "embedding") -> DataFrame:
+    """``texts`` with the vectors that ``encode`` (a list of strings to a list of vectors) gives a batch of ``prefix`` and text."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in encode([prefix + (t or "") for t in values])])
+
+    return texts.withColumn(name, F.pandas_udf(run, "array<float>")(column))
+
+
+#: The first number of an index's documents.
+FIRST_ID = 10_000
+
+
+def build_index(documents: DataFrame, encode=None, bits: int = 4) -> DataFrame:
+    """Chunks with numeric ids from 10000 in ``seq`` order, their vectors (``encode``, or as they are) and quantised codes."""
+    numbered = dense_index(documents).withColumn("numeric_id", F.col("idx") + FIRST_ID).drop("idx")
+    numbered = numbered if encode is None else encoded(numbered, encode)
+    if "embedding" not in numbered.columns:
+        return numbered
+    scale = F.array_max(F.transform("embedding", lambda x: F.abs(x))) / F.lit(float((1 << (bits - 1)) - 1))
+    return numbered.withColumn("code", quantise("embedding", bits)).withColumn("scale", scale.cast("float"))
+
 
-    numbered = dense_index(documents).withColumn("numeric_id", F.col("idx") + 10_000)
-    return numbered.drop("idx") if encode is None else numbered.withColumn("embedding", encode).drop("idx")
+def write_index(documents: DataFrame, folder: str, encode=None, bits: int = 4) -> dict:
+    """An index of ``documents(seq, id, fqn, type, text)`` under ``folder``, overwriting; none for no documents."""
+    if documents.isEmpty():
+        return {"status": "empty"}
+    path = f"{folder.rstrip('/')}/vec/semantic_index"
+    build_index(documents, encode, bits).write.mode("overwrite").parquet(path)
+    return {"status": "ok", "indexed_count": documents.sparkSession.read.parquet(path).count(), "output_dir": folder}
+
+
+def load_index(spark: SparkSession, base: str) -> DataFrame:
+    """The index under the first of the folders it may be in; an error if it is in none."""
+    for sub in INDEX_HOMES:
+        path = "/".join(x for x in (base.rstrip("/"), sub, "semantic_index") if x)
+        if path_exists(spark, path):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(f"no index under {base}")
+
+
+def approximate_top_k(index: DataFrame, query: list[float], k: int = 5, threshold: float = 0.0, over: int = 10, id_col: str = "numeric_id") -> DataFrame:
+    """The ``k`` best of an index: ``over`` times as many by their codes, then these by their vectors; exact for a large ``over``."""
+    rough = inner_product("code", query) * F.col("scale")
+    pool = index.withColumn("_rough", rough).orderBy(F.desc("_rough"), id_col).limit(k * over).drop("_rough")
+    return top_k(pool, query, k, threshold, id_col)
+
+
+def semantic_search(index: DataFrame, text: str, encode, limit: int = 5, threshold: float = 0.0) -> DataFrame:
+    """``numeric_id, id, fqn, type, score, preview`` of the best hits of a text, and what their previews say of place and file."""
+    query = [float(x) for x in encode([f"query: {text.strip()}"])[0]]
+    hits = top_k(index, query, limit, threshold, "numeric_id").select("numeric_id", "id", "fqn", "type", "score", F.col("text").alias("preview"))
+    has = lambda mark: F.contains("preview", F.lit(mark))
+    file = F.coalesce(F.nullif(F.rtrim(names.preview_file(F.col("preview"))), F.lit("")), F.concat("fqn", F.lit(".cs")))
+    return hits.withColumn("namespace", F.when(has("Namespace:"), names.preview_namespace(F.col("preview"))).otherwise("global")).withColumn(
+        "file", F.when(has("Source file:"), file).otherwise(F.concat("fqn", F.lit(".cs")))
+    ).withColumn("score_text", names.score_text(F.col("score")))
+
+
+def api_search(
+    types: DataFrame, members: DataFrame, index: DataFrame | None, text: str, encode=None, mode: str = "hybrid", member_type: str = "all", limit: int = 5, fallback=None
+) -> DataFrame:
+    """``section, rank, label, type, score`` of a search of the API: by keyword, by meaning, or one after the other.
+
+    A semantic section takes a pool of the best, keeps those of the member type, and
+    enriches them with the member that a hit stands for.
+    """
+    mode = mode.lower().strip()
+    parts = []
+    if mode in ("keyword", "hybrid"):
+        found = keyword_search(types, members, text, limit, member_type, fallback)
+        rank = F.row_number().over(Window.orderBy("tier", "type_seq", "member_seq"))  # over a top-k
+        parts.append(found.select(F.lit("keyword").alias("section"), rank.alias("rank"), "label", F.lower("badge").alias("type"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("member")))
+    if mode in ("semantic", "hybrid") and index is not None and encode is not None:
+        query = [float(x) for x in encode([f"query: {text.strip()}"])[0]]
+        keep = None if member_type == "all" else names.member_type_is(F.col("type"), member_type)
+        pool = top_k(index, query, pool_size(limit, keep is None), -1e9, "numeric_id")
+        pool = pool.where(~F.col("fqn").rlike("[<$]") & (F.lit(True) if keep is None else keep))
+        hits = pool.orderBy(F.desc("score"), "numeric_id").limit(limit).select("numeric_id", "id", "fqn", "type", "score")
+        rich = with_members(hits, members)
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "numeric_id"))
+        parts.append(rich.select(F.lit("semantic").alias("section"), rank.alias("rank"), F.col("fqn").alias("label"), "type", "score", F.col("doc_id").alias("member")))
+    if not parts:
+        raise ValueError(f"unknown mode {mode!r}, or no index")
+    return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .model import PropertyGraph
@@ -14,10 +14,16 @@ def contains_ci(column: str, text: str) -> Column:
 
 def search(graph: PropertyGraph, text: str, limit: int = 30) -> DataFrame:
     """The first nodes whose id or namespace has ``text`` in any case; the empty text matches all."""
-    hit = contains_ci("id", text) | contains_ci("namespace", text) | contains_ci("name", text)
-    return graph.nodes.where(hit).orderBy("seq").limit(limit).select("id", "name", "namespace")
+    return search_hits(graph, text).orderBy("seq").limit(limit).select("id", "name", "namespace")
 
 
+def search_hits(graph: PropertyGraph, text: str) -> DataFrame:
+    """All of them."""
+    return graph.nodes.where(contains_ci("id", text) | contains_ci("namespace", text)) if text else graph.nodes
+
+
+#: Bit of a node's flags that hides it.
+HIDDEN = 32
 VIEWS = {"all": ("out", "in", "engine"), "in": ("in",), "out": ("out",), "in_out": ("in", "out"), "engine": ("engine",), "engine_deps": ("engine",)}
 
 
@@ -81,6 +87,29 @@ def with_focus(nodes: DataFrame, graph: PropertyGraph, focus: str | None) -> Dat
     return joined.withColumn("alpha", F.when(lit, 1.0).otherwise(0.15)).drop("_f", "_near")
 
 
+def focused_edges(edges: DataFrame, focus: str | None) -> DataFrame:
+    """``alpha``: 1 for edges that touch the focused node, or for all without one, else 0.15."""
+    touches = (F.upper("src") == focus.upper()) | (F.upper("dst") == focus.upper()) if focus else F.lit(True)
+    return edges.withColumn("alpha", F.when(touches, 1.0).otherwise(0.15))
+
+
+def visible(df: DataFrame) -> DataFrame:
+    """Nodes whose hidden flag isn't set."""
+    return df.where(F.col("flags").bitwiseAND(F.lit(HIDDEN)) == 0)
+
+
+def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges ``i, j`` both of whose numbers are those of visible nodes (``idx, flags``)."""
+    seen = visible(nodes).select("idx")
+    return edges.join(seen.select(F.col("idx").alias("i")), "i", "left_semi").join(seen.select(F.col("idx").alias("j")), "j", "left_semi")
+
+
+def shown_labels(nodes: DataFrame, graph: PropertyGraph, focus: str | None, width: float, height: float) -> DataFrame:
+    """Nodes (``id, x, y`` on the screen) that have a label: the focused one and its neighbours, in or near the viewport."""
+    near = with_focus(nodes, graph, focus).where(F.lit(focus is not None) & (F.col("alpha") == 1.0)).drop("alpha")
+    return near.where(F.col("x").between(-80.0, width + 80.0) & F.col("y").between(-40.0, height + 40.0))
+
+
 def visual_metrics(degree: Column) -> dict[str, Column]:
     """Level, radius and mass that a node's degree gives."""
     return {
@@ -98,17 +127,35 @@ def carry_over(new: DataFrame, saved: DataFrame) -> DataFrame:
     return kept.withColumn("pinned", F.coalesce("_p", F.lit(False))).drop("_id", "_x", "_y", "_p")
 
 
-def keyword_search(types: DataFrame, members: DataFrame, text: str, limit: int = 5) -> DataFrame:
+# Member types that a keyword search may be limited to, by the tiers they mean.
+TIERS = {0: ("class", "type", "struct", "interface", "enum"), 1: ("property", "prop", "field"), 2: ("method",)}
+
+
+def keyword_search(
+    types: DataFrame, members: DataFrame, text: str, limit: int = 5, member_type: str = "all", fallback: PropertyGraph | None = None
+) -> DataFrame:
     """Types, then properties, then methods that contain ``text``, sharing one budget.
 
     ``types(seq, name, full_name, is_interface, is_enum, is_value_type)``,
-    ``members(type_seq, seq, member_kind, name, doc_id)``.
+    ``members(type_seq, seq, member_kind, name, doc_id)``.  Members of compiler-made types are left out.
+    Where nothing is found and types are asked for, nodes of ``fallback`` whose id or namespace has the text are.
     """
+    wanted = member_type.lower().strip()
+    allowed = [t for t, names in TIERS.items() if wanted == "all" or wanted in names]
     visible = lambda c: ~F.col(c).rlike("[<$]")
     badge = F.when(F.col("is_interface"), "INTERFACE").when(F.col("is_enum"), "ENUM").when(F.col("is_value_type"), "STRUCT").otherwise("CLASS")
     hit = types.where(visible("full_name") & (contains_ci("name", text) | contains_ci("full_name", text)))
     tiers = hit.select(F.lit(0).alias("tier"), F.col("seq").alias("type_seq"), F.lit(0).cast("bigint").alias("member_seq"), badge.alias("badge"), F.col("full_name").alias("label"))
+    hidden = types.where(~visible("full_name")).select(F.col("seq").alias("type_seq")).distinct()
+    members = members.join(hidden, "type_seq", "left_anti")
     for tier, kind in ((1, "property"), (2, "method")):
         found = members.where((F.col("member_kind") == kind) & contains_ci("name", text))
         tiers = tiers.unionByName(found.select(F.lit(tier).alias("tier"), "type_seq", F.col("seq").cast("bigint").alias("member_seq"), F.lit(kind.upper()).alias("badge"), F.col("doc_id").alias("label")))
-    return tiers.orderBy("tier", "type_seq", "member_seq").limit(limit)
+    best = tiers.where(F.col("tier").isin(allowed)).orderBy("tier", "type_seq", "member_seq").limit(limit)
+    if fallback is None or 0 not in allowed:
+        return best
+    nodes = search_hits(fallback, text).where(visible("id"))
+    nodes = nodes.select(F.lit(3).alias("tier"), F.col("seq").alias("type_seq"), F.lit(0).cast("bigint").alias("member_seq"), F.lit("USER").alias("badge"), F.col("id").alias("label"))
+    first = F.min("tier").over(Window.partitionBy(F.lit(0)))  # over at most twice the limit
+    both = best.unionByName(nodes.orderBy("type_seq").limit(limit)).withColumn("_first", first)
+    return both.where("(_first < 3 and tier < 3) or _first = 3").drop("_first").orderBy("tier", "type_seq", "member_seq")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, style
-from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, vector, views
-from graphloom.operators.model import PropertyGraph, dense_index
+from graphloom.operators import csharp, extract, generics, lookup, metrics, paths, spatial, vector, views
+from graphloom.operators.model import PropertyGraph, dense_index, first_per_key
+from graphloom.sinks import render
 from graphloom.sources import star
 from graphloom.sources.star import SQL_HEAVY, SQL_INHERIT, SQL_STAR, SQL_TRADE, table
 
@@ -69,14 +70,14 @@ def counts_by_kind(spark, sf):
     return metrics.counts_by(star.star_graph(spark, sf).edges, "kind")
 
 
-@query(f"WITH {SQL_INHERIT} SELECT " + ", ".join(f"count(*) FILTER (WHERE origin = '{o}') AS {o.lower()}" for o in ("EngineRuntime", "UserProject", "SystemPrimitive", "External")) + " FROM nodes")
+@query(f"WITH {SQL_INHERIT} SELECT " + ", ".join(f"count(*) FILTER (WHERE origin = '{o}') AS {o.lower()}" for o in ("EngineRuntime", "EngineEditor", "UserProject", "SystemPrimitive")) + " FROM nodes")
 def counts_by_origin(spark, sf):
     return metrics.origin_counts(PropertyGraph(star.nodes(spark, sf), None))
 
 
-@query(f"WITH {SQL_INHERIT} SELECT id, name, namespace FROM nodes WHERE contains(upper(id), 'RED') OR contains(upper(namespace), 'RED') OR contains(upper(name), 'RED') ORDER BY seq LIMIT 30")
+@query(f"WITH {SQL_INHERIT} SELECT id, name, namespace FROM nodes WHERE contains(upper(id), 'N:1') OR contains(upper(namespace), 'N:1') ORDER BY seq LIMIT 30")
 def search_nodes(spark, sf):
-    return views.search(PropertyGraph(star.nodes(spark, sf), None), "red")
+    return views.search(PropertyGraph(star.nodes(spark, sf), None), "n:1")
 
 
 def _explain_sql(view):
@@ -148,7 +149,7 @@ def derivatives_of(spark, sf):
     return paths.derivatives(star.inheritance(spark, sf), "r:2")
 
 
-@query(f"""WITH RECURSIVE {SQL_TRADE}, walk AS (SELECT 'N:0' AS id, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.distance < 6)
+@query(f"""WITH RECURSIVE {SQL_TRADE}, walk AS (SELECT 'N:0' AS id, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.distance < 25)
     SELECT id, min(distance) AS distance FROM walk GROUP BY id""")
 def bfs_distances(spark, sf):
     return paths.distances(star.trade_graph(spark, sf), "n:0")
@@ -156,10 +157,10 @@ def bfs_distances(spark, sf):
 
 @query(f"""WITH RECURSIVE {SQL_TRADE}, walk AS (SELECT 'N:0' AS id, [0]::BIGINT[] AS ord, ['N:0'] AS trail UNION ALL
       SELECT e.dst, list_append(w.ord, e.seq), list_append(w.trail, e.dst) FROM walk w JOIN edges e ON e.src = w.id WHERE len(w.trail) < 7 AND NOT list_contains(w.trail, e.dst)),
-    best AS (SELECT * FROM walk WHERE id = 'N:24' ORDER BY len(trail), ord LIMIT 1)
+    best AS (SELECT * FROM walk WHERE id = 'N:10' ORDER BY len(trail), ord LIMIT 1)
     SELECT i AS step, trail[i] AS src, trail[i + 1] AS dst FROM best, range(1, 8) AS r(i) WHERE i < len(trail)""")
 def bfs_path(spark, sf):
-    return paths.shortest_path(star.trade_graph(spark, sf), "N:0", "N:24").select("step", "src", "dst")
+    return paths.shortest_path(star.trade_graph(spark, sf), "N:0", "N:10").select("step", "src", "dst")
 
 
 @query(f"WITH {SQL_TRADE} SELECT a.src || ' -> ' || a.dst || ' -> ' || a.src AS cycle_key FROM edges a JOIN edges b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst")
@@ -183,27 +184,22 @@ _TAG = "unnest(regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1))"
 
 @query(f"SELECT lower(tag) AS tag, count(*) AS n FROM (SELECT {_TAG} AS tag FROM pages) GROUP BY 1")
 def tag_counts(spark, sf):
-    tags = table(spark, sf, "pages").select(F.explode(F.expr("regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1)")).alias("tag"))
-    return tags.groupBy(F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return extract.tag_counts(table(spark, sf, "pages"), "html")
 
 
 @query(f"SELECT DISTINCT 'page:' || page_id AS src, lower(tag) AS dst FROM (SELECT page_id, {_TAG} AS tag FROM pages)")
 def tag_links(spark, sf):
-    tags = F.expr("array_distinct(transform(regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1), x -> lower(x)))")
-    return table(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.explode(tags).alias("dst"))
+    return extract.tag_links(table(spark, sf, "pages"), F.concat(F.lit("page:"), F.col("page_id").cast("string")), "html")
 
 
 @query("""WITH h AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) SELECT href, count(*) AS in_degree FROM h GROUP BY href""")
 def href_graph_degree(spark, sf):
-    links = F.expr("""array_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))""")
-    return table(spark, sf, "pages").select(F.explode(links).alias("href")).groupBy("href").agg(F.count(F.lit(1)).alias("in_degree"))
+    return extract.link_degrees(table(spark, sf, "pages"), "html")
 
 
 @query("""SELECT event_type AS src, nxt AS dst, count(*) AS n FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL GROUP BY 1, 2""")
 def event_transitions(spark, sf):
-    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    pairs = table(spark, sf, "events").select(F.col("event_type").alias("src"), after.alias("dst")).where("dst is not null")
-    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return paths.transitions(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id")
 
 
 @query("SELECT page_id, replace(translate(replace(url, '+', '.'), '<>,:|*?\"/\\`', '__________'), ' ', '') AS uid FROM pages")
@@ -352,27 +348,185 @@ def pick_node(spark, sf):
 
 
 @query(f"""WITH {_VIEW_SQL}, f AS (SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, a.mass AS am, b.mass AS bm FROM p a JOIN p b ON a.idx <> b.idx)
-    SELECT idx, round(sum(dx * 350 * bm / greatest(d2, 64 + 4 * (am + bm)) / sqrt(greatest(d2, 1e-9))), 3) AS fx FROM f WHERE d2 <= 2500.0 * 2500.0 GROUP BY idx""")
+    SELECT idx, round(sum(dx * 350 * bm / greatest(d2, 64 + 4 * (am + bm)) / sqrt(greatest(d2, 64 + 4 * (am + bm)))), 3) + 0 AS fx FROM f WHERE d2 <= 2500.0 * 2500.0 GROUP BY idx""")
 def repulsion_exact(spark, sf):
-    return spatial.repulsion(_view(spark, sf)).select("idx", F.round("fx", 3).alias("fx"))
+    return spatial.repulsion(_view(spark, sf)).select("idx", (F.round("fx", 3) + 0.0).alias("fx"))
 
 
 @query("SELECT p_brand, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_brand")
 def registry_first_wins(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.min_by("p_name", "p_partkey").alias("first_name"))
+    part = table(spark, sf, "part").select("p_brand", F.col("p_name").alias("first_name"), F.col("p_partkey").alias("seq"))
+    return first_per_key(part, F.col("p_brand")).select("p_brand", "first_name")
 
 
-@query()
+@query("SELECT p_partkey, 'List|' || p_brand || '|Foo|' || p_type AS names FROM part")
 def typesig_parse(spark, sf):
     text = F.concat(F.lit("System.Collections.Generic.List`1<"), "p_brand", F.lit(","), F.lit("Foo<"), "p_type", F.lit(">>"))
     sig = table(spark, sf, "part").select("p_partkey", names.type_signature(text).alias("s"))
     return sig.select("p_partkey", F.array_join(F.transform("s", lambda x: x["clean_name"]), "|").alias("names"))
 
 
-@query()
+def _code(spark, sf):
+    """A C# file for each customer and part: classes with bases, members and calls that the tables tell."""
+    c = table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), F.format_string(
+        "using Parts;\nnamespace Shop {\npublic class C%1$d : N%2$d {\n  public P%3$d Item { get; set; } // new X()\n  List<P%4$d> all = new();\n"
+        "  void Buy( P%3$d p, int n ) { var y = new P%4$d(); Bus.Instance.Send( y ); p.Use(); Log.Info( \"new Q()\" ); Done += Buy; Feed.Sold += Buy; }\n}\n}",
+        "c_custkey", F.col("c_nationkey").cast("bigint"), F.col("c_custkey") % 7, F.col("c_custkey") % 11).alias("text"))
+    bus = spark.createDataFrame([("Bus.cs", "namespace Shop;\npublic class Bus { public static Bus Instance { get; } }")], "path string, text string")
+    parts = spark.range(11).select(F.format_string("P%d.cs", "id").alias("path"), F.format_string("namespace Parts { class P%d { } }", "id").alias("text"))
+    return c.unionByName(bus).unionByName(parts)
+
+
+@query("""SELECT 'C' || c_custkey || '.cs' AS path, 'C' || c_custkey AS src, e.dst, e.kind, e.details, e.line::INT AS line_number FROM customer, LATERAL (VALUES
+    ('N' || c_nationkey, 'Inherits', 'Base Class', 3), ('P' || c_custkey % 11, 'Instantiates', 'new P' || c_custkey % 11 || '()', 6), ('Bus', 'SingletonAccess', '.Instance', 6),
+    ('Bus.Instance', 'MethodCall', 'Method ''Send()''', 6), ('p', 'MethodCall', 'Method ''Use()''', 6), ('Log', 'MethodCall', 'Method ''Info()''', 6), ('Feed', 'EventSubscription', 'Event ''Sold'' +=', 6)) AS e(dst, kind, details, line)""")
 def csharp_edges(spark, sf):
-    code = F.concat(F.lit("public class Doc"), F.col("doc_id").cast("string"), F.lit(" : Base {\n void F() { var x = new Item"), (F.col("doc_id") % 7).cast("string"), F.lit("(); Bus.Instance.Send(x); x.Done += G; } }"))
-    return extract.csharp_edges(table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".cs")).alias("path"), code.alias("text")))
+    return extract.csharp_edges(_code(spark, sf))
+
+
+@query("""SELECT DISTINCT 'C' || c_custkey AS src, e.dst, e.kind, e.details FROM customer, LATERAL (VALUES
+    ('N' || c_nationkey, 'Inherits', 'Base Class'), ('P' || c_custkey % 7, 'References', 'Has property ''Item'' (type: P' || c_custkey % 7 || ')'),
+    ('P' || c_custkey % 11, 'References', 'Field ''all'' (holds ''List<P' || c_custkey % 11 || '>'')'), ('P' || c_custkey % 7, 'References', 'Parameter ''p'''),
+    ('P' || c_custkey % 11, 'Instantiates', 'new P' || c_custkey % 11 || '()'), ('P' || c_custkey % 11, 'Instantiates', 'new List()'), ('Bus', 'CallsSingleton', 'Method ''Send()'''), ('P' || c_custkey % 7, 'Calls', 'Method ''Use()'''),
+    ('Sandbox.Diagnostics.Logger', 'Engine_Calls', 'Method ''Info()''')) AS e(dst, kind, details)""")
+def dependency_edges(spark, sf):
+    aliases = spark.createDataFrame([("Log", "Sandbox.Diagnostics.Logger")], "alias string, target string")
+    types = spark.createDataFrame([(0, "Sandbox.Color", "Color")], "seq bigint, full_name string, name string")
+    found = csharp.dependency_edges(csharp.source_uses(_code(spark, sf)), csharp.engine_types(types, aliases))
+    return found.select("src", "dst", "kind", "details")
+
+
+@query("""SELECT DISTINCT 'page' || page_id AS src, name AS dst, 'UI_NestedComponent' AS kind, 'HTML Tag' AS details
+    FROM pages JOIN (VALUES ('P'), ('Div'), ('Table'), ('Nav'), ('H1')) AS k(name) ON regexp_matches(html, '<' || name || '(\\s|>|/)', 'i')""")
+def markup_edges(spark, sf):
+    files = table(spark, sf, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".razor")).alias("path"), F.col("html").alias("text"))
+    return extract.markup_edges(files, spark.createDataFrame([(x,) for x in ("P", "Div", "Table", "Nav", "H1")], "name string"))
+
+
+@query("SELECT p_partkey, 'using Shop.' || p_type || ';' || chr(10) || 'public partial class P' || p_partkey || ' : Panel { int size = ' || p_size || '; void F() { } }' AS code FROM part")
+def razor_code(spark, sf):
+    text = F.concat(F.lit("@using Shop."), "p_type", F.lit("\n<p>"), "p_name", F.lit("</p>\n@code { int size = "), F.col("p_size").cast("string"), F.lit("; void F() { } }\n<b/>"))
+    return table(spark, sf, "part").select("p_partkey", extract.razor_code(text, F.concat(F.lit("P"), F.col("p_partkey").cast("string"))).alias("code"))
+
+
+@query("""SELECT DISTINCT 'Shop.' || p_name AS src, dst, kind, details FROM part, LATERAL (VALUES
+    (p_brand, 'PropertyReference', 'Property ''' || p_type || ''''), (p_type, 'PropertyReference', 'Property ''' || p_type || ''''), ('Shop.' || p_type, 'Inherits', 'Base Class'),
+    ('Shop.I' || p_size, 'Implements', 'Interface Implementation')) AS e(dst, kind, details)""")
+def type_edges(spark, sf):
+    part = table(spark, sf, "part")
+    full, seq = F.concat(F.lit("Shop."), "p_name").alias("full_name"), F.col("p_partkey").alias("seq")
+    types = part.select(full, F.concat(F.lit("Shop."), "p_type").alias("base_type"), seq)
+    properties = part.select(full, F.col("p_type").alias("name"), F.concat(F.lit("Map<"), "p_brand", F.lit(",List<"), "p_type", F.lit("[]>>")).alias("member_type"), seq)
+    interfaces = part.select(full, F.concat(F.lit("Shop.I"), F.col("p_size").cast("string")).alias("interface"), seq)
+    return extract.type_edges(types, properties, interfaces).select("src", "dst", "kind", "details")
+
+
+@query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, greatest(in_degree + out_degree, 1) AS degree FROM degrees")
+def total_degrees(spark, sf):
+    return metrics.total_degrees(star.star_graph(spark, sf)).select("id", "degree")
+
+
+@query(f"""WITH {SQL_INHERIT}, n AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS idx FROM nodes) SELECT id, idx FROM n WHERE id IN ('C:7', 'P:11', 'R:0')""")
+def node_index(spark, sf):
+    ids = spark.createDataFrame([(x,) for x in ("C:7", "P:11", "R:0", "c:7", "Q:1")], "id string")
+    return PropertyGraph(star.nodes(spark, sf), None).indexed(ids).select("id", "idx")
+
+
+_FLAGS = "CASE WHEN idx % 5 = 0 THEN 33 ELSE 1 END"
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx AS i, idx // 2 AS j FROM p WHERE idx <> idx // 2 AND idx % 5 <> 0 AND (idx // 2) % 5 <> 0")
+def drawn_edges(spark, sf):
+    nodes = _view(spark, sf).withColumn("flags", F.expr(_FLAGS))
+    edges = nodes.select(F.col("idx").alias("i"), F.floor(F.col("idx") / 2).alias("j")).where("i <> j")
+    return views.drawn_edges(edges, nodes)
+
+
+@query(f"WITH {_VIEW_SQL} SELECT idx, z * 45.0::DOUBLE AS elevation FROM p WHERE idx % 5 <> 0")
+def elevated_nodes(spark, sf):
+    return views.visible(spatial.elevated(_view(spark, sf).withColumn("flags", F.expr(_FLAGS)))).select("idx", "elevation")
+
+
+@query(f"""WITH {_VIEW_SQL}, c AS (SELECT *, least(greatest(floor(x / 120) + 64, 0), 127)::BIGINT AS gx, least(greatest(floor(y / 120) + 64, 0), 127)::BIGINT AS gy FROM p)
+    SELECT gx, gy, round(sum(x * mass) / sum(mass), 4) AS cx, round(sum(y * mass) / sum(mass), 4) AS cy, sum(mass) AS m FROM c GROUP BY 1, 2""")
+def cell_centres(spark, sf):
+    cells = _view(spark, sf).withColumn("gx", spatial.cell(F.col("x"))).withColumn("gy", spatial.cell(F.col("y")))
+    found = spatial.centre_of_mass(cells, "gx", "gy")
+    return found.select("gx", "gy", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), "m")
+
+
+@query(f"WITH {SQL_STAR} SELECT src, dst, CASE WHEN src = 'C:7' OR dst = 'C:7' THEN 1.0 ELSE 0.15 END::DOUBLE AS alpha FROM edges WHERE kind = 'Inherits'")
+def focused_edges(spark, sf):
+    return views.focused_edges(star.star_graph(spark, sf).edges.where("kind = 'Inherits'"), "c:7").select("src", "dst", "alpha")
+
+
+@query(f"""{_RECURSIVE}, f AS (SELECT ancestor, count(*) AS n FROM closure GROUP BY ancestor HAVING count(*) > 10)
+    SELECT -2 AS rank, '- [[Enums_Catalog]] — All enumerations' AS line UNION ALL SELECT -1, '- [[Attributes_Catalog]] — All decorator attributes'
+    UNION ALL SELECT (row_number() OVER (ORDER BY n DESC, ancestor))::INT, '- [[' || replace(ancestor, ':', '_') || ']] (' || n || ' classes)' FROM f""")
+def home_index(spark, sf):
+    return render.home_index(paths.descendant_counts(star.inheritance(spark, sf), 10))
+
+
+@query("SELECT p_partkey, '## Methods' || chr(10) || p_type AS methods, '# ' || p_name AS summary FROM part")
+def note_views(spark, sf):
+    note = F.concat(F.lit("# "), "p_name", F.lit("\n\n## Fields\nf\n\n## Methods\n"), "p_type", F.lit("\n\n## Out\n*None*\n"))
+    part = table(spark, sf, "part").select("p_partkey", note.alias("note"))
+    return part.select("p_partkey", render.note_view("note", "methods").alias("methods"), render.note_view("note", "summary").alias("summary"))
+
+
+@query("SELECT p_brand, p_size % 2 = 0 AS is_value, p_type IN ('LARGE', 'SMALL') OR (starts_with(p_brand, 'Brand#1') AND p_size % 2 = 0) AS hidden, count(*) AS n FROM part GROUP BY ALL")
+def blacklisted_types(spark, sf):
+    part = table(spark, sf, "part")
+    ns = F.when(F.col("p_type").isin("LARGE", "SMALL"), "System.X").when(F.col("p_brand").startswith("Brand#1") & (F.col("p_size") % 2 == 0), "Sandbox.X").otherwise("Own")
+    hidden = names.is_blacklisted(F.col("p_name"), ns, F.col("p_size") % 2 == 0, F.lit(False))
+    return part.groupBy("p_brand", (F.col("p_size") % 2 == 0).alias("is_value"), hidden.alias("hidden")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'EngineRuntime' WHEN p_size % 4 = 1 THEN 'EngineEditor' WHEN p_size % 4 = 2 THEN 'SystemPrimitive' ELSE 'UserProject' END AS origin FROM part")
+def assembly_origins(spark, sf):
+    head = F.element_at(F.array(*map(F.lit, ("Sandbox.", "Editor.", "System.", "My."))), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", names.origin_of(F.concat(head, "p_name")).alias("origin"))
+
+
+def _index(spark, sf):
+    """An index of parts with the vectors of their numbers."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding", "label")
+    kind = F.when(F.col("p_size") % 2 == 0, "property").otherwise("method")
+    return table(spark, sf, "part").join(e, "p_partkey").select(F.col("p_partkey").alias("numeric_id"), F.concat(F.lit("M:"), "p_type").alias("id"),
+        F.concat("p_brand", F.lit("."), "p_name").alias("fqn"), kind.alias("type"), F.lit("Namespace: A.B. Source file: x.cs.").alias("text"), "embedding")
+
+
+@query(f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), pool AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings JOIN part ON p_partkey = vec_id, q ORDER BY s DESC, vec_id LIMIT 50),
+    v AS (SELECT * FROM pool JOIN part ON p_partkey = vec_id WHERE p_size % 2 = 0 ORDER BY s DESC, vec_id LIMIT 5),
+    k AS (SELECT * FROM ({_TIERS.format(q='A').replace('LIMIT 12', '')}) WHERE tier = 1 ORDER BY tier, type_seq, member_seq LIMIT 5)
+    SELECT 'keyword' AS section, (row_number() OVER (ORDER BY tier, type_seq, member_seq))::INT AS rank, label FROM k
+    UNION ALL SELECT 'semantic', (row_number() OVER (ORDER BY s DESC, vec_id))::INT, p_brand || '.' || p_name FROM v""")
+def api_search(spark, sf):
+    types, members = _registry(spark, sf)
+    members = members.withColumn("type_key", F.lit("")).withColumn("member_type", F.lit("")).withColumn("params", F.array().cast("array<string>"))
+    vector_ = _vector_of(spark, sf)
+    found = vector.api_search(types, members, _index(spark, sf), "a", lambda texts: [vector_ for _ in texts], "hybrid", "property", 5)
+    return found.select("section", "rank", "label")
+
+
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
+    SELECT p_brand || '.' || p_name AS fqn, 'A' AS namespace, 'x.cs' AS file, printf('%.1f%%', list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) * 100) AS score_text
+    FROM embeddings JOIN part ON p_partkey = vec_id, q ORDER BY list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id LIMIT 7""")
+def user_semantic_search(spark, sf):
+    vector_ = _vector_of(spark, sf)
+    found = vector.semantic_search(_index(spark, sf), " how ", lambda texts: [vector_ for _ in texts], 7, -1.0)
+    return found.select("fqn", "namespace", "file", "score_text")
+
+
+@query(f"{_SCORED} SELECT vec_id, score FROM scored ORDER BY s DESC, vec_id LIMIT 5")
+def vector_quantised(spark, sf):
+    docs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("seq"), "vec_id", "embedding")
+    return _six(vector.approximate_top_k(vector.build_index(docs), _vector_of(spark, sf), 5, -1e9, over=20, id_col="vec_id"))
+
+
+@query()
+def tree_repulsion(spark, sf):
+    return spatial.tree_repulsion(_view(spark, sf)).select("idx", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"))
 
 
 @query()

@@ -42,8 +42,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _edges(df: DataFrame, s: str, src: str, d: str, dst: str, kind: str, details) -> DataFrame:
+def _edges(df: DataFrame, s: str, src: str, d: str, dst: str, kind: str, details, k: int, order) -> DataFrame:
+    """Edges numbered by their kind's stride and ``order``, the key of the row they come from."""
     return df.select(
+        (F.lit(k * STRIDE) + order).cast("bigint").alias("seq"),
         F.concat(F.lit(f"{s}:"), F.col(src).cast("string")).alias("src"),
         F.concat(F.lit(f"{d}:"), F.col(dst).cast("string")).alias("dst"),
         F.lit(kind).alias("kind"),
@@ -54,9 +56,9 @@ def _edges(df: DataFrame, s: str, src: str, d: str, dst: str, kind: str, details
 def inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.lit("Base Class")
     return (
-        _edges(table(spark, sf_dir, "nation"), "N", "n_nationkey", "R", "n_regionkey", "Inherits", base)
-        .unionByName(_edges(table(spark, sf_dir, "customer"), "C", "c_custkey", "N", "c_nationkey", "Inherits", base))
-        .unionByName(_edges(table(spark, sf_dir, "supplier"), "S", "s_suppkey", "N", "s_nationkey", "Inherits", base))
+        _edges(table(spark, sf_dir, "nation"), "N", "n_nationkey", "R", "n_regionkey", "Inherits", base, 10, F.col("n_nationkey"))
+        .unionByName(_edges(table(spark, sf_dir, "customer"), "C", "c_custkey", "N", "c_nationkey", "Inherits", base, 11, F.col("c_custkey")))
+        .unionByName(_edges(table(spark, sf_dir, "supplier"), "S", "s_suppkey", "N", "s_nationkey", "Inherits", base, 12, F.col("s_suppkey")))
     )
 
 
@@ -65,17 +67,18 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     bought = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    order = F.col("l_orderkey") * 16 + F.col("l_linenumber")
     return (
         inheritance(spark, sf_dir)
-        .unionByName(_edges(bought, "C", "o_custkey", "P", "l_partkey", "PropertyReference", F.col("l_returnflag")))
-        .unionByName(_edges(line, "S", "l_suppkey", "P", "l_partkey", "MethodCall", F.col("l_linestatus")))
+        .unionByName(_edges(bought, "C", "o_custkey", "P", "l_partkey", "PropertyReference", F.col("l_returnflag"), 13, order))
+        .unionByName(_edges(line, "S", "l_suppkey", "P", "l_partkey", "MethodCall", F.col("l_linestatus"), 14, order))
     )
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Regions, nations, customers, suppliers and parts, with deduplicated edges."""
-    edges = first_edges(raw_edges(spark, sf_dir).withColumn("seq", F.lit(0).cast("bigint")).withColumn("line_number", F.lit(0)))
-    return PropertyGraph(nodes(spark, sf_dir), edges)
+    raw = raw_edges(spark, sf_dir).withColumn("line_number", F.lit(0))
+    return PropertyGraph(nodes(spark, sf_dir), first_edges(raw), raw)
 
 
 def trade_graph(spark: SparkSession, sf_dir: str, top: int = 3) -> PropertyGraph:
@@ -109,9 +112,9 @@ def heavy_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Customers and parts, with an edge for each part bought in lots of 49 or more."""
     line = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
     bought = line.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    edges = _edges(bought, "C", "o_custkey", "P", "l_partkey", "PropertyReference", F.lit("heavy")).distinct()
-    edges = edges.withColumn("seq", F.lit(0).cast("bigint")).withColumn("line_number", F.lit(0))
-    return PropertyGraph(nodes(spark, sf_dir).where("id like 'C:%' or id like 'P:%'"), edges)
+    order = F.col("l_orderkey") * 16 + F.col("l_linenumber")
+    raw = _edges(bought, "C", "o_custkey", "P", "l_partkey", "PropertyReference", F.lit("heavy"), 13, order).withColumn("line_number", F.lit(0))
+    return PropertyGraph(nodes(spark, sf_dir).where("id like 'C:%' or id like 'P:%'"), first_edges(raw), raw)
 
 
 _NODE_SQL = """nodes AS (

@@ -126,7 +126,7 @@ def one(spark, column, value, kind="string"):
 
 def test_names_of_types_and_previews(spark):
     assert one(spark, names.display_type, "System.Collections.Generic.List`1<System.Int32>") == "List<int>"
-    assert one(spark, names.display_type, "System.Span<System.Byte>") == "Byte[]" and one(spark, names.display_type, "A.B[]") == "B[]"
+    assert one(spark, names.display_type, "System.Span<System.Byte>") == "byte[]" and one(spark, names.display_type, "A.B[]") == "B[]"
     assert one(spark, names.type_link, "A.Map<System.String,A.B>") == "[[A.Map]]<string, [[A.B]]>"
     preview = "CLASS: X. Namespace: My.Code. Source file: X.cs."
     assert one(spark, names.preview_namespace, preview) == "My" and one(spark, names.preview_file, preview) == "X.cs"
@@ -176,7 +176,7 @@ def test_file_listing_and_index_dir(spark, tmp_path):
     (tmp_path / "vec" / "graph.json").write_text("{}")
     (tmp_path / "a.cs").write_bytes(b"x\n\xff")
     (tmp_path / "b.dat").write_bytes(b"\x00\n")
-    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.lines, r.is_binary) for r in files.file_listing(spark, str(tmp_path), ["vec/"]).collect()}
+    got = {r.path: (r.bytes, r.lines, r.is_binary) for r in files.file_listing(spark, str(tmp_path), ["vec/"]).collect()}
     assert got == {"a.cs": (3, 2, False), "b.dat": (2, None, True)}
     assert files.index_dir(spark, str(tmp_path)) == f"{tmp_path}/vec" and files.index_dir(spark, str(tmp_path / "none")) == f"{tmp_path}/none"
     src = spark.createDataFrame([("b/Foo.cs",), ("a/foo.razor",), ("a/Food.cs",)], "path string")
