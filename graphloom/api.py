@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import re
 import sys
@@ -15,7 +16,7 @@ from graphloom.operators import lookup, metrics, paths, vector, views
 from graphloom.operators.model import PropertyGraph
 from graphloom.runtime import session
 from graphloom.sinks.render import note_view
-from graphloom.sources.files import graph_cache, source_of
+from graphloom.sources.files import graph_cache, path_exists, source_of
 
 
 @dataclass
@@ -156,16 +157,34 @@ def listen(w: Workspace, lines: Iterable[str], put: Callable[[str], object], mod
             put(answer + "\n")
 
 
+def _encoder(name: str) -> Callable:
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def command_search(spark, folder: str, text: str, encode: Callable, limit: int = 5) -> DataFrame:
+    """Hits in the API's index under ``folder`` if it has one, else in the user's."""
+    sub = next((s for s in ("engine_api", "user_code") if path_exists(spark, f"{folder}/{s}/vec/semantic_index")), "")
+    hits = vector.semantic_search(vector.load_index(spark, f"{folder}/{sub}".rstrip("/")), text, encode, limit)
+    return hits.select("score_text", "fqn", "type", "namespace", "file")
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="graphloom")
-    parser.add_argument("--cache", required=True, help="graph document")
-    parser.add_argument("--cmd", required=True, help="a command, or serve")
+    parser.add_argument("--cache", help="graph document")
+    parser.add_argument("--cmd", required=True, help="a command, semantic, or serve")
+    parser.add_argument("--index", help="folder of vector indexes, for semantic")
+    parser.add_argument("--encoder", help="module:function that encodes texts, for semantic")
     parser.add_argument("--arg1", default="")
     parser.add_argument("--arg2", default="")
     parser.add_argument("--undirected", action="store_true")
     parser.add_argument("--mode", default="both", choices=["user", "engine", "both"])
     a = parser.parse_args(argv)
-    graph = PropertyGraph(*graph_cache(session(), a.cache))
+    if a.cmd == "semantic":
+        for row in command_search(session(), _need(a.index, "index folder"), a.arg1, _encoder(_need(a.encoder, "encoder"))).toLocalIterator():
+            print("\t".join(map(str, row)))
+        return
+    graph = PropertyGraph(*graph_cache(session(), _need(a.cache, "graph document")))
     if a.cmd == "serve":
         listen(Workspace(graph), sys.stdin, lambda x: (sys.stdout.write(x), sys.stdout.flush()), a.mode)
         return

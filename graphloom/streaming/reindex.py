@@ -12,12 +12,16 @@ from graphloom.schemas import EDGES
 def refresh_edges(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
     """Merge new Parquet edge files of ``source`` into versions under ``target``; every batch is idempotent.
 
-    Batch ``n`` reads version ``n - 1`` and writes version ``n``, so a repeated batch overwrites its own output.
+    Batch ``n`` reads version ``n - 1`` and writes version ``n``, so a repeated batch overwrites its own output; older
+    versions go.  A batch rewrites the whole table, which suits few large batches.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         new = batch if n == 0 else batch.unionByName(spark.read.schema(EDGES).parquet(f"{target}/v{n - 1}"))
         first_edges(new).select(*[f.split()[0] for f in EDGES.split(", ")]).write.mode("overwrite").parquet(f"{target}/v{n}")
+        if n > 1:  # the version before stays, for a repeated batch
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{n - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     stream = spark.readStream.schema(EDGES).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -290,3 +290,25 @@ def test_tools(spark):
     assert [x["label"] for x in call(w, "engine_search_api", query="box", search_mode="keyword", member_type="method")["content"]] == ["M:Own.Box.Boxed"]
     assert [x["label"] for x in call(w, "engine_search_api", query="D", search_mode="keyword")["content"]] == ["M:Own.Box.Boxed"]
     assert [x["label"] for x in call(w, "engine_search_api", query="n", search_mode="keyword", member_type="class")["content"]][0] == "Own.Box"
+
+
+def test_semantic_command(spark, tmp_path):
+    def fake_encoder(texts):
+        return [[1.0, 0.0] if "cat" in t else [0.0, 1.0] for t in texts]
+
+    docs = spark.createDataFrame([(0, "C:Cat", "Cat", "class", "CLASS: cat. Namespace: Zoo. Source file: Cat.cs."), (1, "C:Dog", "Dog", "class", "dog")], "seq bigint, id string, fqn string, type string, text string")
+    vector.write_index(docs, str(tmp_path / "user_code"), fake_encoder)
+    assert tuple(api.command_search(spark, str(tmp_path), "a cat", fake_encoder).first()) == ("100.0%", "Cat", "class", "Zoo", "Cat.cs")
+    vector.write_index(docs.where("seq = 1"), str(tmp_path / "engine_api"), fake_encoder)
+    assert api.command_search(spark, str(tmp_path), "a cat", fake_encoder).count() == 1
+
+
+def test_refresh_merges_new_files(spark, tmp_path):
+    from graphloom.streaming.reindex import refresh_edges
+
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for n, rows in enumerate(([(0, "A", "B", "k", "d", 1)], [(1, "a", "B", "k", "d", 2), (2, "B", "C", "k", "d", 3)], [(3, "C", "D", "k", "d", 4)])):
+        spark.createDataFrame(rows, EDGES).write.mode("append").parquet(source)
+        refresh_edges(spark, source, target, checkpoint).awaitTermination(60)
+        got = {(r.src, r.dst) for r in spark.read.parquet(f"{target}/v{n}").collect()}
+    assert got == {("A", "B"), ("B", "C"), ("C", "D")} and not files.path_exists(spark, f"{target}/v0")
