@@ -21,6 +21,11 @@ def read_pieces(model_file: str) -> dict[str, int]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    plain = ["ﬁ Éa\u0301 ＡＢ  ½ \u00a0x", "tab\tand\r\nbreak", "日本 жук 𝄞"]
+    for text in plain:
+        shown = "".join(model.id_to_piece(i) if not model.is_byte(i) else f"<{model.id_to_piece(i)}>" for i in model.encode(text))
+        if any(ch not in shown and ch not in " " and not any(model.is_byte(i) for i in model.encode(ch)) for ch in text):
+            raise ValueError(f"{model_file} normalises texts, which this counter doesn't")
     pieces = [
         (-model.get_score(i), i, model.id_to_piece(i))
         for i in range(model.get_piece_size())

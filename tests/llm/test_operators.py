@@ -85,6 +85,10 @@ def test_packing_round_trip(docs, none):
     tokenizer = Tokenizer.from_file(tokenizer_file(WORD_TOKENIZER))
     texts = ["it's don't é \tq", "a<|endoftext|>b", "İıſ Σας ﬁ 12345 ", "Don't-stop..."]
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.Ids(tokenizer_file(WORD_TOKENIZER))(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    other = tokenizer_file("byte_bpe_50k.json")  # not taken apart: whole texts go to the library
+    assert not packing.Ids(other).splits
+    whole = Tokenizer.from_file(other)
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.Ids(other)(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     got = packing.pack_documents(docs.where("doc_id is null or doc_id <> 5"), tokenizer_file(WORD_TOKENIZER)).collect()
     for i, t, *_ in ROWS:
         if i == 5:
