@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
+#: Hashes that occur twice or more which may be broadcast; beyond it they are merged with the texts by a shuffle.
+BROADCAST_HASHES = 500_000
+
 
 def exact_duplicates(
     docs: DataFrame,
@@ -23,10 +26,12 @@ def exact_duplicates(
     two texts that share the hash stay apart.  The group's row with the largest
     (or smallest) id stays.
 
-    The text crosses the network once, inside an aggregate that first combines
-    the copies each task has seen; a text held by a third of all rows is then one
-    row per task.  Ids are joined to their groups without the text, from a written
-    table, so adaptive execution can split a hot group.
+    Hashes are counted first, and only texts whose hash occurs twice cross the
+    network for their bytes to be compared: those hashes are broadcast up to
+    :data:`BROADCAST_HASHES` of them, and merged by a shuffle beyond.  The
+    comparing aggregate first combines the copies each task has seen; a text held by a third
+    of all rows is then one row per task.  Ids are joined to their groups without
+    the text, so adaptive execution can split a hot group.
 
     Null texts count as empty and form one group.  Repeated rows are members of
     one group; those with the id that stays are all kept.  A group with only null
@@ -34,16 +39,21 @@ def exact_duplicates(
     other columns are ignored.
     """
     norm: Column = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("_norm")).select(
-        "doc_id", "_norm", content_hash("_norm").alias("_hash"), F.sha2("_norm", 256).alias("text_sha256")
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("_norm"))
+    rows = rows.select("doc_id", "_norm", content_hash("_norm").alias("_hash"))
+    slim = cut(rows.select("doc_id", "_hash", F.sha2("_norm", 256).alias("text_sha256")))
+    twice = cut(slim.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_HASHES else twice.hint("merge")
     pick = F.max if keep == "largest" else F.min
-    groups = rows.groupBy("_hash", "_norm", "text_sha256").agg(
-        pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    )
-    groups = cut(groups.select("_hash", F.col("text_sha256").alias("_sha"), "keep_id", "group_size"))
-    slim = rows.select("doc_id", "_hash", "text_sha256")
+    groups = rows.join(twice, "_hash").groupBy("_hash", "_norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(groups.select(F.col("_hash").alias("_h"), F.sha2("_norm", 256).alias("_sha"), "keep_id", "group_size"))
     # Two different texts with both hashes alike would give a row twice; the digest tells apart those with one alike.
-    return slim.join(groups, (slim["_hash"] == groups["_hash"]) & (slim["text_sha256"] == groups["_sha"])).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    joined = slim.join(groups, (slim["_hash"] == groups["_h"]) & (slim["text_sha256"] == groups["_sha"]), "left")
+    alone = F.col("group_size").isNull()
+    return joined.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "text_sha256",
     )

@@ -34,3 +34,21 @@ def test_copies_in_capitals_and_other_normal_forms(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = decontamination.find_contamination(docs, bench).collect()
     assert {(r.doc_id, r.item_id, r.edits) for r in got} == {(10 * i + k, i, 0) for i, _ in items for k in range(len(forms))}
+
+
+def test_recall_of_edited_copies(spark):
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    words = [w for _, t in items for w in t.split()]
+    rows, want = [], set()
+    for i, t in items:
+        for k, share in enumerate((0.05, 0.1, 0.15)):
+            w = t.split()
+            for _ in range(int(share * len(w))):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[f"edit{rng.random()}"], [], [w[at], "more"]])
+            rows.append((10 * i + k, " ".join(rng.choices(words, k=rng.randint(0, 60))) + " " + " ".join(w) + " tail of the text"))
+            want.add((10 * i + k, i))
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench).collect()}
+    assert len(got & want) >= 0.9 * len(want)  # the aim of the sampled places

@@ -36,8 +36,9 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_exact(docs, none):
-    for h in (F.md5, lambda c: F.lit("same")):  # every text collides
+def test_exact(docs, none, monkeypatch):
+    for h, most in ((F.md5, 500_000), (F.md5, 0), (lambda c: F.lit("same"), 500_000)):  # broadcast, merged, and every text collides
+        monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", most)
         got = exact_dedup.exact_duplicates(docs, content_hash=h).collect()
         assert len(got) == len(ROWS) + 1
         by = {r.doc_id: r for r in got}
