@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Items handled in one pass over the documents; a larger benchmark takes more passes.
 ITEMS = 20_000
+#: Characters of items, about, in one pass.
+CHARS = 32_000_000
 #: Edits, as a share of an item's words, up to which a window is a copy of it.
 EDITS = 0.2
 #: Embeddings with sampled places each, and the number of places.
@@ -205,8 +207,8 @@ def find_contamination(
     edits change few places; windows that agree with an item in a walk's sampled
     places are verified by exact edit distance.  Unedited copies are always found.
 
-    The benchmark is read in blocks of about ``items`` items, each of which is sent to
-    the executors and takes a pass over the documents; no document is shuffled.
+    The benchmark is read in blocks of about ``items`` items, or :data:`CHARS` characters, each of
+    which is sent to the executors and takes a pass over the documents; no document is shuffled.
 
     Null and empty texts, and items without a word, match nothing.  Repeated rows
     give their rows again; null ids pass through; an empty table on either side gives
@@ -215,7 +217,8 @@ def find_contamination(
     id_type = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
-    blocks = max(1, -(-bench.count() // items))
+    n, chars = bench.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // items), -(-chars // CHARS))
     out = None
     for b in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
