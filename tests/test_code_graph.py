@@ -312,3 +312,33 @@ def test_refresh_merges_new_files(spark, tmp_path):
         refresh_edges(spark, source, target, checkpoint).awaitTermination(60)
         got = {(r.src, r.dst) for r in spark.read.parquet(f"{target}/v{n}").collect()}
     assert got == {("A", "B"), ("B", "C"), ("C", "D")} and not files.path_exists(spark, f"{target}/v0")
+
+
+def test_service(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from graphloom.service import Service, server
+
+    def encode(texts):
+        return [[1.0, 0.0] if "cat" in t else [0.6, 0.8] for t in texts]
+
+    s = server(Service(spark, encode), port=0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+
+    def ask(path, body=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{s.server_port}{path}", None if body is None else json.dumps(body).encode())
+        try:
+            with urllib.request.urlopen(request, timeout=60) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    docs = [{"id": f"C:{n}", "fqn": n, "type": "class", "text": n} for n in ("cat", "dog")]
+    assert ask("/") == (200, {"status": "alive"}) and ask("/index", {"out_directory": str(tmp_path)})[1]["status"] == "empty"
+    assert ask("/query", {"out_directory": str(tmp_path), "query": "cat"})[0] == 404 and ask("/query", {"query": "x"})[0] == 400
+    assert ask("/index", {"out_directory": str(tmp_path), "documents": docs})[1]["indexed_count"] == 2
+    found = ask("/query", {"out_directory": str(tmp_path), "query": "cat", "max_results": 2, "threshold": 0.7})[1]["matches"]
+    assert [m["fqn"] for m in found] == ["cat"] and found[0]["preview"] == "cat" and ask("/nope")[0] == 404
+    s.shutdown()
