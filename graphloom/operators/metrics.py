@@ -13,9 +13,9 @@ def degrees(graph: PropertyGraph) -> DataFrame:
 
     Both ends are counted in one aggregate, so edges are shuffled once.
     """
-    ends = graph.edges.select(F.explode(F.array(
-        F.struct(F.upper("src").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-        F.struct(F.upper("dst").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+    ends = graph.edge_keys().select(F.explode(F.array(
+        F.struct(F.col("src_key").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("dst_key").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")),
     )).alias("e"))
     counts = ends.groupBy(F.col("e.k").alias("_k")).agg(F.sum("e.i").alias("_in"), F.sum("e.o").alias("_out"))
     joined = graph.nodes.join(counts, F.upper("id") == F.col("_k"), "left")
@@ -30,11 +30,12 @@ def top_by(graph: PropertyGraph, column: str, k: int = 5) -> DataFrame:
 
 def totals(graph: PropertyGraph) -> DataFrame:
     n = graph.nodes.agg(F.count(F.lit(1)).alias("node_count"))
-    return n.crossJoin(graph.edges.agg(F.count(F.lit(1)).alias("edge_count")))  # one row each
+    return n.crossJoin(graph.edge_keys().agg(F.count(F.lit(1)).alias("edge_count")))  # one row each
 
 
 def isolated(graph: PropertyGraph) -> DataFrame:
-    ends = graph.edges.select(F.upper("src").alias("k")).unionByName(graph.edges.select(F.upper("dst").alias("k")))
+    edges = graph.edges if graph.raw is None else graph.raw  # repeats make no difference
+    ends = edges.select(F.explode(F.array(F.upper("src"), F.upper("dst"))).alias("k"))
     return graph.nodes.join(ends, F.upper("id") == F.col("k"), "left_anti")
 
 

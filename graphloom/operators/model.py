@@ -78,6 +78,13 @@ class PropertyGraph:
     def keyed_edges(self) -> DataFrame:
         return self.edges.withColumn("src_key", F.upper("src")).withColumn("dst_key", F.upper("dst"))
 
+    def edge_keys(self) -> DataFrame:
+        """``src_key, dst_key, kind`` of every edge, for counts: no row has to be chosen among repeats, so they hash."""
+        if self.raw is None:
+            return self.keyed_edges().select("src_key", "dst_key", "kind")
+        keys = [F.upper("src").alias("src_key"), F.upper("dst").alias("dst_key"), "kind", F.upper("details").alias("_x")]
+        return self.raw.select(*keys).distinct().drop("_x")
+
     def outgoing(self, node: str) -> DataFrame:
         return self._edges_where(F.upper("src") == node.upper())
 

@@ -32,7 +32,7 @@ _DEGREES = """, o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), i
 
 @query(f"WITH {SQL_STAR} SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def edge_dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return star.star_graph(spark, sf).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return star.star_graph(spark, sf).edge_keys().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, in_degree, out_degree FROM degrees")
