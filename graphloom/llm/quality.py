@@ -22,7 +22,7 @@ BLOCK = 8 << 20
 #: Code points whose n-grams are made at once.
 SLICE = 1 << 20
 #: How hard documents are compressed before they are dealt to blocks.
-LEVEL = 6
+LEVEL = 9
 #: Of so many trusted documents one is kept apart from the model, for the upper threshold.
 APART = 5
 #: Parts that the documents of one language are dealt into for the join with its thresholds.
@@ -105,7 +105,10 @@ def _needed(docs: pa.Table, trusted: pa.Table) -> pa.Table:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], names)
     trust = pc.is_in(rows.column("doc_id"), trusted.column("doc_id").combine_chunks(), skip_nulls=True).to_pylist()
     h, found, c = distinct_grams(_texts(rows), trust)
-    return pa.table([pa.array(np.full(len(h), docs.column("key")[0].as_py())), pa.array(np.arange(len(h))), pa.array(found, pa.string()), pa.array(c)], names)
+    found = pa.array(found, pa.string())
+    order = pc.sort_indices(found)  # neighbours begin alike, which the written table compresses
+    block = pa.array(np.full(len(h), docs.column("key")[0].as_py()))
+    return pa.table([block, order.cast(pa.int64()), found.take(order), pa.array(c).take(order)], names)
 
 
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -138,13 +141,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         level = levels[k]
         of = level.agg(*[F.sum((F.col("c") == j).cast("double")).alias(f"n{j}") for j in range(1, 5)]).select(_discounts().alias("d"))
-        level = level.crossJoin(F.broadcast(of)).select(  # one row
-            "gram", "c", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("rest"),
-            F.when(F.col("c") > 0, F.element_at("d", F.least("c", F.lit(3)).cast("int"))).otherwise(0.0).alias("d"),
-        )
-        totals = level.where("c > 0").groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
-        known = level.join(totals, "ctx", "left").join(p.select(F.col("gram").alias("rest"), F.col("p").alias("q")), "rest")
-        some = (F.col("c") - F.col("d") + F.col("mass") * F.col("q")) / F.col("total")
+        of = F.broadcast(of)  # one row
+        context, rest = F.substring("gram", 1, k - 1), F.substring("gram", 2, k - 1)  # keys that rows needn't carry
+        cut_off = F.when(F.col("c") > 0, F.element_at("d", F.least("c", F.lit(3)).cast("int"))).otherwise(0.0)
+        totals = level.where("c > 0").crossJoin(of).groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), F.sum(cut_off).alias("mass"))
+        known = level.join(totals, context == F.col("ctx"), "left").select("gram", "c", "total", "mass")
+        known = known.join(p.select(F.col("gram").alias("g"), F.col("p").alias("q")), rest == F.col("g")).crossJoin(of)
+        some = (F.col("c") - cut_off + F.col("mass") * F.col("q")) / F.col("total")
         p = cut(known.select("gram", F.coalesce(some, F.col("q")).alias("p")))
     return p
 
