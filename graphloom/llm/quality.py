@@ -18,11 +18,11 @@ ORDER = 5
 #: Quantiles of trusted documents' perplexity, by language, outside which a document goes.
 LOW, HIGH = 0.002, 0.995
 #: Bytes of input file that make a block of documents.
-BLOCK = 8 << 20
+BLOCK = 10 << 20
 #: Code points whose n-grams are made at once.
 SLICE = 1 << 20
 #: How hard documents are compressed before they are dealt to blocks.
-LEVEL = 9
+LEVEL = 7
 #: Of so many trusted documents one is kept apart from the model, for the upper threshold.
 APART = 5
 #: Parts that the documents of one language are dealt into for the join with its thresholds.
@@ -72,19 +72,37 @@ def grams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield flush()
 
 
-def distinct_grams(texts: list[str], trusted: list[bool]) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Hashes in order, n-grams, and how often trusted texts have them, of all distinct n-grams."""
-    keys, rows, counts = [np.zeros(0, np.uint64)], [np.zeros((0, ORDER), np.uint32)], [np.zeros(0, np.int64)]
-    trust = np.array(trusted, bool)
+class Numbers:
+    """Places of hashes among the distinct ones of some texts: a table over their leading bits, and a search for what it misses."""
+
+    BITS = 22
+
+    def __init__(self, texts: list[str]):
+        self.keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for _, _, h, _ in grams(texts))]))
+        self.shift = np.uint64(64 - self.BITS)
+        self.table = np.zeros(1 << self.BITS, np.int32)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = np.arange(len(self.keys))
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = self.table[(h >> self.shift).astype(np.int64)]
+        missed = np.flatnonzero(self.keys[at] != h)
+        at[missed] = np.searchsorted(self.keys, h[missed])
+        return at
+
+
+def distinct_grams(texts: list[str], trusted: list[bool]) -> tuple[list[str], np.ndarray]:
+    """All distinct n-grams in the order of their hashes, and how often trusted texts have them."""
+    number = Numbers(texts)
+    rows, counts = np.zeros((len(number.keys), ORDER), np.uint32), np.zeros(len(number.keys), np.int64)
+    trust, known = np.array(trusted, bool), np.zeros(len(number.keys), bool)
     for codes, at, h, doc in grams(texts):
-        u, first, back = np.unique(h, return_index=True, return_inverse=True)
-        keys.append(u)
-        rows.append(codes[at[first][:, None] + np.arange(ORDER)])
-        counts.append(np.bincount(back[trust[doc]], minlength=len(u)))
-    h, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    c = np.bincount(back, np.concatenate(counts), len(h)).astype(np.int64)
-    whole = np.concatenate(rows)[first].astype("<u4").tobytes().decode("utf-32-le")
-    return h, [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], c
+        n = number(h)
+        new = np.flatnonzero(~known[n])
+        rows[n[new]] = codes[at[new][:, None] + np.arange(ORDER)]
+        known[n[new]] = True
+        counts += np.bincount(n[trust[doc]], minlength=len(counts))
+    whole = rows.astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[i : i + ORDER] for i in range(0, len(whole), ORDER)], counts
 
 
 def _documents(table: pa.Table) -> pa.Table | None:
@@ -104,10 +122,10 @@ def _needed(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     if rows is None:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())], names)
     trust = pc.is_in(rows.column("doc_id"), trusted.column("doc_id").combine_chunks(), skip_nulls=True).to_pylist()
-    h, found, c = distinct_grams(_texts(rows), trust)
+    found, c = distinct_grams(_texts(rows), trust)
     found = pa.array(found, pa.string())
     order = pc.sort_indices(found)  # neighbours begin alike, which the written table compresses
-    block = pa.array(np.full(len(h), docs.column("key")[0].as_py()))
+    block = pa.array(np.full(len(c), docs.column("key")[0].as_py()))
     return pa.table([block, order.cast(pa.int64()), found.take(order), pa.array(c).take(order)], names)
 
 
@@ -118,9 +136,9 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     nll[answers.column("at").to_numpy()] = answers.column("nll").to_numpy()
     texts = _texts(rows)
     sums, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for _, _, h, _ in grams(texts))]))
+    number = Numbers(texts)
     for _, _, h, doc in grams(texts):
-        sums += np.bincount(doc, nll[np.searchsorted(keys, h)], len(texts))
+        sums += np.bincount(doc, nll[number(h)], len(texts))
         n += np.bincount(doc, minlength=len(texts))
     perplexity = np.where(n > 0, np.exp(sums / np.maximum(n, 1)), 1.0)
     return pa.table([rows.column("doc_id"), rows.column("lang"), pa.array(n), pa.array(perplexity)], ["doc_id", "lang", "n_symbols", "perplexity"])
