@@ -85,6 +85,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster_vectors
+
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_kneser_ney": op1_quality_kneser_ney,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,8 +102,28 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
+
+def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """Lloyd's rounds spelled out: components as rows, a distance and the number of its centroid in one integer."""
+    near = "a{0} AS MATERIALIZED (SELECT r, min(d * {k} + k) AS dk FROM (SELECT r, k, sum((x - c) * (x - c))::BIGINT AS d FROM e JOIN c{1} USING (j) GROUP BY r, k) GROUP BY r)"
+    mean = """c{0} AS MATERIALIZED (SELECT k, j, coalesce(m, c) AS c FROM c{1} LEFT JOIN (SELECT dk % {k} AS k, j, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+            FROM a{0} JOIN e USING (r) GROUP BY 1, 2) USING (k, j))"""
+    steps = [f.format(t, t - 1, k=k) for t in range(1, rounds + 1) for f in (near, mean)]
+    return f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64),
+        e AS MATERIALIZED (SELECT r, unnest(q) AS x, unnest(range(64)) AS j FROM v),
+        c0 AS MATERIALIZED (SELECT k, unnest(q) AS c, unnest(range(64)) AS j FROM (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS k, q FROM v) WHERE k < {k}),
+        {", ".join(steps)}, {near.format(rounds + 1, rounds, k=k)},
+        h AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+        SELECT vec_id, k::INT AS cluster, dk // {k} AS distance, (sum(dk // {k}) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(dk // {k}) OVER ())::BIGINT AS inertia,
+               centroid_sha256, count(*) OVER (PARTITION BY q) AS n_same
+        FROM a{rounds + 1} JOIN v USING (r) JOIN h ON k = dk % {k}"""
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -121,4 +147,5 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT goes), '')) AS kept_sha256,
                coalesce(any_value(keep_runs), '') AS keep_runs
         FROM m LEFT JOIN x USING (doc_id) GROUP BY m.doc_id""",
+    "op11_centroid_clustering": _lloyd_sql(),
 }
