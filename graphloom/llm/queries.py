@@ -91,6 +91,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality_kneser_ney": op1_quality_kneser_ney,
     "op2_exact_dedup": op2_exact_dedup,
@@ -103,6 +109,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 
@@ -148,4 +155,22 @@ ORACLE_SQL = {
                coalesce(any_value(keep_runs), '') AS keep_runs
         FROM m LEFT JOIN x USING (doc_id) GROUP BY m.doc_id""",
     "op11_centroid_clustering": _lloyd_sql(),
+    "op13_conversation_trie": r"""
+        WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT conv_id, list(sha256(length(role) || ':' || role || ':' || text) ORDER BY p) AS ks,
+                list(length(regexp_replace(regexp_replace(text, '[^\x20\x09-\x0D]+', 'x', 'g'), '[\x20\x09-\x0D]+', '', 'g')) ORDER BY p) AS ws FROM t GROUP BY conv_id),
+        c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')]),
+                lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 1, 2, 3, 4, 5, 6, 7]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM o),
+        r AS (SELECT c.conv_id, list_concat(coalesce(b.ks, [])[1:h], c.ks[h + 1:]) AS ks, list_concat(coalesce(b.ws, [])[1:h], c.ws[h + 1:]) AS ws
+            FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        m AS (SELECT conv_id, d, sha256(array_to_string(ks[1:d], ',')) AS k, sha256(array_to_string(ks[1:d - 1], ',')) AS pk, coalesce(ws[d], 0) AS words, len(ks) = d AS ends
+            FROM (SELECT *, unnest(range(len(ks) + 1)) AS d FROM r)),
+        n AS (SELECT d, k, any_value(pk) AS pk, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY d, k),
+        g AS (SELECT n.*, coalesce(q.c, 0) AS n_children FROM n LEFT JOIN (SELECT d - 1 AS d, pk AS k, count(*) AS c FROM n WHERE d > 0 GROUP BY ALL) q USING (d, k)),
+        s AS (SELECT m.d, m.k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * g.words)::BIGINT AS saved_tokens
+            FROM g JOIN m ON m.conv_id = g.conv_id AND m.d <= g.d GROUP BY m.d, m.k)
+        SELECT g.conv_id, g.d AS depth, u.conv_id AS parent_conv_id, g.n_convs, g.n_children, s.n_leaves, s.saved_tokens, g.ends_sha256
+        FROM g JOIN s USING (d, k) LEFT JOIN n u ON u.d = g.d - 1 AND u.k = g.pk""",
 }
