@@ -91,6 +91,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_docs(spark, sf_dir))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversation_trie import conversation_trie
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_ngram_jaccard_join": op12_ngram_jaccard_join,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -155,6 +162,17 @@ ORACLE_SQL = {
                coalesce(any_value(keep_runs), '') AS keep_runs
         FROM m LEFT JOIN x USING (doc_id) GROUP BY m.doc_id""",
     "op11_centroid_clustering": _lloyd_sql(),
+    "op12_ngram_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct([hash(array_to_string(ws[i:i + 3], ' ')) for i in range(1, greatest(len(ws) - 2, 2))]) END AS gs FROM w),
+        t AS MATERIALIZED (SELECT min(doc_id) AS node, list_sort(gs) AS gs, len(gs) AS n FROM s GROUP BY ALL),
+        e AS MATERIALIZED (SELECT node, n, unnest(gs) AS g FROM t),
+        p AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT s.doc_id, len(s.gs) AS n_shingles, CASE WHEN len(s.gs) = 0 THEN s.doc_id ELSE coalesce(c.component, t.node) END AS component_id, coalesce(k.n_links, 0) AS n_links
+        FROM s JOIN t ON list_sort(s.gs) = t.gs LEFT JOIN c ON c.a = t.node LEFT JOIN k ON k.a = t.node""",
     "op13_conversation_trie": r"""
         WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
             FROM conversations WHERE conv_id IS NOT NULL),

@@ -63,9 +63,9 @@ def test_against_a_dictionary_of_prefixes(spark, together, most):
 
 
 def test_long_conversations_and_their_prefixes(spark):
-    rows = [(1000 + i, t, "user", f"step {t}") for i in range(12) for t in range(30 * (i + 1))]
-    rows += [(2000, t, "assistant", "x " * 5000) for t in range(3000)]
-    assert nodes(spark, rows, together=1700) == brute(rows)
+    rows = [(1000 + i, t, "user", f"step {t}") for i in range(12) for t in range(6 * (i + 1))]
+    rows += [(2000, t, "assistant", "x " * 50_000) for t in range(150)]
+    assert nodes(spark, rows, together=350) == brute(rows)
 
 
 @pytest.mark.parametrize("rows", [[], [(4, 0, "a", "b"), (5, 0, "a", "b"), (None, 0, "user", "x")], [(21, 0, "a", "x"), (22, 0, "a", "y"), (61, 0, "", None)]])
