@@ -9,18 +9,8 @@ from .model import PropertyGraph
 
 
 def degrees(graph: PropertyGraph) -> DataFrame:
-    """Every node with its numbers of incoming and outgoing edges; unknown ends count for nobody.
-
-    Both ends are counted in one aggregate, so edges are shuffled once.
-    """
-    ends = graph.edge_keys().select(F.explode(F.array(
-        F.struct(F.col("src_key").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")),
-        F.struct(F.col("dst_key").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")),
-    )).alias("e"))
-    counts = ends.groupBy(F.col("e.k").alias("_k")).agg(F.sum("e.i").alias("_in"), F.sum("e.o").alias("_out"))
-    joined = graph.nodes.join(counts, F.upper("id") == F.col("_k"), "left")
-    zero = F.lit(0).cast("bigint")
-    return joined.select(*graph.nodes.columns, F.coalesce("_in", zero).alias("in_degree"), F.coalesce("_out", zero).alias("out_degree"))
+    """Every node with its numbers of incoming and outgoing edges; unknown ends count for nobody."""
+    return graph.with_degrees()
 
 
 def top_by(graph: PropertyGraph, column: str, k: int = 5) -> DataFrame:
@@ -34,9 +24,7 @@ def totals(graph: PropertyGraph) -> DataFrame:
 
 
 def isolated(graph: PropertyGraph) -> DataFrame:
-    edges = graph.edges if graph.raw is None else graph.raw  # repeats make no difference
-    ends = edges.select(F.explode(F.array(F.upper("src"), F.upper("dst"))).alias("k"))
-    return graph.nodes.join(ends, F.upper("id") == F.col("k"), "left_anti")
+    return graph.isolated()
 
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:

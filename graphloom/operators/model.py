@@ -106,6 +106,28 @@ class PropertyGraph:
         out = self.outgoing(node).select(F.col("dst").alias("id"))
         return out.unionByName(self.incoming(node).select(F.col("src").alias("id"))).distinct()
 
+    def with_degrees(self) -> DataFrame:
+        """Every node with ``in_degree`` and ``out_degree``; both ends are counted in one aggregate, so edges are shuffled once."""
+        ends = self.edge_keys().select(F.explode(F.array(
+            F.struct(F.col("src_key").alias("k"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+            F.struct(F.col("dst_key").alias("k"), F.lit(0).alias("o"), F.lit(1).alias("i")),
+        )).alias("e"))
+        counts = ends.groupBy(F.col("e.k").alias("_k")).agg(F.sum("e.i").alias("_in"), F.sum("e.o").alias("_out"))
+        joined = self.nodes.join(counts, F.upper("id") == F.col("_k"), "left")
+        zero = F.lit(0).cast("bigint")
+        return joined.select(*self.nodes.columns, F.coalesce("_in", zero).alias("in_degree"), F.coalesce("_out", zero).alias("out_degree"))
+
+    def isolated(self) -> DataFrame:
+        edges = self.edges if self.raw is None else self.raw  # repeats make no difference
+        ends = edges.select(F.explode(F.array(F.upper("src"), F.upper("dst"))).alias("k"))
+        return self.nodes.join(ends, F.upper("id") == F.col("k"), "left_anti")
+
+    def induced(self, nodes: DataFrame, few: bool = False) -> DataFrame:
+        """Edges both of whose ends are in ``nodes``."""
+        keys = nodes.select(F.upper("id").alias("_k"))
+        kept = self.edges.join(keys, F.upper("src") == F.col("_k"), "left_semi")
+        return kept.join(keys, F.upper("dst") == F.col("_k"), "left_semi")
+
     def named_edges(self) -> DataFrame:
         """Edges with their target's name, the raw id where it is no node."""
         names = self.nodes.select(F.upper("id").alias("_k"), F.col("name").alias("_name"))

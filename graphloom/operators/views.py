@@ -70,11 +70,9 @@ def view_nodes(
     return df.orderBy("seq").limit(max_nodes)
 
 
-def induced_edges(graph: PropertyGraph, nodes: DataFrame) -> DataFrame:
-    """Edges both of whose ends are in ``nodes``."""
-    keys = nodes.select(F.upper("id").alias("_k"))
-    kept = graph.edges.join(keys, F.upper("src") == F.col("_k"), "left_semi")
-    return kept.join(keys, F.upper("dst") == F.col("_k"), "left_semi")
+def induced_edges(graph: PropertyGraph, nodes: DataFrame, few: bool = False) -> DataFrame:
+    """Edges both of whose ends are in ``nodes``; ``few`` says that they are capped, as those of a view."""
+    return graph.induced(nodes, few)
 
 
 def with_focus(nodes: DataFrame, graph: PropertyGraph, focus: str | None) -> DataFrame:

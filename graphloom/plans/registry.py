@@ -32,27 +32,27 @@ _DEGREES = """, o AS (SELECT src AS id, count(*) AS n FROM edges GROUP BY 1), i
 
 @query(f"WITH {SQL_STAR} SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def edge_dedup_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return star.star_graph(spark, sf).edge_keys().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return star.stored_star(spark, sf).edge_keys().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, in_degree, out_degree FROM degrees")
 def degree_in_out(spark, sf):
-    return metrics.degrees(star.star_graph(spark, sf)).select("id", "in_degree", "out_degree")
+    return metrics.degrees(star.stored_star(spark, sf)).select("id", "in_degree", "out_degree")
 
 
 @query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, name, in_degree FROM degrees ORDER BY in_degree DESC, seq LIMIT 5")
 def top_hubs(spark, sf):
-    return metrics.top_by(star.star_graph(spark, sf), "in_degree")
+    return metrics.top_by(star.stored_star(spark, sf), "in_degree")
 
 
 @query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, name, out_degree FROM degrees ORDER BY out_degree DESC, seq LIMIT 5")
 def top_god_nodes(spark, sf):
-    return metrics.top_by(star.star_graph(spark, sf), "out_degree")
+    return metrics.top_by(star.stored_star(spark, sf), "out_degree")
 
 
 @query(f"WITH {SQL_STAR} SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
 def graph_totals(spark, sf):
-    return metrics.totals(star.star_graph(spark, sf))
+    return metrics.totals(star.stored_star(spark, sf))
 
 
 @query(f"WITH {SQL_HEAVY} SELECT id FROM nodes WHERE (id LIKE 'C:%' OR id LIKE 'P:%') AND id NOT IN (SELECT src FROM edges) AND id NOT IN (SELECT dst FROM edges)")
@@ -67,7 +67,7 @@ def counts_by_category(spark, sf):
 
 @query(f"WITH {SQL_STAR} SELECT kind, count(*) AS n FROM edges GROUP BY kind")
 def counts_by_kind(spark, sf):
-    return metrics.counts_by(star.star_graph(spark, sf).edges, "kind")
+    return metrics.counts_by(star.stored_star(spark, sf).edges, "kind")
 
 
 @query(f"WITH {SQL_INHERIT} SELECT " + ", ".join(f"count(*) FILTER (WHERE origin = '{o}') AS {o.lower()}" for o in ("EngineRuntime", "EngineEditor", "UserProject", "SystemPrimitive")) + " FROM nodes")
@@ -87,22 +87,22 @@ def _explain_sql(view):
 
 @query(_explain_sql(["out"]))
 def explain_out(spark, sf):
-    return views.explain(star.star_graph(spark, sf), "c:7", "out")
+    return views.explain(star.stored_star(spark, sf), "c:7", "out")
 
 
 @query(f"WITH {SQL_STAR} SELECT 'in' AS section, src AS other, kind, details FROM edges WHERE dst = 'N:3'")
 def explain_in(spark, sf):
-    return views.explain(star.star_graph(spark, sf), "n:3", "in")
+    return views.explain(star.stored_star(spark, sf), "n:3", "in")
 
 
 @query(_explain_sql(["out", "in"]))
 def explain_all(spark, sf):
-    return views.explain(star.star_graph(spark, sf), "C:7", "all")
+    return views.explain(star.stored_star(spark, sf), "C:7", "all")
 
 
 @query(f"WITH {SQL_STAR} SELECT DISTINCT id FROM (SELECT dst AS id FROM edges WHERE src = 'P:11' UNION ALL SELECT src FROM edges WHERE dst = 'P:11')")
 def neighbors_1hop(spark, sf):
-    return star.star_graph(spark, sf).neighbours("p:11")
+    return star.stored_star(spark, sf).neighbours("p:11")
 
 
 _VIEW = "view AS (SELECT * FROM nodes WHERE origin <> 'SystemPrimitive' AND origin = 'UserProject' ORDER BY seq LIMIT 500)"
@@ -115,8 +115,8 @@ def view_filter(spark, sf):
 
 @query(f"WITH {SQL_STAR} SELECT src, dst, kind, details FROM edges WHERE src IN (SELECT id FROM nodes WHERE origin <> 'SystemPrimitive' ORDER BY seq LIMIT 30000) AND dst IN (SELECT id FROM nodes WHERE origin <> 'SystemPrimitive' ORDER BY seq LIMIT 30000)")
 def induced_edges(spark, sf):
-    graph = star.star_graph(spark, sf)
-    return views.induced_edges(graph, views.view_nodes(graph)).select("src", "dst", "kind", "details")
+    graph = star.stored_star(spark, sf)
+    return views.induced_edges(graph, views.view_nodes(graph), few=True).select("src", "dst", "kind", "details")
 
 
 @query(f"WITH {SQL_INHERIT} SELECT src, dst, coalesce(name, dst) AS dst_name FROM inherits LEFT JOIN nodes ON id = dst")
@@ -423,7 +423,7 @@ def type_edges(spark, sf):
 
 @query(f"WITH {SQL_STAR} {_DEGREES} SELECT id, greatest(in_degree + out_degree, 1) AS degree FROM degrees")
 def total_degrees(spark, sf):
-    return metrics.total_degrees(star.star_graph(spark, sf)).select("id", "degree")
+    return metrics.total_degrees(star.stored_star(spark, sf)).select("id", "degree")
 
 
 @query(f"""WITH {SQL_INHERIT}, n AS (SELECT id, row_number() OVER (ORDER BY seq) - 1 AS idx FROM nodes) SELECT id, idx FROM n WHERE id IN ('C:7', 'P:11', 'R:0')""")
@@ -457,7 +457,7 @@ def cell_centres(spark, sf):
 
 @query(f"WITH {SQL_STAR} SELECT src, dst, CASE WHEN src = 'C:7' OR dst = 'C:7' THEN 1.0 ELSE 0.15 END::DOUBLE AS alpha FROM edges WHERE kind = 'Inherits'")
 def focused_edges(spark, sf):
-    return views.focused_edges(star.star_graph(spark, sf).edges.where("kind = 'Inherits'"), "c:7").select("src", "dst", "alpha")
+    return views.focused_edges(star.stored_star(spark, sf).edges.where("kind = 'Inherits'"), "c:7").select("src", "dst", "alpha")
 
 
 @query(f"""{_RECURSIVE}, f AS (SELECT ancestor, count(*) AS n FROM closure GROUP BY ancestor HAVING count(*) > 10)
@@ -550,7 +550,7 @@ def category_styles(spark, sf):
 @query(f"WITH {SQL_STAR} SELECT {_chain('kind', style.RELATION, 5, style.RELATION_OTHER)} AS line, count(*) AS n FROM edges GROUP BY 1")
 def relation_styles(spark, sf):
     line = style.relation_style(F.col("kind"))["line"]
-    return star.star_graph(spark, sf).edges.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return star.stored_star(spark, sf).edges.groupBy(line.alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {SQL_INHERIT} SELECT id, name FROM (SELECT *, CASE WHEN upper(name) = 'RING' THEN 0 WHEN suffix(upper(name), '.RING') THEN 1 WHEN contains(upper(name), 'RING') THEN 2 END AS tier FROM nodes)

@@ -16,16 +16,22 @@ def session(name: str = "graphloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where none is set, in local mode only."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="graphloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder that driver and executors share.
 
     The folder comes from ``spark.checkpoint.dir``; a temporary one is made only
     where none is set, and in local mode only, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not place and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="graphloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

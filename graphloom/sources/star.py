@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.adjacency import StoredGraph, load_graph, store_graph
 from graphloom.operators.model import PropertyGraph, first_edges
+from graphloom.runtime import shared_folder
 
 #: First sequence number of each kind of node; numbers inside a kind are the keys.
 STRIDE = 1_000_000_000_000
@@ -81,6 +85,21 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(nodes(spark, sf_dir), first_edges(raw), raw)
 
 
+def stored_star(spark: SparkSession, sf_dir: str, buckets: int = 16) -> StoredGraph:
+    """:func:`star_graph` as a stored adjacency, written once a session for the tables as they are."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    state = [sf_dir]
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        path = fs_path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = fs.getContentSummary(path)
+        state.append(f"{size.getLength()}:{size.getFileCount()}:{fs.getFileStatus(path).getModificationTime()}")
+    name = "star_" + hashlib.sha256("|".join(state).encode()).hexdigest()[:24]
+    if not spark.catalog.tableExists(f"{name}_nodes"):  # the last one that is written
+        return store_graph(star_graph(spark, sf_dir), f"{shared_folder(spark)}/{name}", buckets, name)
+    return load_graph(spark, name)
+
+
 def trade_graph(spark: SparkSession, sf_dir: str, top: int = 3) -> PropertyGraph:
     """Nations, each with edges to the nations of most of its suppliers' customers; small and cyclic."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
