@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.runtime import settled
 
 from .model import PropertyGraph, dense_index
+from .strong import back_edge_cycles
 
 
 def _steps(graph: PropertyGraph, undirected: bool, known_only: bool) -> DataFrame:
@@ -100,68 +100,9 @@ def k_cycles(graph: PropertyGraph, k: int) -> DataFrame:
     return path.select(F.array_join(F.array(*nodes, nodes[0]), " -> ").alias("cycle_key"))
 
 
-def _canonical(cycle: list[str]) -> tuple[str, ...]:
-    """Rotated to start at the smallest name in upper case, and closed."""
-    at = min(range(len(cycle)), key=lambda i: cycle[i].upper())
-    turned = cycle[at:] + cycle[:at]
-    return (*turned, turned[0])
-
-
-def _back_edge_cycles(nodes: list[str], out: dict[str, list[str]]) -> list[tuple[str, ...]]:
-    done: dict[str, int] = {}
-    found: dict[str, tuple[str, ...]] = {}
-    for root in nodes:
-        if root in done:
-            continue
-        done[root] = 1
-        path, stack = [root], [iter(out.get(root, ()))]
-        while stack:
-            for nxt in stack[-1]:
-                state = done.get(nxt, 0)
-                if state == 1:
-                    cycle = _canonical(path[path.index(nxt) :])
-                    found.setdefault("|".join(cycle).upper(), cycle)
-                elif state == 0:
-                    done[nxt] = 1
-                    path.append(nxt)
-                    stack.append(iter(out.get(nxt, ())))
-                    break
-            else:
-                done[path.pop()] = 2
-                stack.pop()
-    return list(found.values())
-
-
-def detect_cycles(graph: PropertyGraph, max_rounds: int = 50) -> DataFrame:
-    """``cycle_key, nodes``: one cycle for each back edge of a depth-first search in insertion order.
-
-    The search is sequential, so first, in parallel, nodes without an edge to another
-    node that is left go, round after round: none of those lies on a cycle or leads
-    to one, and the order of the rest stays.  What is left is searched in one task.
-    """
-    known = graph.nodes.select(F.upper("id").alias("k"), "seq")
-    e = graph.keyed_edges().select("src_key", "dst_key", F.col("seq").alias("ord")).join(known.select("k"), F.col("dst_key") == F.col("k"), "left_semi")
-    e = settled(e.join(known.select("k"), F.col("src_key") == F.col("k"), "left_semi"))
-    n = e.count()
-    for _ in range(max_rounds):
-        left = settled(e.join(e.select(F.col("src_key").alias("k")).distinct(), F.col("dst_key") == F.col("k"), "left_semi"))
-        m = left.count()
-        e = left
-        if m == n:
-            break
-        n = m
-    ids = known.join(graph.nodes.select(F.upper("id").alias("k"), "id"), "k")
-    rows = e.join(ids, F.col("src_key") == F.col("k")).select(F.lit(0).alias("one"), "src_key", "dst_key", "ord", F.col("seq").alias("node_ord"), "id")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = dict(zip(pdf["src_key"], pdf["id"], strict=True))
-        pdf = pdf.sort_values(["node_ord", "ord"])
-        out = pdf.groupby("src_key", sort=False)["dst_key"].apply(list).to_dict()
-        cycles = _back_edge_cycles(list(out), out)
-        named = [[names.get(x, x) for x in c] for c in cycles]
-        return pd.DataFrame({"cycle_key": [" -> ".join(c) for c in named], "nodes": named})
-
-    return rows.groupBy("one").applyInPandas(search, "cycle_key string, nodes array<string>")
+def detect_cycles(graph: PropertyGraph) -> DataFrame:
+    """``cycle_key, nodes``: one cycle for each back edge of a depth-first search in insertion order, component by component."""
+    return back_edge_cycles(graph)
 
 
 def ancestors(edges: DataFrame, max_depth: int = 25) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, style
-from graphloom.operators import csharp, extract, generics, lookup, metrics, paths, spatial, vector, views
+from graphloom.operators import csharp, extract, generics, lookup, metrics, paths, spatial, strong, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_per_key
 from graphloom.sinks import render
 from graphloom.sources import star
@@ -179,6 +179,13 @@ def cycles_dfs(spark, sf):
     return paths.detect_cycles(star.trade_graph(spark, sf)).select("cycle_key")
 
 
+@query(f"""WITH RECURSIVE {SQL_TRADE}, reach AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM reach r JOIN edges e ON r.b = e.src)
+    SELECT x.a AS key, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
+def strong_components(spark, sf):
+    edges = star.trade_graph(spark, sf).keyed_edges()
+    return strong.strong_components(edges.select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst")))
+
+
 _TAG = "unnest(regexp_extract_all(html, '<([a-zA-Z][A-Za-z0-9_]*)', 1))"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names
 from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, vector
 from graphloom.operators.model import PropertyGraph, first_edges, strict_edges, upsert_nodes
-from graphloom.operators.paths import _back_edge_cycles
+from graphloom.operators.strong import ordered_search
 from graphloom.sources import files
 from graphloom.sources.files import ignored
 
@@ -45,17 +45,17 @@ def test_cycles(spark):
     assert {r.cycle_key for r in paths.detect_cycles(g).collect()} == {"A -> B -> C -> A", "C -> D -> C"}
     g = graph(spark, "ABCD", ["AB", "AC", "BD", "CD", "DA"])
     assert [r.cycle_key for r in paths.detect_cycles(g).collect()] == ["A -> B -> D -> A"]
-    assert _back_edge_cycles(["_x", "B"], {"_x": ["B"], "B": ["_x"]}) == [("B", "_x", "B")]
+    assert ordered_search(["_x", "B"], {"_x": [(0, "B")], "B": [(1, "_x")]})[0] == [("B", "_x", "B")]
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=20))
 def test_cycles_are_closed_walks(edges):
     out: dict = {}
-    for a, b in edges:
-        out.setdefault(str(a), []).append(str(b))
-    for c in _back_edge_cycles([str(i) for i in range(7)], out):
-        assert c[0] == c[-1] == min(c) and all(b in out[a] for a, b in zip(c, c[1:], strict=False))
+    for i, (a, b) in enumerate(edges):
+        out.setdefault(str(a), []).append((i, str(b)))
+    for c in ordered_search([str(i) for i in range(7)], out)[0]:
+        assert c[0] == c[-1] == min(c) and all(b in [x for _, x in out[a]] for a, b in zip(c, c[1:], strict=False))
 
 
 def test_edge_policies(spark):
