@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, style
-from graphloom.operators import csharp, extract, generics, lookup, metrics, paths, spatial, strong, vector, views
+from graphloom.operators import csharp, extract, generics, ivf, lookup, metrics, paths, spatial, strong, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_per_key
+from graphloom.runtime import shared_folder
 from graphloom.sinks import render
 from graphloom.sources import star
 from graphloom.sources.star import SQL_HEAVY, SQL_INHERIT, SQL_STAR, SQL_TRADE, table
@@ -531,6 +534,22 @@ def vector_quantised(spark, sf):
     return _six(vector.approximate_top_k(vector.build_index(docs), _vector_of(spark, sf), 5, -1e9, over=20, id_col="vec_id"))
 
 
+def _ivf(spark, sf):
+    return ivf.build_ivf(table(spark, sf, "embeddings"), f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}")
+
+
+@query(f"{_SCORED} SELECT vec_id, score FROM scored ORDER BY s DESC, vec_id LIMIT 10")
+def ivf_topk(spark, sf):
+    found = ivf.ivf_top_k(_ivf(spark, sf), _vector_of(spark, sf), 10, sure=True)
+    return _six(found.withColumnRenamed("id", "vec_id"))
+
+
+@query()
+def ivf_neighbours(spark, sf):
+    queries = table(spark, sf, "embeddings").where("vec_id % 100 = 0")
+    return ivf.ivf_neighbours(_ivf(spark, sf), queries).select("query", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query()
 def tree_repulsion(spark, sf):
     return spatial.tree_repulsion(_view(spark, sf)).select("idx", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy"))
