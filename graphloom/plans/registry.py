@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, style
-from graphloom.operators import csharp, extract, generics, ivf, lookup, metrics, paths, spatial, strong, vector, views
+from graphloom.operators import csharp, extract, generics, ivf, lookup, metrics, paths, spatial, strong, trigram, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_per_key
 from graphloom.runtime import shared_folder
 from graphloom.sinks import render
@@ -83,6 +83,24 @@ def search_nodes(spark, sf):
     return views.search(PropertyGraph(star.nodes(spark, sf), None), "n:1")
 
 
+@query(f"""WITH {SQL_INHERIT}, h AS (SELECT * FROM nodes WHERE contains(upper(id), 'N:1') OR contains(upper(namespace), 'N:1'))
+    SELECT id, name, namespace, (SELECT count(*) FROM h) AS hits FROM h ORDER BY seq LIMIT 30""")
+def search_trigrams(spark, sf):
+    nodes = star.nodes(spark, sf)
+    index = trigram.build_trigrams(nodes, f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}", "seq", ["id", "namespace"])
+    return trigram.search_indexed(nodes, index, "n:1").select("id", "name", "namespace", "hits")
+
+
+_NEEDLES = ["the ", "Er th", "q", "xq", "ation. th", "no such text", "I"]
+
+
+@query("SELECT needle, conv_id * 1000 + turn AS key FROM conversations, (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NEEDLES) + "]) AS needle) WHERE contains(upper(text), upper(needle))")
+def substrings(spark, sf):
+    said = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "text")
+    index = trigram.build_trigrams(said, f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}", "key", ["text"])
+    return trigram.containing_any(index, _NEEDLES)
+
+
 def _explain_sql(view):
     parts = {"out": "SELECT 'out' AS section, dst AS other, kind, details FROM edges WHERE src = 'C:7'", "in": "SELECT 'in' AS section, src AS other, kind, details FROM edges WHERE dst = 'C:7'"}
     return f"WITH {SQL_STAR} " + " UNION ALL ".join(parts[v] for v in view)
@@ -275,6 +293,16 @@ def keyword_tiers(spark, sf):
     return views.keyword_search(*_registry(spark, sf), "a", 12)
 
 
+@query(_TIERS.format(q="RIN"))
+def keyword_trigrams(spark, sf):
+    types, members = _registry(spark, sf)
+    members = members.withColumn("member_key", F.col("type_seq"))
+    path = f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    of_types = trigram.build_trigrams(types, f"{path}/types", "seq", ["name", "full_name"])
+    of_members = trigram.build_trigrams(members, f"{path}/members", "member_key", ["name"])
+    return trigram.keyword_search_indexed(types, members, of_types, of_members, "rin", 12)
+
+
 @query(f"""WITH k AS (SELECT row_number() OVER (ORDER BY tier, type_seq, member_seq) AS rank, label FROM ({_TIERS.format(q='A')})),
     q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
     v AS (SELECT row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id::VARCHAR AS label FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 5))
