@@ -89,21 +89,22 @@ class Index:
                 more = [j for j in range(reach) if j > first]
                 places = sorted([first, *rng.choice(more, min(PLACES - 1, len(more)), replace=False).tolist()])
                 stem = np.concatenate([self.items[k][:size] for k in members])
-                keys = self._walk(stem, np.arange(len(members)) * size, size, r, places, None)[1]
+                begin = np.arange(len(members)) * size
+                keys = self._walk(stem, begin, begin + size, size, r, places, None)[1]
                 tables.append((places, [np.unique(x) for x in keys], keys[-1]))
             self.classes.append((size, np.array(members), tables))
 
-    def _walk(self, words, start, size, r, places, prune):
+    def _walk(self, words, start, tail, size, r, places, prune):
         """Random walk of every window: each step reads a symbol and moves on or not, as the step and symbol say.
 
         Keys of the symbols read at ``places`` so far; with ``prune``, windows whose
-        key no item has leave at once.
+        key no item has leave at once.  Past the document's end, ``tail``, are words that no item has.
         """
         at, key, keys, n = start.copy(), np.zeros(len(start), np.uint64), [], 0
         pad = len(self.sym) - 1
         for j in range(places[-1] + 1):
             inside = at - start < size
-            s = np.where(inside, words[np.minimum(at, len(words) - 1)], pad)
+            s = np.where(inside, np.where(at < tail, words[np.minimum(at, len(words) - 1)], 0), pad)
             if j == places[n]:
                 key = (key ^ self.sym[s]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
@@ -112,7 +113,7 @@ class Index:
                     allowed = prune[n]
                     slot = np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)
                     stay = allowed[slot] == key
-                    start, at, key, s, inside = start[stay], at[stay], key[stay], s[stay], inside[stay]
+                    start, tail, at, key, s, inside = start[stay], tail[stay], at[stay], key[stay], s[stay], inside[stay]
                     if not len(start):
                         return start, key
                 n += 1
@@ -125,18 +126,19 @@ class Index:
         Documents begin at ``begins`` and have ``lengths`` words; places count from the document's first word.
         """
         known = np.concatenate([[0], np.cumsum(words > 0)])
+        tails = np.repeat(begins + lengths, lengths)
         done: set[tuple[int, int]] = set()
         for size, members, tables in self.classes:
             if len(words) < 1:
                 return
             # A copy has all but the edited words of its item, so this loses none.
-            ends = np.minimum(np.arange(len(words)) + size, len(words))
+            ends = np.minimum(np.arange(len(words)) + size, tails)
             spare = int(np.ceil(self.edits * max(len(self.items[k]) for k in members)))
             start = np.flatnonzero((known[ends] - known[:-1] >= size - spare) & (words > 0))
             if not len(start):
                 continue
             for r, (places, prune, keys) in enumerate(tables):
-                at, key = self._walk(words, start, size, r, places, prune)
+                at, key = self._walk(words, start, tails[start], size, r, places, prune)
                 if not len(at):
                     continue
                 order = np.argsort(keys, kind="stable")
@@ -157,8 +159,8 @@ class Index:
                         edits, end = edit_distance(self.items[k], words[lo_:hi_])
                         if edits <= spare:
                             # Backwards from the end, the best match of the turned item ends where the copy starts.
-                            size = edit_distance(self.items[k][::-1], words[lo_ : lo_ + end][::-1][: n + spare])[1]
-                            yield k, d, lo_ + end - size - head_, lo_ + end - head_, edits
+                            length = edit_distance(self.items[k][::-1], words[lo_ : lo_ + end][::-1][: n + spare])[1]
+                            yield k, d, lo_ + end - length - head_, lo_ + end - head_, edits
 
 
 def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
@@ -166,7 +168,7 @@ def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        get, gap = index.vocab.get, index.longest + 1
+        get = index.vocab.get
         for batch in batches:
             found: list[tuple] = []
             k = 0
@@ -175,8 +177,7 @@ def _search_docs(docs: DataFrame, index: Index, id_type: str) -> DataFrame:
                 first = k
                 while k < batch.num_rows and (not parts or size < BLOCK):
                     words = words_of(batch.column(1)[k].as_py() or "")
-                    ids = np.zeros(len(words) + gap, np.int64)  # windows never reach the next document
-                    ids[: len(words)] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+                    ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
                     parts.append(ids)
                     begins.append(size)
                     lengths.append(len(words))

@@ -1,6 +1,9 @@
 import random
+import time
 import unicodedata
 
+import numpy as np
+
 from graphloom.llm import decontamination
 
 
@@ -52,3 +55,44 @@ def test_recall_of_edited_copies(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench).collect()}
     assert len(got & want) >= 0.9 * len(want)  # the aim of the sampled places
+
+
+def _found(index, texts):
+    """What a batch of documents of words gives, best match of each pair."""
+    parts = [np.array([index.vocab.get(w, 0) for w in t], np.int64) for t in texts]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    best = {}
+    for item, d, start, end, edits in index.search(np.concatenate(parts), np.cumsum(lengths) - lengths, lengths):
+        best[d, item] = min(best.get((d, item), (edits, start, end)), (edits, start, end))
+    return best
+
+
+def test_a_batch_finds_what_its_documents_find_alone():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    items = [(i, rng.choices(words, k=rng.randint(12, 60))) for i in range(150)]
+    longest = max(items, key=lambda x: len(x[1]))[1]
+    texts = [longest, [], ["only"]]
+    for _, item in items:
+        copy = list(item)
+        for _ in range(int(0.2 * len(copy))):
+            copy[rng.randrange(len(copy))] = "edit"
+        texts.append(rng.choices(words, k=rng.randint(0, 9)) + copy + rng.choices(words, k=rng.randint(0, 9)))
+    index = decontamination.Index(items)
+    alone = {(d, item): row for d, t in enumerate(texts) for (_, item), row in (_found(index, [t]) if t else {}).items()}
+    assert _found(index, texts) == alone and len(alone) > 0.8 * len(items)
+
+
+def test_one_long_item_costs_others_little():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(2000)]
+    items = [(i, rng.choices(words, k=20)) for i in range(100)]
+    texts = [rng.choices(words, k=60) + rng.choice(items)[1] for _ in range(400)]
+    few, many = decontamination.Index(items), decontamination.Index([*items, (999, rng.choices(words, k=15_000))])
+    took = []
+    for index in (few, many):
+        began = time.process_time()
+        found = _found(index, texts)
+        took.append(time.process_time() - began)
+        assert len(found) >= 400
+    assert took[1] < 2 * took[0] + 0.5
