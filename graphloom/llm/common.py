@@ -96,13 +96,8 @@ def parts_for(df: DataFrame, per_part: int = 8 << 20, least: int = 16) -> int:
     return max(least, -(-size // per_part))
 
 
-def join_by_heat(rows: DataFrame, table: DataFrame, on: list[str], weight: str, most: int) -> DataFrame:
-    """``rows`` joined with ``table``, which has each key once and how often ``rows`` may hold it as ``weight``.
-
-    The heaviest keys, at most ``most`` of them and all over some power of two, are
-    broadcast, so a key of any number of rows stays where its rows are; the others,
-    each lighter than that power, are merged by shuffles.
-    """
+def by_heat(table: DataFrame, weight: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``table`` cut at a power of two of ``weight``: the heaviest keys, at most ``most``, and the lighter ones (none: null)."""
     level = F.floor(F.log2(weight)).cast("int")
     least, taken, left = 64, 0, 0
     for r in sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.level):
@@ -110,10 +105,21 @@ def join_by_heat(rows: DataFrame, table: DataFrame, on: list[str], weight: str,
             left += r.n
         else:
             least, taken = r.level, taken + r.n
-    if not left:
-        return rows.join(F.broadcast(table), on)
+    return (table.where(level >= least), table.where(level < least)) if left else (table, None)
+
+
+def join_by_heat(rows: DataFrame, table: DataFrame, on: list[str], weight: str, most: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and how often ``rows`` may hold it as ``weight``.
+
+    The heaviest keys, at most ``most`` of them and all over some power of two, are
+    broadcast, so a key of any number of rows stays where its rows are; the others,
+    each lighter than that power, are merged by shuffles.
+    """
+    heavy, light = by_heat(table, weight, most)
+    if light is None:
+        return rows.join(F.broadcast(heavy), on)
     rows = cut(rows)
-    return rows.join(F.broadcast(table.where(level >= least)), on).unionByName(rows.join(table.where(level < least).hint("merge"), on))
+    return rows.join(F.broadcast(heavy), on).unionByName(rows.join(light.hint("merge"), on))
 
 
 def packed_by(key: Column, docs: DataFrame, level: int = 6) -> DataFrame:

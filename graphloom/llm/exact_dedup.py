@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, by_heat, cut
 
-#: Hashes that occur twice or more which may be broadcast; beyond it they are merged with the texts by a shuffle.
+#: Hashes that occur twice or more which may be broadcast: the most frequent ones; the others are merged with the texts by a shuffle.
 BROADCAST_HASHES = 500_000
 
 
@@ -27,10 +27,11 @@ def exact_duplicates(
     (or smallest) id stays.
 
     Hashes are counted first, and only texts whose hash occurs twice cross the
-    network for their bytes to be compared: those hashes are broadcast up to
-    :data:`BROADCAST_HASHES` of them, and merged by a shuffle beyond.  The
-    comparing aggregate first combines the copies each task has seen; a text held by a third
-    of all rows is then one row per task.  Ids are joined to their groups without
+    network for their bytes to be compared.  The most frequent of those hashes, up to
+    :data:`BROADCAST_HASHES`, are broadcast, so their texts stay where they are, and the
+    comparing aggregate first combines the copies each task has seen: a text held by a
+    third of all rows is one row per task.  Texts of the other hashes, each of fewer rows
+    than some power of two, are merged with them by a shuffle.  Ids are joined to their groups without
     the text, so adaptive execution can split a hot group.
 
     Null texts count as empty and form one group.  Repeated rows are members of
@@ -42,10 +43,15 @@ def exact_duplicates(
     rows = docs.select(F.col(id_col).alias("doc_id"), norm.alias("_norm"))
     rows = rows.select("doc_id", "_norm", content_hash("_norm").alias("_hash"))
     slim = cut(rows.select("doc_id", "_hash", F.sha2("_norm", 256).alias("text_sha256")))
-    twice = cut(slim.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash"))
-    twice = F.broadcast(twice) if twice.count() <= BROADCAST_HASHES else twice.hint("merge")
+    heavy, light = by_heat(cut(slim.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")), "_n", BROADCAST_HASHES)
     pick = F.max if keep == "largest" else F.min
-    groups = rows.join(twice, "_hash").groupBy("_hash", "_norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+    def compared(some: DataFrame) -> DataFrame:
+        return rows.join(some, "_hash").groupBy("_hash", "_norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+    groups = compared(F.broadcast(heavy.select("_hash")))
+    if light is not None:
+        groups = groups.unionByName(compared(light.select("_hash").hint("merge")))
     groups = cut(groups.select(F.col("_hash").alias("_h"), F.sha2("_norm", 256).alias("_sha"), "keep_id", "group_size"))
     # Two different texts with both hashes alike would give a row twice; the digest tells apart those with one alike.
     joined = slim.join(groups, (slim["_hash"] == groups["_h"]) & (slim["text_sha256"] == groups["_sha"]), "left")

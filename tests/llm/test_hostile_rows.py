@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from graphloom.llm import line_dedup, secret_scan, toxicity
+from graphloom.llm import common, exact_dedup, line_dedup, secret_scan, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, counts string, n_lines string, `row` int, `key` int, dropped int"
 LINE = "a line that is long enough to count among the shared ones"
@@ -74,3 +74,15 @@ def test_stages_with_hostile_rows(spark):
     assert (1, text) in left and (None, text + " more") not in left and (1, "a b c") in left and (None, "other words here") in left
     assert len(left) == 5  # null and empty texts are one group
     assert corpus_pipeline.packing(spark, docs, sf).where("start = 0").count() == 5
+
+
+def test_hot_texts_past_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, "Hot text that very many rows have") for i in range(300)] + [(1000 + i, f"text {i // 2}") for i in range(60)] + [(2000, "alone"), (2001, None), (2002, "")]
+    want = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows)).collect()}
+    assert want[5] == (299, 300, False) and want[1001] == (1001, 2, True) and want[2001] == (2002, 2, False) and want[2000] == (2000, 1, True)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_HASHES", 5)
+    parts = []
+    monkeypatch.setattr(exact_dedup, "by_heat", lambda *a: parts.append(common.by_heat(*a)) or parts[0])
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows)).collect()} == want
+    heavy, light = parts[0]
+    assert [r._n for r in heavy.collect()] == [300] and {r._n for r in light.collect()} == {2}  # the hot text isn't shuffled with its rows
