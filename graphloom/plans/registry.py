@@ -165,6 +165,16 @@ def large_families(spark, sf):
     return paths.descendant_counts(star.inheritance(spark, sf), 10)
 
 
+_HOPS = ", ".join(f"w{k} AS (SELECT e.dst AS b, sum(w.n) AS n FROM w{k - 1} w JOIN edges e ON e.src = w.b GROUP BY 1)" for k in range(2, 26))
+
+
+@query(f"WITH {SQL_TRADE}, w1 AS (SELECT dst AS b, count(*)::HUGEINT AS n FROM edges GROUP BY 1), {_HOPS} SELECT b AS ancestor, sum(n)::BIGINT AS descendants FROM ("
+       + " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, 26)) + ") GROUP BY b")
+def ring_descendants(spark, sf):
+    rings = star.trade_graph(spark, sf).edges.withColumn("kind", F.lit("Inherits"))  # three bases each, in rings: 3 ** 25 walks from every node
+    return paths.descendant_counts(rings)
+
+
 @query(f"{_RECURSIVE} SELECT DISTINCT id FROM closure WHERE ancestor = 'R:2'")
 def derivatives_of(spark, sf):
     return paths.derivatives(star.inheritance(spark, sf), "r:2")

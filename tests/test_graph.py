@@ -181,3 +181,31 @@ def test_file_listing_and_index_dir(spark, tmp_path):
     assert files.index_dir(spark, str(tmp_path)) == f"{tmp_path}/vec" and files.index_dir(spark, str(tmp_path / "none")) == f"{tmp_path}/none"
     src = spark.createDataFrame([("b/Foo.cs",), ("a/foo.razor",), ("a/Food.cs",)], "path string")
     assert files.source_of(src, "Foo").first().path == "a/foo.razor"
+
+
+def test_closure_by_doubling(spark):
+    names = "ABCD"
+    ring = [(i, a, b, "Inherits", "", 0) for i, (a, b) in enumerate((a, b) for a in names for b in names if a != b)]
+    e = spark.createDataFrame([*ring, (90, "x", "a", "Inherits", "", 0), (91, "x", "A", "Inherits", "", 0), (92, "x", "B", "Calls", "", 0)], EDGES)
+    at = {**{(a, b): int(a != b) for a in names for b in names}, ("X", "A"): 2}  # repeated edges are walks of their own
+    level, want = dict(at), {(a, b, 1): n for (a, b), n in at.items() if n}
+    for depth in range(2, 26):
+        step: dict = {}
+        for (a, b), n in level.items():
+            for (c, d), m in at.items():
+                if b == c and n * m:
+                    step[a, d] = step.get((a, d), 0) + n * m
+        level = step
+        want |= {(a, b, depth): n for (a, b), n in level.items() if n}
+    got = {(r.id, r.ancestor, r.depth): int(r.walks) for r in paths.ancestor_walks(e).collect()}
+    assert got == want
+    total = {r.ancestor: r.descendants for r in paths.descendant_counts(e).collect()}
+    assert total == {b: sum(n for (_, x, _), n in want.items() if x == b) for b in names}
+    assert {r.depth for r in paths.ancestors(e, 3).collect()} == {1, 2, 3} and paths.ancestors(e, 1).count() == 13
+    assert paths.ancestors(e.where("kind = 'None'")).collect() == []
+
+
+def test_closure_of_a_chain_takes_five_joins(spark):
+    e = spark.createDataFrame([(i, f"t{i}", f"t{i + 1}", "Inherits", "", 0) for i in range(40)], EDGES)
+    got = {(r.id, r.ancestor, r.depth) for r in paths.ancestors(e).collect()}
+    assert got == {(f"T{i}", f"T{i + d}", d) for i in range(40) for d in range(1, 26) if i + d <= 40}
