@@ -338,40 +338,3 @@ def _system_name(column):
     """The system name that a keyword of the language stands for."""
     pairs = {v: k.rsplit(".", 1)[-1] for k, v in names.ALIASES.items()}
     return F.coalesce(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[column], column)
-
-
-EDGE = "path string, src string, dst string, kind string, details string, line_number int"
-
-
-def _source_edges(path: str, text: str) -> Iterator[tuple]:
-    """Edges of the second reading: each construct belongs to the innermost type around it, and receivers are taken as written."""
-    src = Source(text)
-    for at, _, _, kind, name, _, bases in src.types:
-        for k, base in enumerate(bases):
-            base = re.sub("<.*", "", base)
-            implements = kind == "interface" or k or re.match(r"I[A-Z]", base)
-            yield path, name, base, "Implements" if implements else "Inherits", "Interface" if implements else "Base Class", src.line(at)
-    found = [(m.start(), m[1], "Instantiates", f"new {m[1]}()") for m in _NEW.finditer(src.code)]
-    found += [(at, receiver, "MethodCall", f"Method '{method}()'") for at, receiver, method in src.calls() if "(" not in receiver]
-    found += [(m.start(), m[1], "SingletonAccess", f".{m[2]}") for m in _SINGLE.finditer(src.code)]
-    found += [(m.start(), m[1], "EventSubscription", f"Event '{m[2]}' {m[3]}") for m in _EVENT.finditer(src.code)]
-    for at, target, kind, details in sorted(found):
-        k = src.owner(at)
-        if k >= 0 and src.types[k][4].upper() != target.upper():
-            yield path, src.types[k][4], target, kind, details, src.line(at)
-
-
-def csharp_edges(sources: DataFrame) -> DataFrame:
-    """Edges of ``(path, text)`` files."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [e for p, t in zip(pdf["path"], pdf["text"], strict=True) for e in _source_edges(p or "", t or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in EDGE.split(", ")])
-
-    return sources.select("path", "text").mapInPandas(run, EDGE)
-
-
-def csharp_nodes(sources: DataFrame) -> DataFrame:
-    """``path, category, name`` of each declared class, struct and interface, without those in comments and strings."""
-    return source_uses(sources).where("form = 'declares'").select("path", F.initcap("target").alias("category"), F.col("src").alias("name")).distinct()

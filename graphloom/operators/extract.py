@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names
 
-from .csharp import csharp_edges, csharp_nodes
 from .model import PropertyGraph, first_edges, first_per_key, upsert_nodes
+from .tokens import declared_types, ordered_edges
+
 
 def resolve_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Targets that are a node's simple name become its id, the first node's on a tie; others stay. Self edges go."""
@@ -177,7 +178,7 @@ def rebuild(catalogue: PropertyGraph, sources: DataFrame) -> PropertyGraph:
     simple name over all nodes; tags bind to the interface nodes there are by then.
     """
     code = sources.where(F.lower("path").endswith(".cs"))
-    declared = csharp_nodes(code).groupBy(F.upper("name").alias("_k")).agg(F.min(F.struct("path", "name", "category")).alias("d"))
+    declared = declared_types(code).groupBy(F.upper("name").alias("_k")).agg(F.min(F.struct("path", "name", "category")).alias("d"))
     nodes = catalogue.nodes if "file_path" in catalogue.nodes.columns else catalogue.nodes.withColumn("file_path", F.lit(None).cast("string"))
     known = nodes.join(declared.select("_k", F.col("d.path").alias("_path")), F.upper("id") == F.col("_k"), "left")
     known = known.withColumn("file_path", F.coalesce(F.nullif("file_path", F.lit("")), "_path")).drop("_k", "_path")
@@ -186,8 +187,8 @@ def rebuild(catalogue: PropertyGraph, sources: DataFrame) -> PropertyGraph:
     new = new.select(F.col("name").alias("id"), "name", "category", F.lit("UserProject").alias("origin"), F.col("path").alias("file_path"), F.lit("").alias("namespace"),
                      (last + F.xxhash64("name").bitwiseAND(F.lit((1 << 49) - 1))).alias("seq"))
     nodes = upsert_nodes(known.unionByName(new, allowMissingColumns=True))
-    order = F.xxhash64("path", "line_number").bitwiseAND(F.lit((1 << 49) - 1))
-    walked = resolve_names(csharp_edges(code).withColumn("seq", last + order).drop("path"), nodes)
+    order = F.xxhash64("path").bitwiseAND(F.lit((1 << 29) - 1)) * F.lit(1 << 20) + F.col("n")
+    walked = resolve_names(ordered_edges(code).withColumn("seq", last + order).drop("path"), nodes)
     tags = razor_edges(sources.where(F.lower("path").endswith(".razor")), nodes).withColumn("seq", F.lit(1 << 51)).withColumn("line_number", F.lit(0))
     columns = ["seq", "src", "dst", "kind", "details", "line_number"]
     raw = catalogue.edges.select(*columns).unionByName(walked.select(*columns)).unionByName(tags.select(*columns))

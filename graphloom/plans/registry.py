@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names, style
-from graphloom.operators import csharp, extract, generics, ivf, lookup, metrics, paths, spatial, strong, trigram, vector, views
+from graphloom.operators import csharp, extract, generics, ivf, lookup, metrics, paths, spatial, strong, tokens, trigram, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_per_key
 from graphloom.runtime import shared_folder
 from graphloom.sinks import render
@@ -429,7 +429,7 @@ def _code(spark, sf):
     ('N' || c_nationkey, 'Inherits', 'Base Class', 3), ('P' || c_custkey % 11, 'Instantiates', 'new P' || c_custkey % 11 || '()', 6), ('Bus', 'SingletonAccess', '.Instance', 6),
     ('Bus.Instance', 'MethodCall', 'Method ''Send()''', 6), ('p', 'MethodCall', 'Method ''Use()''', 6), ('Log', 'MethodCall', 'Method ''Info()''', 6), ('Feed', 'EventSubscription', 'Event ''Sold'' +=', 6)) AS e(dst, kind, details, line)""")
 def csharp_edges(spark, sf):
-    return extract.csharp_edges(_code(spark, sf))
+    return tokens.csharp_edges(_code(spark, sf))
 
 
 @query("""SELECT DISTINCT 'C' || c_custkey AS src, e.dst, e.kind, e.details FROM customer, LATERAL (VALUES

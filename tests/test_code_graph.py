@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom import api
 from graphloom.functions import names
-from graphloom.operators import csharp, extract, metrics, paths, spatial, vector, views
+from graphloom.operators import csharp, extract, metrics, paths, spatial, tokens, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_edges
 from graphloom.sinks import render
 from graphloom.sources import files
@@ -75,10 +75,10 @@ def test_engine_edges_of_receivers_go_out_from_the_main_class_too(spark):
 
 
 def test_second_reading_and_rebuild(spark):
-    got = {(r.src, r.dst, r.kind, r.details, r.line_number) for r in csharp.csharp_edges(sources(spark).where("path like '%Till%'")).collect()}
+    got = {(r.src, r.dst, r.kind, r.details, r.line_number) for r in tokens.csharp_edges(sources(spark).where("path like '%Till%'")).collect()}
     assert ("Till", "Feed", "EventSubscription", "Event 'Sold' +=", 17) in got and ("Till", "IOpen", "Implements", "Interface", 5) in got
     assert ("Till", "Bank", "SingletonAccess", ".Instance", 19) in got and not any("Ghost" in x for x in map(str, got))
-    assert {r.name for r in csharp.csharp_nodes(sources(spark)).collect()} >= {"Till", "Drawer", "Bank"}
+    assert {r.name for r in tokens.declared_types(sources(spark)).collect()} >= {"Till", "Drawer", "Bank"}
     catalogue = PropertyGraph(spark.createDataFrame([(0, "Parts.Coin", "Coin", "Parts", "EngineRuntime", "Class"), (1, "Ui.Menu", "Menu", "Ui", "EngineRuntime", "UiPanel")], NODES), spark.createDataFrame([], EDGES))
     more = spark.createDataFrame([("ui/Shelf.razor", "<Menu/>\n@code { }")], "path string, text string")
     graph = extract.rebuild(catalogue, sources(spark).unionByName(more))
@@ -88,7 +88,7 @@ def test_second_reading_and_rebuild(spark):
 
 def test_large_file_in_time(spark):
     code = "class Big {\n" + "void F() { var x = new Item(); { x.Go(); } }\n" * 20_000 + "}"
-    assert csharp.csharp_edges(spark.createDataFrame([("a.cs", code)], "path string, text string")).agg(F.max("line_number")).first()[0] == 20_001
+    assert tokens.csharp_edges(spark.createDataFrame([("a.cs", code)], "path string, text string")).agg(F.max("line_number")).first()[0] == 20_001
 
 
 def test_catalogue_edges_and_methods(spark):

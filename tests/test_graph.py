@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, vector
+from graphloom.operators import extract, generics, lookup, metrics, paths, spatial, tokens, vector
 from graphloom.operators.model import PropertyGraph, first_edges, strict_edges, upsert_nodes
 from graphloom.operators.strong import ordered_search
 from graphloom.sources import files
@@ -110,7 +110,7 @@ def test_razor_and_csharp(spark):
     assert [tuple(r) for r in extract.razor_edges(src, ui).collect()] == [("Menu", "u.Button", "RazorMarkupTag", "Markup tag <Button />")]
     assert extract.razor_to_csharp("<p/>", "A") is None
     code = 'class A : B, IC {\n // new X()\n void F() { var s = "new Y()"; new Z(); Bus.Instance.Go(); x.E += f; } }'
-    got = {(r.dst, r.kind) for r in extract.csharp_edges(spark.createDataFrame([("a.cs", code)], "path string, text string")).collect()}
+    got = {(r.dst, r.kind) for r in tokens.csharp_edges(spark.createDataFrame([("a.cs", code)], "path string, text string")).collect()}
     assert {("B", "Inherits"), ("IC", "Implements"), ("Z", "Instantiates"), ("Bus", "SingletonAccess"), ("x", "EventSubscription")} <= got
     assert not any(re.match("[XY]$", d) for d, _ in got)
 
