@@ -71,7 +71,7 @@ def _read_source(w: Workspace, class_name: str) -> DataFrame:
 
 def _search_api(w: Workspace, query: str, search_mode: str = "hybrid", member_type: str = "all", max_results: int = 5) -> DataFrame:
     types, members = _need(w.types, "API registry"), _need(w.members, "API registry")
-    return vector.api_search(types, members, w.engine_index, query, w.encode, search_mode, member_type.lower(), max_results, w.graph)
+    return vector.api_search(types, members, w.engine_index, query, w.encode, search_mode, member_type.lower(), max_results, w.graph, seconds=vector.GUARD)
 
 
 def _explain_type(w: Workspace, class_name: str, view_mode: str = "all") -> DataFrame:
@@ -127,7 +127,10 @@ def run_command(graph: PropertyGraph, command: str, arg1: str = "", arg2: str =
 
 
 def handle(w: Workspace, line: str, limit: int = 100, mode: str = "both") -> str | None:
-    """Answer to one JSON-RPC line; none to a notification.  Beyond ``limit`` rows an answer says how many more there are."""
+    """Answer to one JSON-RPC line; none to a notification.
+
+    Beyond ``limit`` rows an answer says how many more there are; a call's ``offset`` asks for those after as many.
+    """
     request = json.loads(line)
     if request.get("id") is None:
         return None
@@ -140,8 +143,9 @@ def handle(w: Workspace, line: str, limit: int = 100, mode: str = "both") -> str
     elif method == "tools/call":
         try:
             rows = call_tool(w, params.get("name", ""), params.get("arguments") or {})
-            shown = [json.loads(r) for r in rows.limit(limit + 1).toJSON().collect()]
-            more = rows.count() - limit if len(shown) > limit else 0
+            offset = int(params.get("offset") or 0)
+            shown = [json.loads(r) for r in rows.offset(offset).limit(limit + 1).toJSON().collect()]
+            more = rows.count() - offset - limit if len(shown) > limit else 0
             answer["result"] = {"content": shown[:limit], "more": more}
         except (ValueError, TypeError) as e:  # a tool's error is its answer
             answer["result"] = {"content": [], "isError": True, "message": str(e)}

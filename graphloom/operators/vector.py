@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from functools import reduce
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +117,51 @@ def semantic_search(index: DataFrame, text: str, encode, limit: int = 5, thresho
     ).withColumn("score_text", names.score_text(F.col("score")))
 
 
+#: Seconds that the semantic section of an answer may take.
+GUARD = 35.0
+
+
+def guarded(spark: SparkSession, make, seconds: float) -> DataFrame | None:
+    """The rows of ``make()``, a small result, if they are there in ``seconds``; else nothing, and its jobs are cancelled.
+
+    They run in a thread of their own under a job tag.  A call that is still in Python
+    code at the deadline starts no job after it.
+    """
+    tag, over, box = f"guarded-{uuid.uuid4().hex}", threading.Event(), []
+
+    def run() -> None:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            df = make()
+            if not over.is_set():
+                box.append((df.collect(), df.schema))
+        except Exception as e:  # an error is the caller's, unless the deadline made it
+            box.append(e)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        over.set()
+        for _ in range(10):  # a job may be about to start
+            spark.sparkContext.cancelJobsWithTag(tag)
+            thread.join(0.2)
+            if not thread.is_alive():
+                break
+        return None
+    if isinstance(box[0], Exception):
+        raise box[0]
+    return spark.createDataFrame(*box[0])
+
+
 def api_search(
-    types: DataFrame, members: DataFrame, index: DataFrame | None, text: str, encode=None, mode: str = "hybrid", member_type: str = "all", limit: int = 5, fallback=None
+    types: DataFrame, members: DataFrame, index: DataFrame | None, text: str, encode=None, mode: str = "hybrid", member_type: str = "all", limit: int = 5, fallback=None, seconds: float | None = None
 ) -> DataFrame:
     """``section, rank, label, type, score`` of a search of the API: by keyword, by meaning, or one after the other.
 
     A semantic section takes a pool of the best, keeps those of the member type, and
-    enriches them with the member that a hit stands for.
+    enriches them with the member that a hit stands for.  With ``seconds``, an answer by
+    both leaves the semantic section out if it takes longer.
     """
     mode = mode.lower().strip()
     parts = []
@@ -129,14 +170,18 @@ def api_search(
         rank = F.row_number().over(Window.orderBy("tier", "type_seq", "member_seq"))  # over a top-k
         parts.append(found.select(F.lit("keyword").alias("section"), rank.alias("rank"), "label", F.lower("badge").alias("type"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("member")))
     if mode in ("semantic", "hybrid") and index is not None and encode is not None:
-        query = [float(x) for x in encode([f"query: {text.strip()}"])[0]]
-        keep = None if member_type == "all" else names.member_type_is(F.col("type"), member_type)
-        pool = top_k(index, query, pool_size(limit, keep is None), -1e9, "numeric_id")
-        pool = pool.where(~F.col("fqn").rlike("[<$]") & (F.lit(True) if keep is None else keep))
-        hits = pool.orderBy(F.desc("score"), "numeric_id").limit(limit).select("numeric_id", "id", "fqn", "type", "score")
-        rich = with_members(hits, members)
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), "numeric_id"))
-        parts.append(rich.select(F.lit("semantic").alias("section"), rank.alias("rank"), F.col("fqn").alias("label"), "type", "score", F.col("doc_id").alias("member")))
+        def semantic() -> DataFrame:
+            query = [float(x) for x in encode([f"query: {text.strip()}"])[0]]
+            keep = None if member_type == "all" else names.member_type_is(F.col("type"), member_type)
+            pool = top_k(index, query, pool_size(limit, keep is None), -1e9, "numeric_id")
+            pool = pool.where(~F.col("fqn").rlike("[<$]") & (F.lit(True) if keep is None else keep))
+            hits = pool.orderBy(F.desc("score"), "numeric_id").limit(limit).select("numeric_id", "id", "fqn", "type", "score")
+            rank = F.row_number().over(Window.orderBy(F.desc("score"), "numeric_id"))  # over a top-k
+            rich = with_members(hits, members)
+            return rich.select(F.lit("semantic").alias("section"), rank.alias("rank"), F.col("fqn").alias("label"), "type", "score", F.col("doc_id").alias("member"))
+
+        found = semantic() if seconds is None or mode == "semantic" else guarded(types.sparkSession, semantic, seconds)
+        parts += [] if found is None else [found]
     if not parts:
         raise ValueError(f"unknown mode {mode!r}, or no index")
     return reduce(DataFrame.unionByName, parts)

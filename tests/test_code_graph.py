@@ -304,14 +304,62 @@ def test_semantic_command(spark, tmp_path):
 
 
 def test_refresh_merges_new_files(spark, tmp_path):
-    from graphloom.streaming.reindex import refresh_edges
+    from graphloom.streaming.reindex import merge_edges, refresh_edges, stored_edges
 
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "check"))
-    for n, rows in enumerate(([(0, "A", "B", "k", "d", 1)], [(1, "a", "B", "k", "d", 2), (2, "B", "C", "k", "d", 3)], [(3, "C", "D", "k", "d", 4)])):
+    for rows in ([(i, f"n{i}", f"m{i}", "k", "d", 1) for i in range(200)], [(900, "N5", "m5", "k", "D", 2), (901, "B", "C", "k", "d", 3)]):
         spark.createDataFrame(rows, EDGES).write.mode("append").parquet(source)
-        refresh_edges(spark, source, target, checkpoint).awaitTermination(60)
-        got = {(r.src, r.dst) for r in spark.read.parquet(f"{target}/v{n}").collect()}
-    assert got == {("A", "B"), ("B", "C"), ("C", "D")} and not files.path_exists(spark, f"{target}/v0")
+        before = {f: f.stat().st_mtime_ns for f in (tmp_path / "out").glob("part=*/*.parquet")}
+        refresh_edges(spark, source, target, checkpoint, parts=16).awaitTermination(60)
+    kept = {f for f in (tmp_path / "out").glob("part=*/*.parquet") if before.get(f) == f.stat().st_mtime_ns}
+    assert len({f.parent for f in before}) > 10 and len({f.parent for f in before} - {f.parent for f in kept}) <= 2  # of all partitions two are new
+    got = {(r.seq, r.src, r.dst) for r in stored_edges(spark, target).collect()}
+    assert got == {(i, f"n{i}", f"m{i}") for i in range(200)} | {(901, "B", "C")}
+    late = spark.createDataFrame([(-1, "N7", "M7", "K", "d", 0), (-1, "n7", "m7", "k", "d", 0)], EDGES)
+    for _ in range(2):  # an earlier edge takes its repeat's place, and a replay changes nothing
+        assert merge_edges(late, target, 16)
+        after = {(r.seq, r.src, r.dst, r.kind) for r in stored_edges(spark, target).collect()}
+        assert len(after) == 202 and {(-1, "n7", "m7", "k"), (-1, "N7", "M7", "K")} <= after
+    assert merge_edges(late.limit(0), target, 16) == []
+
+
+def test_slow_encoder_does_not_hold_the_answer(spark):
+    import time
+
+    types = spark.createDataFrame([(0, "Cat", "A.Cat", False, False, False)], "seq bigint, name string, full_name string, is_interface boolean, is_enum boolean, is_value_type boolean")
+    members = spark.createDataFrame([], "type_seq bigint, seq int, member_kind string, name string, doc_id string, type_key string, member_type string, params array<string>")
+    index = spark.createDataFrame([(10_000, "C:Cat", "A.Cat", "class", "t", [1.0])], "numeric_id bigint, id string, fqn string, type string, text string, embedding array<float>")
+
+    def search(encode, seconds):
+        began = time.time()
+        rows = vector.api_search(types, members, index, "cat", encode, "hybrid", seconds=seconds).collect()
+        return {(r.section, r.label) for r in rows}, time.time() - began
+
+    slow_rows = index.select("numeric_id", "id", "fqn", "type", "text", F.udf(lambda v: time.sleep(30) or v, "array<float>")("embedding").alias("embedding"))
+    quick = lambda texts: [[1.0] for _ in texts]
+    assert search(quick, 60)[0] == search(quick, None)[0] == {("keyword", "A.Cat"), ("semantic", "A.Cat")}
+    found, took = search(lambda texts: time.sleep(20) or quick(texts), 1)  # a slow encoder
+    assert found == {("keyword", "A.Cat")} and took < 15
+    index = slow_rows
+    found, took = search(quick, 2)  # slow jobs
+    assert found == {("keyword", "A.Cat")} and took < 20
+    time.sleep(1)
+    assert spark.sparkContext.statusTracker().getActiveJobsIds() == []
+
+
+def test_pages_of_an_answer(spark):
+    types = spark.createDataFrame([(i, f"N{i:02}", f"A.N{i:02}", False, False, False) for i in range(25)], "seq bigint, name string, full_name string, is_interface boolean, is_enum boolean, is_value_type boolean")
+    members = spark.createDataFrame([], "type_seq bigint, seq int, member_kind string, name string, doc_id string")
+    w = api.Workspace(None, types=types, members=members)
+    seen, offset = [], 0
+    while True:
+        ask = {"id": 1, "method": "tools/call", "params": {"name": "engine_search_api", "arguments": {"query": "n", "search_mode": "keyword", "max_results": 25}, "offset": offset}}
+        answer = json.loads(api.handle(w, json.dumps(ask), limit=10))["result"]
+        seen += [r["label"] for r in answer["content"]]
+        offset += 10
+        if not answer["more"]:
+            break
+    assert seen == [f"A.N{i:02}" for i in range(25)]
 
 
 def test_service(spark, tmp_path):
