@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from graphloom.build import build
 from graphloom.operators import lookup, metrics, paths, vector, views
 from graphloom.operators.model import PropertyGraph
 from graphloom.runtime import session
@@ -176,7 +177,11 @@ def command_search(spark, folder: str, text: str, encode: Callable, limit: int =
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="graphloom")
     parser.add_argument("--cache", help="graph document")
-    parser.add_argument("--cmd", required=True, help="a command, semantic, or serve")
+    parser.add_argument("--cmd", help="a command, semantic, or serve; without one, --src and --out build")
+    parser.add_argument("--src", help="source tree to build from")
+    parser.add_argument("--out", help="folder to build into")
+    parser.add_argument("--api", help="API document of a build")
+    parser.add_argument("--engine-links", choices=["true", "false"], default="true", help="whether a build links user classes to API types")
     parser.add_argument("--index", help="folder of vector indexes, for semantic")
     parser.add_argument("--encoder", help="module:function that encodes texts, for semantic")
     parser.add_argument("--arg1", default="")
@@ -184,6 +189,10 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--undirected", action="store_true")
     parser.add_argument("--mode", default="both", choices=["user", "engine", "both"])
     a = parser.parse_args(argv)
+    if not a.cmd:
+        encode = _encoder(a.encoder) if a.encoder else None
+        print(json.dumps(build(session(), a.mode, _need(a.src, "source tree"), _need(a.out, "folder"), a.api, a.engine_links == "true", encode)))
+        return
     if a.cmd == "semantic":
         for row in command_search(session(), _need(a.index, "index folder"), a.arg1, _encoder(_need(a.encoder, "encoder"))).toLocalIterator():
             print("\t".join(map(str, row)))

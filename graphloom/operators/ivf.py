@@ -153,14 +153,14 @@ def ivf_top_k(index: IvfIndex, query: list[float], k: int = 5, *, probe: int | N
     return best(cells, None, least).select("id", "score")
 
 
-def ivf_neighbours(index: IvfIndex, queries: DataFrame, k: int = 10, *, probe: int | None = None, over: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query, rank, id, score``: the ``k`` best of each query other than itself, through the nearest ``probe`` cells (two thirds by default).
+def ivf_neighbours(index: IvfIndex, queries: DataFrame, k: int = 10, *, probe: int | None = None, over: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query, rank, id, score``: the ``k`` best of each query other than itself, through the nearest ``probe`` cells (three quarters by default).
 
     Queries go to the cells that they probe; a cell's codes meet them in chunks, so no
     task has a whole cell.  ``over * k`` rows of a query's rough scores go on to exact ones.
     """
     number, centre, _ = index.centroids()
-    probe = probe or max(1, -(-2 * len(number) // 3))
+    probe = probe or max(1, -(-3 * len(number) // 4))
     dims = centre.shape[1]
     kind = queries.schema[id_col].dataType.simpleString()
 
