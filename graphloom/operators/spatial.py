@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.runtime import settled
@@ -42,15 +42,45 @@ def cell(value: Column, scale: float = 1.0, clamp: bool = True) -> Column:
     return F.least(F.greatest(at, F.lit(0)), F.lit(GRID - 1)) if clamp else at
 
 
+def _around() -> Column:
+    """The nine cells at and around one, as offsets ``a, b``."""
+    return F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+
+
 def neighbour_pairs(df: DataFrame, scale: float = 1.0) -> DataFrame:
-    """``i, j`` (``i < j``) of nodes in the same or adjoining cells: nine keys a node and an equi-join."""
+    """``i, j`` (``i < j``) of nodes in the same or adjoining cells: nine keys a node and an equi-join.
+
+    Cells at the grid's border hold all that lies beyond it, so a view far larger than the grid has
+    about as many pairs as its nodes squared; :func:`neighbour_counts` and :func:`collisions` make none of them.
+    """
     at = df.select("idx", "x", "y", cell(F.col("x"), scale).alias("cx"), cell(F.col("y"), scale).alias("cy"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    near = at.select(F.col("idx").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", around.alias("o"))
+    near = at.select(F.col("idx").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "cx", "cy", _around().alias("o"))
     near = near.select("i", "xi", "yi", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
     return near.join(at.select(F.col("idx").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy"), ["cx", "cy"]).where("i < j")
 
 
+#: Indices of a cell that are ranked in one group.
+RANKED = 1 << 15
+
+
+def neighbour_counts(df: DataFrame, scale: float = 1.0, ranked: int = RANKED) -> DataFrame:
+    """``i, n``: how many pairs of :func:`neighbour_pairs` begin with ``i``, of nodes with any, without making the pairs.
+
+    A node is posted to its nine cells; its later neighbours are those of higher index posted to its own
+    cell, which are ranked in blocks of ``ranked`` indices, so that no group grows with a crowded cell.
+    """
+    at = df.select("idx", cell(F.col("x"), scale).alias("cx"), cell(F.col("y"), scale).alias("cy"), _around().alias("o"))
+    own = (F.col("o.a") == 0) & (F.col("o.b") == 0)
+    posts = at.select("idx", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"), own.alias("own"), F.floor(F.col("idx") / ranked).alias("block"))
+    posts = posts.where(F.col("cx").between(0, GRID - 1) & F.col("cy").between(0, GRID - 1))
+    blocks = posts.groupBy("cx", "cy", "block").agg(F.count(F.lit(1)).alias("later"))
+    above = Window.partitionBy("cx", "cy").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("later", F.coalesce(F.sum("later").over(above), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("cx", "cy", "block").orderBy(F.desc("idx"))) - 1
+    found = posts.withColumn("rank", rank).where("own").join(blocks, ["cx", "cy", "block"])
+    return found.select(F.col("idx").alias("i"), (F.col("rank") + F.col("later")).alias("n")).where("n > 0")
+
+
 def in_circle(x: float, y: float, radius: Column | None = None) -> Column:
     r = F.col("radius") if radius is None else radius
     return (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) <= r * r
@@ -100,21 +130,45 @@ def softened(d2, mass, other):
     return (F.greatest if isinstance(d2, Column) else np.maximum)(d2, 64 + 4 * (mass + other))
 
 
-def repulsion(df: DataFrame, k: float = 1.0, cutoff: float = 2500.0) -> DataFrame:
-    """``idx, fx, fy``: exact pairwise repulsion of visible nodes inside the cutoff, which the tree only approximates.
+#: Nodes of a cell, and nodes around them, that meet in one task; a cell with more is dealt to several.
+OWN, OTHERS = 2048, 32768
+
 
-    Places are dealt to cells of the cutoff's size and meet those of the nine cells around.
+def repulsion(df: DataFrame, k: float = 1.0, cutoff: float = 2500.0, own: int = OWN, others: int = OTHERS) -> DataFrame:
+    """``idx, fx, fy``: exact pairwise repulsion of visible nodes with another inside the cutoff, which the tree only approximates.
+
+    Places are dealt to cells of the cutoff's size and meet those of the nine cells around, as matrices of
+    at most about ``own`` by ``others``; every pair is computed, none becomes a row.
     """
-    at = _seen(df).select("idx", "x", "y", "mass", F.floor(F.col("x") / cutoff).alias("cx"), F.floor(F.col("y") / cutoff).alias("cy"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    other = at.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("mass").alias("om"), F.col("idx").alias("oi"), "cx", "cy", around.alias("o"))
-    other = other.select("oi", "ox", "oy", "om", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
-    pairs = at.join(other, ["cx", "cy"]).where("idx <> oi")
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    d2 = dx * dx + dy * dy
-    soft = softened(d2, F.col("mass"), F.col("om"))
-    force = F.when(d2 <= cutoff * cutoff, k * 350.0 * F.col("om") / soft / F.sqrt(soft)).otherwise(0.0)
-    return pairs.groupBy("idx").agg(F.sum(dx * force).alias("fx"), F.sum(dy * force).alias("fy"))
+    at = _seen(df).select("idx", "x", "y", "mass", F.floor(F.col("x") / cutoff).alias("cx"), F.floor(F.col("y") / cutoff).alias("cy")).where("cx is not null and cy is not null")
+    near = lambda d: d.select("*", _around().alias("o")).withColumns({"cx": F.col("cx") + F.col("o.a"), "cy": F.col("cy") + F.col("o.b")}).drop("o")
+    cells = at.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    around = near(cells).groupBy("cx", "cy").agg(F.sum("n").alias("m"))
+    parts = cells.join(around, ["cx", "cy"]).select("cx", "cy", F.ceil(F.col("n") / own).alias("a"), F.ceil(F.col("m") / others).alias("b"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("idx"), F.col(c))
+    left = at.join(parts, ["cx", "cy"]).withColumn("a", deal("a")).withColumn("b", every("b"))
+    right = near(at).join(parts, ["cx", "cy"]).withColumn("b", deal("b")).withColumn("a", every("a"))
+
+    def run(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        x, y, m = (mine[c].to_numpy(float) for c in ("x", "y", "mass"))
+        ox, oy, om = (other[c].to_numpy(float) for c in ("x", "y", "mass"))
+        fx, fy, n = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), 16):
+            some = slice(lo, lo + 16)
+            dx, dy = x[some, None] - ox, y[some, None] - oy
+            d2 = dx * dx + dy * dy
+            inside = d2 <= cutoff * cutoff
+            soft = softened(d2, m[some, None], om)
+            force = np.where(inside, k * 350.0 * om / (soft * np.sqrt(soft)), 0.0)
+            fx[some], fy[some], n[some] = (dx * force).sum(axis=1), (dy * force).sum(axis=1), inside.sum(axis=1)
+        return pd.DataFrame({"idx": mine["idx"], "fx": fx, "fy": fy, "n": n})
+
+    keys = ["cx", "cy", "a", "b"]
+    renamed = lambda d: d.select(*[F.col(c).alias(c) for c in ("x", "y", "mass", "idx", *keys)]).groupBy(*keys)  # noqa: E731  columns of their own
+    found = renamed(left).cogroup(renamed(right)).applyInPandas(run, "idx long, fx double, fy double, n long")
+    total = found.groupBy("idx").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"), F.sum("n").alias("n"))
+    return total.where("n > 1").drop("n")  # itself is one
 
 
 def pyramid(df: DataFrame, levels: int, x0: float, y0: float, size: float) -> DataFrame:
@@ -203,12 +257,32 @@ def springs(df: DataFrame, edges: DataFrame, strength: float = 0.24, scale: floa
     return both.groupBy("idx").agg(F.sum("px").alias("fx"), F.sum("py").alias("fy"))
 
 
+def _close_pairs(df: DataFrame, scale: float) -> DataFrame:
+    """Pairs ``i < j`` of :func:`neighbour_pairs` that may overlap, with both ends' ``x, y, r, p``.
+
+    Of the nodes gathered in a border cell only those near each other are paired: a node is posted to a
+    cell as wide as it can reach, of twice the width on each level, and met by those that reach no further.
+    """
+    size = max(LEAST_CELL, 120.0 * scale)
+    r = F.col("radius") * scale
+    level = F.greatest(F.ceil(F.log2(F.greatest((2 * r + 6.0 * scale) / size, F.lit(1.0)))).cast("int"), F.lit(0))
+    at = df.select("idx", "x", "y", r.alias("r"), _flag(df, "pinned").alias("p"), cell(F.col("x"), scale).alias("cx"), cell(F.col("y"), scale).alias("cy"), level.alias("level"))
+    levels = [x.level for x in at.where("level is not null").select("level").distinct().orderBy("level").collect()]  # one for each doubling of the radius
+    put = lambda c, k: F.floor(F.col(c) / (size * F.pow(F.lit(2.0), k)))
+    own = at.select("*", put("x", F.col("level")).alias("gx"), put("y", F.col("level")).alias("gy"))
+    met = at.select("*", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("at")).where("at >= level").select("*", _around().alias("o"))
+    met = met.select(*[F.col(c).alias("o_" + c) for c in at.columns], F.col("at").alias("level"), (put("x", F.col("at")) + F.col("o.a")).alias("gx"), (put("y", F.col("at")) + F.col("o.b")).alias("gy"))
+    pairs = own.join(met, ["level", "gx", "gy"]).where("(o_level < level or idx < o_idx) and abs(cx - o_cx) <= 1 and abs(cy - o_cy) <= 1")
+    first = F.col("idx") < F.col("o_idx")
+    ends = lambda c, i, j: (F.when(first, F.col(c)).otherwise(F.col("o_" + c)).alias(i), F.when(first, F.col("o_" + c)).otherwise(F.col(c)).alias(j))
+    dx, dy = F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")
+    pairs = pairs.where((F.sqrt(dx * dx + dy * dy) < F.col("r") + F.col("o_r") + 6.0 * scale))
+    return pairs.select(*ends("idx", "i", "j"), *[e for c in "xyrp" for e in ends(c, c + "i", c + "j")])
+
+
 def collisions(df: DataFrame, scale: float = 1.0, hard: float = 0.60, soft: float = 0.35) -> DataFrame:
     """``idx, fx, fy``: overlapping pairs of adjoining cells push each other apart, harder where the overlap is large."""
-    df = _seen(df)
-    r = df.select("idx", (F.col("radius") * scale).alias("r"), _flag(df, "pinned").alias("p"))
-    end = lambda i: r.select(F.col("idx").alias(i), F.col("r").alias("r" + i), F.col("p").alias("p" + i))
-    pairs = neighbour_pairs(df, scale).join(end("i"), "i").join(end("j"), "j")
+    pairs = _close_pairs(_seen(df), scale)
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
     d = F.sqrt(dx * dx + dy * dy)
     over = F.col("ri") + F.col("rj") + 6.0 * scale - d
