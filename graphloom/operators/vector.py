@@ -106,6 +106,22 @@ def approximate_top_k(index: DataFrame, query: list[float], k: int = 5, threshol
     return top_k(pool, query, k, threshold, id_col)
 
 
+def quantised_top_k(index: DataFrame, query: list[float], k: int = 5, threshold: float = 0.0, over: int = 10, id_col: str = "numeric_id") -> DataFrame:
+    """The ``k`` best of an index, exactly: its codes leave out what can't be among them.
+
+    A component is within half a step of its code, so a score is within half of ``scale`` times the sum of
+    the query's components of what the codes give.  The ``k``-th score of :func:`approximate_top_k` is
+    reached by ``k`` rows, so rows that can't reach it go, and the others are compared by their vectors.
+    """
+    k = k if k and k > 0 else 5
+    found = approximate_top_k(index, query, k, float("-inf"), over, id_col).agg(F.count("score").alias("n"), F.min("score").alias("least")).first()
+    if found.n < k:
+        return top_k(index, query, k, threshold, id_col)
+    size = sum(abs(float(x)) for x in query)
+    most = inner_product("code", query) * F.col("scale") + F.col("scale").cast("double") * (0.5001 * size) + 1e-9 * (1 + size)  # half a step, and roundings
+    return top_k(index.where(most >= found.least), query, k, threshold, id_col)
+
+
 def semantic_search(index: DataFrame, text: str, encode, limit: int = 5, threshold: float = 0.0) -> DataFrame:
     """``numeric_id, id, fqn, type, score, preview`` of the best hits of a text, and what their previews say of place and file."""
     query = [float(x) for x in encode([f"query: {text.strip()}"])[0]]
