@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import cut, identity, rows_of
 from graphloom.llm.decontamination import find_contamination
 from graphloom.llm.line_dedup import apply_line_dedup
-from graphloom.llm.near_copies import near_copies
+from graphloom.llm.near_copies import near_texts
 from graphloom.llm.packing import pack_documents
 from graphloom.llm.queries import WORD_TOKENIZER, tokenizer_file
 from graphloom.llm.toxicity import drop_toxic
@@ -34,10 +34,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
 
+    The groups are those of op5's SimHash and op12's join with these parameters (:func:`near_copies`).
     Of rows with the same id and text one stays; a group without ids keeps one row.
     """
-    groups = near_copies(docs.select(identity().alias("key"), "text"), id_col="key")
-    return rows_of(docs, groups.select(F.col("component_id").alias("key")), "left_semi", once=True)
+    return rows_of(docs, near_texts(docs).select(F.col("least").alias("key")), "left_semi", once=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,174 +1,97 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands, then the exact similarity of the sets."""
+"""Near copies by word shingles: SimHash groups, compared exactly, and the exact join of shingle sets for what 64 bits can't reach."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, identity, join_by_heat
 from .components import star_components
-from .simhash import POSTING, shingle_hashes
+from .jaccard_join import jaccard_components
+from .simhash import POSTING, near_duplicates, shingle_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
-#: A pair of similarity 0.8 agrees in no band with probability (1 - 0.8**5)**25 = 5e-5.
-BANDS, ROWS = 25, 5
-#: Share of equal sketch bytes below which a pair isn't verified: 0.2 is 5.6 deviations of the share at 0.8.
-SLACK = 0.2
-#: Rows whose sets are asked for that a broadcast may name.
+#: Texts whose shingles are asked for that a broadcast may name.
 BROADCAST_ENDS = 200_000
-#: Words of 64 bits in a set's bitmap.
-WORDS = 32
-#: Shingles sketched at once.
-BLOCK = 1024
 
-_rng = np.random.default_rng(11)
-_MUL = _rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64)
-_MIX = _rng.integers(1, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
+def in_common(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Shingles that two texts have in common and in all, repeats counted."""
+    (one, m), (two, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+    both = int(np.minimum(m[i], n[j]).sum())
+    return both, len(x) + len(y) - both
 
-def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    return np.unique(shingle_hashes(text, shingle))
 
+def _text(key: str) -> Column:
+    """The part of a row's identity that tells its text."""
+    return F.struct(F.col(f"{key}.h1").alias("h1"), F.col(f"{key}.h2").alias("h2"))
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Least value of the set under each of the hash functions."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), BLOCK):
-        np.minimum(low, (hashes[None, lo : lo + BLOCK] * _MUL + _ADD).min(axis=1), out=low)
-    return low
 
-
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Similarity of two sorted sets; of two empty ones 1."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _node(hashes: np.ndarray) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "little", signed=True)
-
-
-def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, node, sig, bands`` of every row: rows with the same set are one node."""
+def _shingles(rows: DataFrame, shingle: int) -> DataFrame:
+    """``node, hashes`` of every row: its text and all its shingles, repeats included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sig, bands = [], [], []
-            for text in batch.column(1):
-                hashes = shingle_set(text.as_py() or "", shingle)
-                low = sketch(hashes)
-                keys = (low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-                node.append(_node(hashes))
-                sig.append((low >> np.uint64(20)).astype(np.uint8).tobytes())
-                bands.append(keys.view(np.int64).tolist() if len(hashes) else [])
-            columns = [batch.column(0), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sig", "bands"])
+            found = [shingle_hashes(t.as_py() or "", shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, sig binary, bands array<long>")
+    return rows.select(_text("doc_id").alias("node"), "text").mapInArrow(run, "node struct<h1:bigint,h2:bigint>, hashes binary")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``node, hashes`` of every row."""
+def _similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` whose shingles ``x`` and ``y`` have ``percent`` of all in common; blank texts are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t.as_py() or "", shingle) for t in batch.column(0)]
-            columns = [pa.array([_node(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "hashes"])
+            ends = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)] for c in (2, 3))
+            counts = [in_common(x, y) for x, y in zip(*ends, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array([100 * both >= percent * every for both, every in counts], pa.bool_()))
 
-    return docs.select("text").mapInArrow(run, "node long, hashes binary")
+    return pairs.mapInArrow(run, "a struct<h1:bigint,h2:bigint>, b struct<h1:bigint,h2:bigint>")
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` with the values of both nodes as ``x`` and ``y``."""
-    of = lambda end, name: table.select(F.col("node").alias(end), F.col(column).alias(name))
-    return pairs.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
-
-
-def _alike(pairs: DataFrame, share: float) -> DataFrame:
-    """Pairs whose sketches ``x`` and ``y`` agree in ``share`` of the bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= share))
-
-    return pairs.mapInArrow(run, "a long, b long")
+def _confirmed(near: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``a, b``: texts of the SimHash groups ``near`` that have enough in common with the text of their group's least row."""
+    ends = near.groupBy(_text("doc_id").alias("a"), _text("component_id").alias("b"))
+    ends = cut(ends.agg(F.min("doc_id").alias("x"), F.min("component_id").alias("y")).where("a <> b"))
+    some = cut(ends.select(F.col("x").alias("_id")).union(ends.select("y")).distinct())
+    some = F.broadcast(some) if some.count() <= BROADCAST_ENDS else some.hint("merge")  # texts stay where they are, or are shuffled
+    texts = _shingles(rows.join(some, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), shingle)
+    texts = cut(texts.dropDuplicates(["node"]))
+    of = lambda end, name: texts.select(F.col("node").alias(end), F.col("hashes").alias(name))
+    pairs = ends.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
+    return _similar(pairs, percent)
 
 
-def _similar(pairs: DataFrame, similar: float) -> DataFrame:
-    """Pairs whose sets ``x`` and ``y`` have the similarity ``similar`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(c)] for c in (2, 3))
-            keep = [jaccard(i, j) >= similar for i, j in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _longs(sets: DataFrame) -> DataFrame:
-    """``node, n, hashes, bits``: a set's size, itself as an array, and a bitmap of it in words."""
+def near_texts(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR, posting: int = POSTING
+) -> DataFrame:
+    """One row per distinct text: ``node, m, least``, the text's hash, its rows, and the least :func:`identity` of its group.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            bits = np.zeros((len(found), 64 * WORDS), np.uint8)
-            for row, x in zip(bits, found, strict=True):
-                row[(x >> np.uint64(33)) % np.uint64(64 * WORDS)] = 1
-            words = np.packbits(bits, axis=1).view(np.int64)
-            columns = [pa.array([len(x) for x in found], pa.int64()), *(pa.array([*x], pa.list_(pa.int64())) for x in ([y.view(np.int64) for y in found], words))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "n", "hashes", "bits"])
-
-    return sets.mapInArrow(run, "node long, n long, hashes array<long>, bits array<long>")
-
-
-def _sharing(sets: DataFrame, members: DataFrame, similar: float) -> DataFrame:
-    """``a, b``: pairs of ``members`` (``node, root``) of different roots, among them all of similarity ``similar`` or more.
-
-    Each set is ordered by how many members have a shingle, the rarest first.  Two
-    similar sets agree in a shingle of their prefixes, and at the first one what
-    is left of both must be enough for the similarity: a set of n shingles that
-    has one at place p has at most n - p in common with any other.  A member is
-    posted under its prefix, and leaves a posting that has no set small enough for
-    it.  Texts that differ from a much copied one in more than the similarity allows
-    begin with shingles nobody shares, so they leave almost all postings.  Of what is left, those
-    outside a posting's most frequent root meet those of other roots, and pairs go
-    whose bitmaps differ in more bits than two similar sets have shingles of their own.
+    See :func:`near_copies` for the groups.
     """
-    rows = cut(_longs(sets).join(members, "node"))
-    shingles = rows.select("node", F.explode("hashes").alias("h"))
-    often = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    shared = shingles.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("ts"))
-    alone = F.col("n") - F.size("ts")  # shingles that nobody else has come first
-    prefix = F.col("n") - F.ceil(similar * F.col("n") - 1e-9) + 1
-    some = F.slice("ts", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))
-    posts = shared.join(rows.select("node", "root", "n"), "node").select("node", "root", "n", alone.alias("alone"), F.posexplode(some).alias("p", "t"))
-    # similar * |x or y| <= |x and y| <= n - p bounds the other's size
-    most = (1 + 1 / similar) * (F.col("n") - F.col("alone") - F.col("p")) - F.col("n") + 1e-6
-    posts = cut(posts.select("node", "root", "n", F.col("t.h").alias("h"), most.alias("most")))
-    least = posts.groupBy("h").agg(F.min("n").alias("least"))
-    posts = posts.join(least, "h").where("most >= least").drop("least")
-    roots = posts.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
-    roots = roots.agg(F.max(F.struct("c", "root")).alias("major"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    words = [f"w{k}" for k in range(WORDS)]
-    maps = rows.select("node", *[F.col("bits")[k].alias(w) for k, w in enumerate(words)])
-    posts = cut(posts.join(roots.select("h", F.col("major.root").alias("major")), "h").join(maps, "node"))
-    x = posts.where("root != major").select("h", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "most", *words)])
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"x_{w}"))) for w in words])
-    own = (F.col("n") + F.col("x_n")) * ((1 - similar) / (1 + similar)) + 1e-6
-    met = x.join(posts, (x["h"] == posts["h"]) & F.expr("root != x_root and n <= x_most and x_n <= most") & (apart <= own))
-    return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
+    percent = round(100 * similar)
+    if abs(percent - 100 * similar) > 1e-9:
+        raise ValueError("a similarity has to be whole percents")
+    rows = docs.select(identity(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    near = cut(near_duplicates(rows, shingle=shingle, posting=posting).select("doc_id", "component_id"))
+    links = _confirmed(near, rows, shingle, percent)
+    joined = jaccard_components(rows, shingle=shingle, percent=percent)
+    joined = joined.groupBy(_text("doc_id").alias("node"), _text("component_id").alias("other"))
+    joined = cut(joined.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m")))
+    links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    roots = star_components(links, "a", "b").withColumnRenamed("u", "node")
+
+    # Rows of one text may be in several components only where it is blank.
+    texts = joined.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.sum("m").alias("m"))
+    texts = cut(texts.join(roots, "node", "left").select("node", "m", "doc_id", F.coalesce("v", "node").alias("root")))
+    named = texts.groupBy("root").agg(F.min("doc_id").alias("least"))
+    return cut(texts.join(named, "root").select("node", "m", "least"))
 
 
 def near_copies(
@@ -176,61 +99,19 @@ def near_copies(
 ) -> DataFrame:
     """One row per input row: ``doc_id, component_id``, the smallest id of the row's component.
 
-    A component has all rows reachable over pairs whose sets of word shingles have a
-    Jaccard similarity of ``similar`` or more.  Rows with the same set (by a 64-bit
-    hash of all of it) are one node.  Nodes that agree in a band of MinHash values
-    are candidates; those whose sketches aren't far below ``similar`` are verified
-    on the whole sets, so no pair is linked by chance.
-
-    The members of a bucket are first compared with its least node.  Where that left
-    several components, members of different ones are all paired in a bucket of up
-    to ``posting`` nodes; members of larger ones go through an exact prefix filter
-    (see :func:`_sharing`), which loses no similar pair of theirs and makes few others.
+    A component has all rows reachable over links of two kinds, each made whole by
+    its operator.  SimHash groups (:func:`near_duplicates`: fingerprints of word
+    shingles within 2 bits) link each text to the group's least one if, repeats
+    counted, they have ``similar`` of their shingles in common: texts that repeat a
+    passage are found by it although their sets differ.  A fingerprint of 64 bits
+    misses most pairs near 0.8, so all pairs whose sets of shingles have a Jaccard
+    similarity of ``similar`` or more are linked too, by the exact join of op12
+    (:func:`jaccard_components`).
 
     Null and blank texts are one node; texts of fewer words than a shingle are one
     shingle.  Null ids are never a component's smallest id unless it has no others.
     An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(_sketches(docs, shingle))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    posts = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = cut(posts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1"))
-    posted = cut(posts.join(buckets, "band"))
-
-    def members_sets(some: DataFrame) -> DataFrame:
-        least = cut(nodes.join(some.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("_least")))
-        least = F.broadcast(least) if least.count() <= BROADCAST_ENDS else least.hint("merge")  # texts stay where they are, or are shuffled
-        sets = _sets(docs.join(least, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi"), shingle)
-        return cut(sets.join(some, "node", "left_semi").dropDuplicates(["node"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        alike = cut(_alike(_with_both(pairs.distinct(), nodes, "sig"), similar - SLACK))
-        sets = members_sets(cut(alike.select(F.col("a").alias("node")).union(alike.select("b")).distinct()))
-        return cut(_similar(_with_both(alike, sets, "hashes"), similar))
-
-    stars = posted.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = verified(stars)
-    roots = star_components(links, "a", "b")
-
-    # Pairs that the hubs have brought into one component need no link of their own.
-    rooted = posted.select("node", "band", "n").join(roots.withColumnRenamed("u", "node"), "node", "left")
-    rooted = cut(rooted.select("node", "band", "n", F.coalesce("v", "node").alias("root")))
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("band")
-    rooted = cut(rooted.join(mixed, "band", "left_semi"))
-    small = rooted.where(F.col("n") <= posting).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("ns"))
-    others = lambda x, i: F.filter(F.slice("ns", i + F.lit(2), F.size("ns")), lambda y: y["root"] != x["root"])
-    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"))
-    pairs = small.select(F.explode(F.flatten(F.transform("ns", lambda x, i: F.transform(others(x, i), lambda y: pair(x, y))))).alias("p"))
-    large = cut(rooted.where(F.col("n") > posting).select("node", "root").distinct())
-    pairs = pairs.select("p.a", "p.b")
-    if not large.isEmpty():
-        pairs = pairs.unionByName(_sharing(members_sets(large), large, similar))
-    links = links.unionByName(verified(pairs))
-    roots = star_components(links, "a", "b")
-
-    rooted = nodes.select("node", "least").join(roots.withColumnRenamed("u", "node"), "node", "left")
-    rooted = rooted.select("node", "least", F.coalesce("v", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = cut(rooted.join(named, "root").select("node", "component_id"))
-    return rows.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
+    found = near_texts(docs, id_col=id_col, text_col=text_col, shingle=shingle, similar=similar, posting=posting)
+    rows = docs.select(identity(id_col, text_col).alias("key")).select(F.col("key.i").alias("doc_id"), _text("key").alias("node"))
+    return join_by_heat(rows, found, ["node"], "m", BROADCAST_ENDS).select("doc_id", F.col("least.i").alias("component_id"))

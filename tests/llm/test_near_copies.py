@@ -66,3 +66,33 @@ def test_stage_drops_edited_copies(spark):
     assert len(want) < len(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_similar_texts_that_no_sketch_brings_together(spark):
+    import corpus_pipeline
+
+    rng = random.Random(1379)  # MinHash bands of these two sets, 8 of 10 shingles in common, are all different
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(14)]
+    docs = spark.createDataFrame([(1, " ".join(words[:12])), (2, " ".join(words)), (3, " ".join(words[:11]))], "doc_id bigint, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]  # 7 of 8
+
+
+def test_simhash_groups_are_linked_where_repeats_are_in_common(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    refrain = [word() for _ in range(9)]
+    tails = [[word() for _ in range(30)] for _ in range(2)]
+    rows = [(1, " ".join(refrain * 60 + tails[0])), (2, " ".join(refrain * 60 + tails[1])), (3, " ".join(refrain + tails[1]))]
+    rows += [(k, t) for k, t in enumerate(["", None, " ", "\t", "", "a b"], 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(set(brute_components(rows[:2]).values())) == 2  # sets alone differ too much
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 4, 8: 4, 9: 9}  # 3 has the set of 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 9]
+
+    # groups are only proposals: texts with little in common are left apart, even in one group
+    apart = spark.createDataFrame([(k, " ".join(word() for _ in range(9))) for k in range(3)], "doc_id bigint, text string")
+    monkeypatch.setattr(near_copies, "near_duplicates", lambda rows, **_: rows.selectExpr("doc_id", "min(doc_id) over () as component_id"))
+    assert all(r.doc_id == r.component_id for r in near_copies.near_copies(apart).collect())
