@@ -19,6 +19,9 @@ from graphloom.llm.packing import pack_documents
 from graphloom.llm.queries import WORD_TOKENIZER, tokenizer_file
 from graphloom.llm.toxicity import drop_toxic
 
+#: Chunks and words that a worker remembers while it packs: its process then runs other stages' tasks beside an executor's heap.
+PACKING_MEMO = 150_000
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar doesn't reject."""
@@ -49,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, in sequences of 4096 tokens."""
-    return pack_documents(docs, tokenizer_file(WORD_TOKENIZER))
+    return pack_documents(docs, tokenizer_file(WORD_TOKENIZER), memo=PACKING_MEMO)
 
 
 STAGES = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
 import re
@@ -20,6 +23,8 @@ from .common import cut
 MEMO = 700_000
 #: Characters of text to tokenise at once.
 BLOCK = 2_000_000
+#: Documents of a batch whose texts and ids are Python objects at once.
+SLICE = 256
 #: A Latin-1 word, then ASCII punctuation: two pre-tokens for sure, each of which is lower-cased by itself.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
@@ -38,10 +43,10 @@ class Ids:
     those of its chunks between spaces and newlines, and equal chunks are
     tokenised once.  A plain word skips normalisation and pre-tokenisation, which
     leave it as it is in lower case.  A vocabulary of which that isn't true, as
-    probes tell, tokenises whole texts.
+    probes tell, tokenises whole texts.  ``most`` chunks and words are remembered.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, most: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -53,6 +58,7 @@ class Ids:
         )
         self.memo: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.most, self.block = most, min(BLOCK, 4 * most)
         self.splits = True
         try:
             self.splits = self(_PROBES) == list(self._chunks(_PROBES)) and all(self([a + " " + b]) == list(self._chunks([a + " " + b])) for a in _PROBES for b in _PROBES)
@@ -78,7 +84,7 @@ class Ids:
         split = {x: m.groups() for x in chunks if (m := _PLAIN.fullmatch(x))}
         words = {w.lower() for w, _ in split.values()}
         new = words.difference(self.plain)
-        if len(self.plain) + len(new) > MEMO:
+        if len(self.plain) + len(new) > self.most:
             self.plain.clear()
             new = words
         new = list(new)
@@ -100,13 +106,13 @@ class Ids:
         at = 0
         while at < len(texts):
             taken, size = [], 0
-            while at < len(texts) and (not taken or size + len(texts[at]) <= BLOCK):
+            while at < len(texts) and (not taken or size + len(texts[at]) <= self.block):
                 taken.append(texts[at].replace("\n", " ").split(" "))
                 size += len(texts[at])
                 at += 1
             asked = set().union(*taken)
             new = asked.difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
+            if len(self.memo) + len(new) > self.most:
                 self.memo.clear()
                 new = asked
             self._learn(new)
@@ -114,6 +120,14 @@ class Ids:
             out.extend(b"".join(map(known, chunks)) for chunks in taken)
         return out
 
+    def forget(self) -> None:
+        """Give what is remembered back to the system: Spark keeps the process for tasks of other stages."""
+        self.memo, self.plain = {}, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc holds freed memory back, and has this
+            ctypes.CDLL(None).malloc_trim(0)
+
 
 def reciprocals(capacity: int) -> list[int]:
     """Numbers of pieces a sequence may have: each 1/k of it is a class's slot."""
@@ -157,17 +171,19 @@ class Cutter:
         return out
 
 
-_ids: dict[str, Ids] = {}
+_ids: dict[tuple[str, int], Ids] = {}
 
 
-def _ids_of(tokenizer_file: str) -> Ids:
-    """One tokeniser, with what it remembers, for each worker process and file."""
-    if tokenizer_file not in _ids:
-        _ids[tokenizer_file] = Ids(tokenizer_file)
-    return _ids[tokenizer_file]
+def _ids_of(tokenizer_file: str, most: int) -> Ids:
+    """One tokeniser, with what it remembers, for each worker process, file and bound."""
+    if (tokenizer_file, most) not in _ids:
+        _ids[tokenizer_file, most] = Ids(tokenizer_file, most)
+    return _ids[tokenizer_file, most]
 
 
-def cut_pieces(docs: DataFrame, tokenizer_file: str, *, id_col: str, text_col: str, capacity: int, end_id: int) -> DataFrame:
+def cut_pieces(
+    docs: DataFrame, tokenizer_file: str, *, id_col: str, text_col: str, capacity: int, end_id: int, memo: int | None = None
+) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, kind, part, rank``: each document's pieces.
 
     ``rank`` numbers the pieces of a class that one task made.
@@ -175,10 +191,18 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, *, id_col: str, text_col: s
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, cutter = _ids_of(tokenizer_file), Cutter(capacity)
+        ids_of = _ids_of(tokenizer_file, MEMO if memo is None else memo)
+        try:
+            yield from cut_batches(ids_of, batches)
+        finally:
+            if memo is not None:
+                ids_of.forget()
+
+    def cut_batches(ids_of: Ids, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(capacity)
         part = TaskContext.get().partitionId()
         seen = [0] * len(cutter.slots)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             doc, start, length, crc, whole, kind, rank = ([] for _ in range(7))
             for k, ids in enumerate(ids_of([x or "" for x in batch.column(1).to_pylist()])):
                 view = memoryview(ids + tail)
@@ -226,6 +250,7 @@ def pack_documents(
     text_col: str = "text",
     capacity: int = 4096,
     end_id: int = 2,
+    memo: int | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -239,8 +264,12 @@ def pack_documents(
     Pieces are written once, with lengths and checksums and without ids.  Null and
     empty texts have one token, the end.  Repeated rows are packed again; null ids
     pass through; an empty table gives an empty result; other columns are ignored.
+
+    A worker remembers the ids of :data:`MEMO` chunks and words from task to task;
+    with ``memo``, of as many, and of none after a task, so that other stages of one
+    application have that memory.  Results don't depend on it.
     """
-    pieces = cut(cut_pieces(docs, tokenizer_file, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id))
+    pieces = cut(cut_pieces(docs, tokenizer_file, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, memo=memo))
     ks = reciprocals(capacity)
     per = F.element_at(F.array(*[F.lit(k) for k in ks]), (F.col("kind") + 1).cast("int"))
 
