@@ -56,3 +56,12 @@ def test_no_python_reads_the_sources(spark):
     df = spark.createDataFrame([("a.cs", CODE)], "path string, text string")
     plan = tokens.csharp_edges(df)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_sources_are_read_once_and_few_tokens_are_rows(spark):
+    rows = spark.range(300).selectExpr("concat(id, '.cs') path", r"concat('class A', id, ' : B { int a = 1, b = 2;\n // c\n void F( int n, int m ) { p.Go( n + m ); } }') text")
+    plan = tokens.csharp_edges(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1  # each kind of edge read the sources by itself
+    assert tokens.owned_rows(rows).count() == 300 * 6  # a declaration, four braces, a call
+    assert {(r.line, r.name, r.owner) for r in tokens.owned_rows(rows).where("path = '7.cs'").collect()} == {(1, "A7", "A7"), (1, None, "A7"), (3, None, "A7")}
+    assert tokens.csharp_edges(rows).count() == 600
