@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
+from graphloom.runtime import stored
 
 from .model import strict_edges
 
@@ -34,10 +36,17 @@ _LOCAL = re.compile(rf"\b({_TYPE})\s+([A-Za-z_]\w*)\s*(?==[^=>]|;|\bin\b)")
 _VAR = re.compile(rf"\bvar\s+([A-Za-z_]\w*)\s*=\s*new\s+({_TYPE})\s*[({{\[]")
 _NEW = re.compile(r"\bnew\s+([A-Za-z_][\w.]*)\s*(<[\w.,<>\[\]?\s]*>)?\s*[({\[]")
 _IMPLICIT = re.compile(rf"({_TYPE})\s+[A-Za-z_]\w*\s*=\s*new\s*\(")
+#: What may hold a match of :data:`_IMPLICIT`: letters that a type can have up to its end; matches begin nowhere else.
+_IMPLICIT_END = re.compile(r"(?<![\w.,<>\[\]?\s])[\w.,<>\[\]?\s]++=\s*new\s*\(")
 _CALL = re.compile(r"(?<=[\w)>\]\s])\.\s*([A-Za-z_]\w*)\s*(?:<[^>;(){}]*>)?\s*\(")
 _ACCESS = re.compile(r"\b([A-Za-z_]\w*)\s*\.\s*([A-Za-z_]\w*)\b(?!\s*[(.<\w])")
 _SINGLE = re.compile(r"([A-Za-z_][\w.]*)\s*\.\s*(Instance|Current)\b")
 _EVENT = re.compile(r"([A-Za-z_][\w.]*)\s*\.\s*([A-Za-z_]\w*)\s*([+-]=)")
+_NEWLINES, _CURLY, _ROUND, _MEMBER_END = re.compile("\n"), re.compile("[{}]"), re.compile("[()]"), re.compile(r"[;{}]|=>")
+_ATTRIBUTE, _ASSIGNED, _NESTED = re.compile(r"\s*\[[^\]]*\]"), re.compile(r"\s*=[^;]*;"), re.compile(r"(?:\w+\s+)*(?:class|struct|interface|enum|delegate|record)\b")
+_MARKS, _PARAMETER = re.compile(r"^(?:\[[^\]]*\]\s*|(?:this|params|ref|out|in)\s+)*"), re.compile(rf"^({_TYPE})\s+([A-Za-z_]\w*)$")
+_LETTER, _AFTER_DOT, _ROOT, _BEFORE_PAREN, _BEFORE_DOT = re.compile("[A-Za-z_]"), re.compile(r"\.\s*(\w+)"), re.compile(r"\s*([A-Za-z_]\w*)"), re.compile(r"[\w.]*\s*$"), re.compile(r"[A-Za-z_][\w.]*$")
+_BLANKS, _UPTO_TYPE, _IN_USING = re.compile(r"\s+"), re.compile(r"[<\[?].*"), re.compile(r"\b(?:using|namespace)\s+[\w.]*$")
 _WORDS = "return throw new await else in is as case yield using namespace typeof nameof var out ref goto".split()
 
 
@@ -56,11 +65,11 @@ class Source:
     """One file: its types with where they begin and end, and the innermost type at each place; read in one pass each."""
 
     def __init__(self, text: str):
-        self.code = code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-        self._lines = [m.start() for m in re.finditer("\n", code)]
+        self.code = code = _BLANKED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if "\n" in m[0] else " " * len(m[0]), text)
+        self._lines = [m.start() for m in _NEWLINES.finditer(code)]
         self.close: dict[int, int] = {}
         stack: list[int] = []
-        for m in re.finditer("[{}]", code):
+        for m in _CURLY.finditer(code):
             if m[0] == "{":
                 stack.append(m.start())
             elif stack:
@@ -96,7 +105,7 @@ class Source:
         begins: dict[int, int] = {}  # where the chain begins that a call's dot continues
         opens: dict[int, int] = {}
         stack: list[int] = []
-        for m in re.finditer("[()]", self.code):
+        for m in _ROUND.finditer(self.code):
             if m[0] == "(":
                 stack.append(m.start())
             elif stack:
@@ -111,14 +120,14 @@ class Source:
                 if inner in dot_of:
                     begin = begins.get(dot_of[inner], dot_of[inner])
                 else:
-                    head = re.search(r"[\w.]*\s*$", self.code[max(0, inner - 200) : inner])
+                    head = _BEFORE_PAREN.search(self.code[max(0, inner - 200) : inner])
                     begin = inner - len(head[0])
             else:
-                head = re.search(r"[A-Za-z_][\w.]*$", self.code[max(0, at - 200) : at])
+                head = _BEFORE_DOT.search(self.code[max(0, at - 200) : at])
                 begin = at - len(head[0]) if head else at
             begins[dot] = begin
-            if re.match(r"[A-Za-z_]", self.code[begin : begin + 1]):
-                yield begin, self.code[begin:at], re.match(r"\.\s*(\w+)", self.code[dot:paren])[1]
+            if _LETTER.match(self.code[begin : begin + 1]):
+                yield begin, self.code[begin:at], _AFTER_DOT.match(self.code[dot:paren])[1]
 
     def space(self, at: int) -> str:
         return next((name for lo, hi, name in reversed(self.spaces) if lo <= at < hi), "")
@@ -127,12 +136,12 @@ class Source:
         """``(place, header, how it ends)`` of each member of a type, without what its braces hold."""
         begin, end = self.types[k][1:3]
         at, code, start = begin, self.code, begin
-        for m in re.finditer(r"[;{}]|=>", code[begin:end]):
+        for m in _MEMBER_END.finditer(code[begin:end]):
             here = begin + m.start()
             if here < at:
                 continue  # inside braces, or a member's body
             head = code[start:here]
-            while (a := re.match(r"\s*\[[^\]]*\]", head)) is not None:
+            while (a := _ATTRIBUTE.match(head)) is not None:
                 start, head = start + a.end(), head[a.end() :]
             first = start + len(head) - len(head.lstrip())
             if m[0] == "=>":
@@ -145,8 +154,8 @@ class Source:
                     continue
                 yield first, head.strip(), "{"
                 at = start = self.close[here] + 1
-                more = re.match(r"\s*=[^;]*;", code[at:end])
-                at = start = at + more.end() if more else at
+                more = _ASSIGNED.match(code, at, end)
+                at = start = more.end() if more else at
             elif m[0] == ";":
                 yield first, head.strip(), ";"
                 at = start = here + 1
@@ -155,7 +164,7 @@ class Source:
 def _declared(src: Source, k: int) -> Iterator[tuple[int, str, str, str, list[str]]]:
     """``(place, what, type, name, generics)`` of a type's fields, properties and parameters."""
     for at, head, ends in src.members(k):
-        if re.match(r"(?:\w+\s+)*(?:class|struct|interface|enum|delegate|record)\b", head):
+        if _NESTED.match(head):
             continue
         bare = _MODIFIERS.sub("", head)
         plain = bare.split("=")[0]
@@ -163,8 +172,8 @@ def _declared(src: Source, k: int) -> Iterator[tuple[int, str, str, str, list[st
             m = _METHOD.match(bare)
             if m:
                 for p in _split(m[4]):
-                    p = re.sub(r"^(?:\[[^\]]*\]\s*|(?:this|params|ref|out|in)\s+)*", "", p.split("=")[0].strip())
-                    q = re.match(rf"^({_TYPE})\s+([A-Za-z_]\w*)$", p)
+                    p = _MARKS.sub("", p.split("=")[0].strip())
+                    q = _PARAMETER.match(p)
                     if q:
                         yield at, "parameter", q[1], q[2], _split(m[3] or "")
         elif ends in ("{", "=>"):
@@ -178,9 +187,10 @@ def _declared(src: Source, k: int) -> Iterator[tuple[int, str, str, str, list[st
                     yield at, "field", m[1], name.split("=")[0].strip(), []
 
 
+@lru_cache(4096)
 def display(text: str) -> str:
     """A type as an edge's details show it: short names, arguments after a comma and a blank."""
-    text = re.sub(r"\s+", "", text).rstrip("?")
+    text = _BLANKS.sub("", text).rstrip("?")
     if text.endswith("]"):
         return display(text[: text.rindex("[")]) + "[]"
     head, _, rest = text.partition("<")
@@ -188,18 +198,19 @@ def display(text: str) -> str:
     return f"{head}<{', '.join(map(display, _split(rest[: rest.rindex('>')])))}>" if ">" in rest else head
 
 
-def leaves(text: str) -> list[str]:
+@lru_cache(4096)
+def leaves(text: str) -> tuple[str, ...]:
     """Names a dependency on a type leads to: arrays to their element, generic types to their arguments only."""
-    text = re.sub(r"\s+", "", text).rstrip("?")
+    text = _BLANKS.sub("", text).rstrip("?")
     if text.endswith("]"):
         return leaves(text[: text.rindex("[")])
     head, _, rest = text.partition("<")
-    return [x for a in _split(rest[: rest.rindex(">")]) for x in leaves(a)] if ">" in rest else [head] if head else []
+    return tuple(x for a in _split(rest[: rest.rindex(">")]) for x in leaves(a)) if ">" in rest else (head,) if head else ()
 
 
 def _root(chain: str) -> str:
     """The receiver at the far left of a chain of calls."""
-    return re.match(r"\s*([A-Za-z_]\w*)", chain)[1]
+    return _ROOT.match(chain)[1]
 
 
 USES = "path string, stem string, src string, ns string, usings array<string>, generics array<string>, kind string, details string, form string, target string, line_number int, n int"
@@ -213,7 +224,7 @@ def _uses(path: str, text: str) -> Iterator[tuple]:
     scopes: list[dict[str, str]] = [{name: t for _, _, t, name, _ in d} for d in declared]
     fields: list[dict[str, str]] = [{name: what for _, what, _, name, _ in d if what != "parameter"} for d in declared]
     generics = [sorted({*t[5], *(g for *_, gs in d for g in gs)}) for t, d in zip(src.types, declared, strict=True)]
-    code = src.code
+    code, spaces = src.code, [src.space(t[0]) for t in src.types]
     for pattern, flip in ((_LOCAL, False), (_VAR, True)):
         for m in pattern.finditer(code):
             k = src.owner(m.start())
@@ -223,8 +234,7 @@ def _uses(path: str, text: str) -> Iterator[tuple]:
     out: list[tuple] = []
 
     def put(at: int, k: int, kind: str, details: str, form: str, target: str) -> None:
-        t = src.types[k]
-        out.append((path, stem, t[4], src.space(t[0]), src.usings, generics[k], kind, details, form, target, src.line(at), len(out)))
+        out.append((path, stem, src.types[k][4], spaces[k], src.usings, generics[k], kind, details, form, target, src.line(at), len(out)))
 
     for k, t in enumerate(src.types):
         if t[3] == "interface":
@@ -240,8 +250,9 @@ def _uses(path: str, text: str) -> Iterator[tuple]:
         if (k := outer(m.start())) is not None:
             for leaf in leaves(m[1] + (m[2] or "")):
                 put(m.start(), k, "Instantiates", f"new {m[1].rsplit('.', 1)[-1]}()", "type", leaf)
-    for m in _IMPLICIT.finditer(code):
-        if (k := outer(m.start())) is not None and m[1] not in _WORDS:
+    for end in _IMPLICIT_END.finditer(code):
+        m = _IMPLICIT.search(code, end.start(), end.end())
+        if m and (k := outer(m.start())) is not None and m[1] not in _WORDS:
             for leaf in leaves(m[1]):
                 put(m.start(), k, "Instantiates", f"new {display(m[1]).split('<')[0]}()", "type", leaf)
     for at, receiver, method in src.calls():
@@ -250,29 +261,36 @@ def _uses(path: str, text: str) -> Iterator[tuple]:
             continue
         typed = scopes[k].get(root)
         form = "type" if typed and receiver == root else "receiver"
-        put(at, k, "Calls", f"Method '{method}()'", form, re.sub(r"[<\[?].*", "", typed) if typed else root)
+        put(at, k, "Calls", f"Method '{method}()'", form, _UPTO_TYPE.sub("", typed) if typed else root)
     for m in _ACCESS.finditer(code):
-        if (k := outer(m.start())) is None or m[1] in (*_WORDS, "this", "base") or re.search(r"\b(?:using|namespace)\s+[\w.]*$", code[max(0, m.start() - 60) : m.start()]):
+        if (k := outer(m.start())) is None or m[1] in (*_WORDS, "this", "base") or _IN_USING.search(code[max(0, m.start() - 60) : m.start()]):
             continue
         typed = scopes[k].get(m[1])
-        put(m.start(), k, "References", m[2], "member", re.sub(r"[<\[?].*", "", typed) if typed else m[1])
-    for t, d in zip(src.types, fields, strict=True):
+        put(m.start(), k, "References", m[2], "member", _UPTO_TYPE.sub("", typed) if typed else m[1])
+    for t, d, space in zip(src.types, fields, spaces, strict=True):
         for name, what in d.items():
-            out.append((path, stem, t[4], src.space(t[0]), [], [], what, name, "declares", t[3], src.line(t[0]), len(out)))
-        out.append((path, stem, t[4], src.space(t[0]), [], [], t[3], "", "declares", t[3], src.line(t[0]), len(out)))
+            out.append((path, stem, t[4], space, [], [], what, name, "declares", t[3], src.line(t[0]), len(out)))
+        out.append((path, stem, t[4], space, [], [], t[3], "", "declares", t[3], src.line(t[0]), len(out)))
     yield from out
 
 
 def source_uses(sources: DataFrame) -> DataFrame:
     """The uses and declarations of ``(path, text)`` files; each file is read by itself."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in USES.split(", ")]
-        for pdf in batches:
-            rows = [e for p, t in zip(pdf["path"], pdf["text"], strict=True) for e in _uses(p or "", t or "")]
-            yield pd.DataFrame(rows, columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+        schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in USES.split(", "))])
+        for batch in batches:
+            rows: list[tuple] = []
+            for p, t in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                rows.extend(_uses(p or "", t or ""))
+                if len(rows) >= 20_000:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
-    return sources.select("path", "text").mapInPandas(run, USES)
+    return sources.select("path", "text").mapInArrow(run, USES)
 
 
 def declared_classes(uses: DataFrame) -> DataFrame:
@@ -301,16 +319,19 @@ def dependency_edges(uses: DataFrame, engine: DataFrame, include_engine_links: b
     are left out; calls and members of receivers without a declared type keep theirs
     even then, and go out from the file's main class too.  Others are dropped.
     """
-    classes = declared_classes(uses).select(F.upper("name").alias("_c"), F.col("name").alias("known"), F.col("ns").alias("known_ns"), "has_instance")
-    members = uses.where("form = 'declares' and details <> ''").groupBy(F.upper("src").alias("_m"), F.col("details").alias("_member")).agg(F.min("kind").alias("member_kind"))
     short = F.substring_index("target", ".", -1)
     rows = uses.where("form <> 'declares'").withColumn("_t", short)
     generic = F.array_contains("generics", F.col("_t")) | (F.col("_t") == "T") | F.col("_t").startswith("GP_") | (F.col("_t") == "var")
-    rows = rows.where(~generic & ~names.is_primitive(F.col("_t")) & ~names.is_primitive(_system_name(F.col("_t"))))
-    rows = rows.join(classes, F.upper("_t") == F.col("_c"), "left").join(engine, F.upper("target") == F.col("key"), "left")
-    rows = rows.join(members, (F.upper("known") == F.col("_m")) & (F.col("details") == F.col("_member")) & (F.col("form") == "member"), "left")
-    stems = classes.select(F.col("_c").alias("_stem"), F.col("known").alias("main"))
-    rows = rows.join(stems, F.upper("stem") == F.col("_stem"), "left")
+    rows = rows.where(~generic & ~names.is_primitive(F.col("_t")) & ~names.is_primitive(_system_name(F.col("_t")))).withColumn("_k", F.upper("_t"))
+    # What is looked up is stored, without what no row asks for: few types that all files use are joined by a broadcast, whose rows aren't dealt by type.
+    all_classes = stored(declared_classes(uses).select(F.upper("name").alias("_c"), F.col("name").alias("known"), F.col("ns").alias("known_ns"), "has_instance"))
+    classes = stored(all_classes.join(rows.select(F.col("_k").alias("_c")).distinct(), "_c", "left_semi"))
+    asked = stored(rows.where("form = 'member'").select(F.col("_k").alias("_m"), F.col("details").alias("_member")).distinct())
+    members = uses.where("form = 'declares' and details <> ''").select(F.upper("src").alias("_m"), F.col("details").alias("_member"), "kind").join(asked, ["_m", "_member"], "left_semi")
+    members = stored(members.groupBy("_m", "_member").agg(F.min("kind").alias("member_kind")))
+    rows = rows.join(classes, F.col("_k") == F.col("_c"), "left").join(engine, F.upper("target") == F.col("key"), "left")
+    rows = rows.join(members, (F.col("_c") == F.col("_m")) & (F.col("details") == F.col("_member")) & (F.col("form") == "member"), "left")
+    stems = all_classes.select(F.col("_c").alias("_stem"), F.col("known").alias("main"))
 
     is_member = F.col("form") == "member"
     what = F.when(F.col("member_kind") == "field", "Field").otherwise("Property")
@@ -325,9 +346,10 @@ def dependency_edges(uses: DataFrame, engine: DataFrame, include_engine_links: b
     target = names.unique_id(F.when(F.contains("engine_name", F.lit(".")), F.col("engine_name")).otherwise(full))
     loose = F.col("form").isin("receiver", "member")
     others = rows.where(F.col("known").isNull() & F.col("engine_name").isNotNull() & (F.col("form") != "base") & (loose | F.lit(include_engine_links)))
-    others = others.select("path", "n", "src", "main", loose.alias("loose"), target.alias("dst"), F.concat(F.lit("Engine_"), "kind").alias("kind"), details.alias("details"), "line_number")
+    others = others.select("path", "n", "src", "stem", loose.alias("loose"), target.alias("dst"), F.concat(F.lit("Engine_"), "kind").alias("kind"), details.alias("details"), "line_number")
     own = others.select("path", "n", "src", "dst", "kind", "details", "line_number")
-    of_file = others.where(F.col("loose") & (F.upper("main") != F.upper("src"))).select("path", "n", F.col("main").alias("src"), "dst", "kind", "details", "line_number")
+    of_file = others.where("loose").join(stems, F.upper("stem") == F.col("_stem")).where(F.upper("main") != F.upper("src"))
+    of_file = of_file.select("path", "n", F.col("main").alias("src"), "dst", "kind", "details", "line_number")
     bases = rows.where((F.col("form") == "base") & F.col("known").isNull()).select("path", "n", "src", F.col("_t").alias("dst"), "kind", "details", "line_number")
     edges = user.unionByName(own).unionByName(of_file).unionByName(bases)
     order = F.xxhash64("path").bitwiseAND(F.lit((1 << 42) - 1)) * F.lit(1 << 20) + F.col("n")

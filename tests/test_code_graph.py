@@ -8,6 +8,7 @@ from graphloom import api
 from graphloom.functions import names
 from graphloom.operators import csharp, extract, metrics, paths, spatial, tokens, vector, views
 from graphloom.operators.model import PropertyGraph, dense_index, first_edges
+from graphloom.plans import registry
 from graphloom.sinks import render
 from graphloom.sources import files
 
@@ -390,3 +391,16 @@ def test_service(spark, tmp_path):
     found = ask("/query", {"out_directory": str(tmp_path), "query": "cat", "max_results": 2, "threshold": 0.7})[1]["matches"]
     assert [m["fqn"] for m in found] == ["cat"] and found[0]["preview"] == "cat" and ask("/nope")[0] == 404
     s.shutdown()
+
+
+def test_dependencies_read_each_source_once(spark):
+    got = registry.QUERIES["dependency_edges"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan  # each of seven parts of the plan read all sources
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count() * 9
+
+
+def test_implicit_creations_and_marks_beside_them(spark):
+    code = "class A { List<B> all = new(), more = new (); int n = 1; Dictionary<string, C[]>? d\n = new ( 2 ); void F() { x = new(); D e = new(); } }"
+    got = [(r.target, r.line_number) for r in csharp.source_uses(spark.createDataFrame([("a.cs", code)], "path string, text string")).where("kind = 'Instantiates'").orderBy("n").collect()]
+    assert got == [("B", 1), ("string", 1), ("C", 1), ("D", 2)]
