@@ -50,6 +50,11 @@ def _beside(items: Column, by: int, missing: Column) -> Column:
     return F.concat(F.array(missing), kept) if by > 0 else F.concat(kept, F.array(missing))
 
 
+def _numbers(items: Column) -> Column:
+    """Places of an array's items, from 0; not for empty arrays."""
+    return F.sequence(F.lit(0), F.size(items) - 1)
+
+
 def _cut(text: Column) -> Column:
     """Tokens of a text as an array of ``tok, called``."""
     part = lambda k: F.regexp_extract_all(text, F.lit(TOKEN), F.lit(k))
@@ -63,10 +68,13 @@ def _read(raw: Column) -> Column:
     """
     blank = lambda t: t["tok"].rlike(_BLANK)
     placed = lambda i, j, t: F.struct(i.alias("i"), j.alias("j"), t["tok"].alias("tok"), t["called"].alias("called"))
-    own = F.filter(F.transform(raw, lambda t, i: placed(i, F.lit(0), t)), lambda t: ~blank(t))
+    numbered = F.when(F.size(raw) > 0, F.arrays_zip(raw["tok"].alias("tok"), raw["called"].alias("called"), _numbers(raw).alias("i")))
+    own = F.transform(F.filter(numbered, lambda t: ~blank(t)), lambda t: placed(t["i"], F.lit(0), t))
     inner = lambda t: F.concat_ws(" , ", F.regexp_extract_all(F.regexp_replace(t["tok"], r"\{\{|\}\}", " "), F.lit(r"\{([^{}]*)\}"), F.lit(1)))
     holes = lambda t: F.filter(F.transform(_cut(inner(t)), lambda u, j: placed(t["i"], j, u)), lambda u: ~blank(u))
-    return F.flatten(F.transform(own, lambda t: F.when(t["tok"].rlike(r"^(\$|@\$)"), holes(t)).otherwise(F.array(t))))
+    interpolated = lambda t: t["tok"].rlike(r"^(\$|@\$)")
+    opened = lambda ts: F.flatten(F.transform(ts, lambda t: F.when(interpolated(t), holes(t)).otherwise(F.array(t))))
+    return F.coalesce(_let(own, lambda ts: F.when(F.exists(ts, interpolated), opened(ts)).otherwise(ts)), F.array())
 
 
 def _bases(head: Column, declares: Column) -> Column:
@@ -114,9 +122,11 @@ def _rows(read: Column) -> Column:
     mark (a declaration, a brace or a semicolon), a semicolon ``ends`` it; others are left out.
     ``own`` are the edges of a declaration's bases, ``edges`` those from the type around a token.
     """
-    near = F.when(F.size(read) > 0, F.arrays_zip(read.alias("t"), _beside(read, 1, F.lit(None))["tok"].alias("prev"), _beside(read, -1, F.lit(None))["tok"].alias("next")))
-    told = F.transform(near, lambda z, at: F.struct(
-        at.alias("at"), *[z["t"][x].alias(x) for x in ("i", "j", "tok", "called")], F.coalesce(z["prev"], F.lit("")).alias("prev"), F.coalesce(z["next"], F.lit("")).alias("next")))
+    toks = read["tok"]
+    near = F.when(F.size(read) > 0, F.arrays_zip(read.alias("t"), _beside(toks, 1, F.lit(None)).alias("prev"), _beside(toks, -1, F.lit(None)).alias("next"), _numbers(read).alias("at")))
+    may = lambda tok: tok.contains(".") | tok.startswith("new") | tok.isin("{", "}", ";", "class", "struct", "interface")
+    told = F.transform(F.filter(near, lambda z: may(z["t"]["tok"])), lambda z: F.struct(
+        z["at"].alias("at"), *[z["t"][x].alias(x) for x in ("i", "j", "tok", "called")], F.coalesce(z["prev"], F.lit("")).alias("prev"), F.coalesce(z["next"], F.lit("")).alias("next")))
 
     def marked(t: Column) -> Column:
         declares = t["tok"].isin("class", "struct", "interface") & t["next"].rlike(rf"^{_ID}$") & (t["next"] != "where") & ~t["prev"].isin("record", ":", ",")
